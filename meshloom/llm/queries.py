@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .languages import language_id
+from .lm_scores import lm_scores
 from .media import media_digests
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
@@ -42,6 +43,10 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_languages": op5_languages,
+    "op6_lm_scores": op6_lm_scores,
     "op7_secrets": op7_secrets,
     "op8_token_counts": op8_token_counts,
     "op9_neighbours": op9_neighbours,
