@@ -35,14 +35,15 @@ def scan_tier(spark: SparkSession, root: str, tier: str) -> DataFrame:
 
     Only paths, lengths and times of files are read. A sidecar is the JSON object
     in ``<file>.json``; a broken or missing one leaves the defaults. Sub-folders
-    are skipped. The time of creation is the sidecar's upload time, or else the
+    and, by Spark's file sources, empty files are skipped. The time of creation is the sidecar's upload time, or else the
     file's, as file systems don't keep a time of birth.
     """
-    name = F.element_at(F.split(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "/"), -1)
+    plain = lambda uri: F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))  # noqa: E731  a blank is %20 in a URI
+    name = F.element_at(F.split(plain("path"), "/"), -1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{root.rstrip('/')}/{tier}")
     files = files.select(name.alias("id"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where("not id like '%.json'")
     said = spark.read.schema(SIDECAR).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{root.rstrip('/')}/{tier}")
-    said = said.select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("_id"), "updatedAt", "uploadTime", "labels", "hasLabels", "filterMetrics", "filteredAt", "sourceType")
+    said = said.select(F.regexp_replace(plain("_metadata.file_name"), r"\.json$", "").alias("_id"), "updatedAt", "uploadTime", "labels", "hasLabels", "filterMetrics", "filteredAt", "sourceType")
     said = said.dropDuplicates(["_id"])
     joined = files.join(said, files["id"] == said["_id"], "left")
     labeled = F.coalesce("hasLabels", F.lit(False))
