@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark import Broadcast
@@ -14,6 +16,22 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, which unpickle its functions by name; once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).parent.parent
+        target = Path(tempfile.mkdtemp(), f"{package.name}.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(target))
+
+
+_SHIPPED: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
