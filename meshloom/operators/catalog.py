@@ -153,9 +153,9 @@ def numbered(assets: DataFrame, *order: Column) -> DataFrame:
 
 def page(assets: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """The rows of a page, from 1, with ``total`` and ``total_pages``; no rows outside the range."""
-    total = assets.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size))
+    total = assets.agg(F.count("*")).scalar()
     rows = assets.orderBy(*order).offset((number - 1) * size).limit(size) if number > 0 else assets.limit(0)
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn("total", total).withColumn("total_pages", F.ceil(F.col("total") / size))
 
 
 def batch_numbers(assets: DataFrame, size: int, *order: Column) -> DataFrame:

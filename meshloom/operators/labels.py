@@ -127,8 +127,11 @@ def prompt_ranges(prompts: DataFrame, rule: str = "weighted") -> DataFrame:
 
 
 def assign_prompt(meshes: DataFrame, prompts: DataFrame, draw: Column, rule: str = "weighted") -> DataFrame:
-    """``meshes`` with the ``prompt_id`` whose part of the unit interval ``draw`` falls in."""
-    ranges = F.broadcast(prompt_ranges(prompts, rule).select("prompt_id", "low", "high"))  # a library's few rows
+    """``meshes`` with the ``prompt_id`` whose part of the unit interval ``draw`` falls in.
+
+    A library is small enough for Spark to broadcast it by itself.
+    """
+    ranges = prompt_ranges(prompts, rule).select("prompt_id", "low", "high")
     drawn = meshes.withColumn("_draw", draw)
     return drawn.join(ranges, (F.col("low") <= F.col("_draw")) & (F.col("_draw") < F.col("high")), "left").drop("_draw", "low", "high")
 

@@ -73,8 +73,7 @@ def load_prompts(spark: SparkSession, path: str, defaults: DataFrame) -> tuple[D
     """
     library = spark.read.schema(PROMPTS).option("multiLine", True).json(path)
     own = library.select(F.posexplode("prompts").alias("pos", "p")).select((F.col("pos") + 1).alias("pos"), F.col("p.id").alias("prompt_id"), F.col("p.content").alias("content"), F.col("p.weight").alias("weight"))
-    some = own.limit(1).select(F.lit(1).alias("_some"))
-    prompts = own.unionByName(defaults.join(F.broadcast(some), F.lit(True), "left_anti"))
+    prompts = own.unionByName(defaults.where(~own.exists()))
     words = F.when(F.coalesce(F.size("ignoreKeywords"), F.lit(0)) > 0, F.col("ignoreKeywords")).otherwise(F.array(*map(F.lit, DEFAULT_KEYWORDS)))
     return prompts, library.select(F.explode(words).alias("keyword")), library.select(F.coalesce("selectionRule", F.lit("weighted")).alias("rule"))
 
