@@ -46,7 +46,8 @@ def trigram_buckets(word: str) -> list[int]:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD(text.lower())
+    """Runs of letters in lower case; runs of mere number signs such as ``²`` are none."""
+    return [w for w in _WORD(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 @dataclass

@@ -242,6 +242,10 @@ def test_estimation_against_loops():
         assert value[d] == pytest.approx(sum(np.log(sum(p[k] * float(like[w, k]) for k in range(3))) for w in range(a, b)), rel=1e-4)
 
 
+def test_number_signs_are_no_letters():
+    assert languages.words_of("² Ⅷ 12 _ x²") == ["x²"]
+
+
 def test_op5_odd(spark):
     rows = languages.language_id(odd_documents(spark)).collect()
     assert ids_of(rows) == sorted(repr(i) for i, _ in ODD)
