@@ -102,43 +102,54 @@ def _long(assets: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 
 
 def ranked_values(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_METRICS) -> DataFrame:
-    """(metric, value, n, below, upto): each different value, how often it occurs, and the values before it and up to it.
+    """(metric, value, n, below, upto, count, min, max, mean): each different value, how often it occurs,
+    the values before it and up to it, and the metric's totals.
 
-    Equal values are counted first. A metric's range is cut into RANK_BINS slices;
+    Equal values are counted first, and all else is made from these counts, so
+    the assets are shuffled once. A metric's range is cut into RANK_BINS slices;
     the counts of the slices are summed over a table of bounded size, and values
     are ranked within their slice, so no metric's values meet in one task.
     """
     counted = _long(assets, metrics).groupBy("metric", "value").agg(F.count("*").alias("n"))
-    ends = counted.groupBy("metric").agg(F.min("value").alias("bottom"), F.max("value").alias("top"))
-    share = F.try_divide(F.col("value") - F.col("bottom"), F.col("top") - F.col("bottom"))
-    sliced = counted.join(F.broadcast(ends), "metric")  # a row for each metric
-    sliced = sliced.select("metric", "value", "n", F.floor(F.coalesce(share, F.lit(0.0)) * RANK_BINS).alias("slice"))
+    totals = counted.groupBy("metric").agg(
+        F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean")
+    )
+    share = F.try_divide(F.col("value") - F.col("min"), F.col("max") - F.col("min"))
+    sliced = counted.join(F.broadcast(totals), "metric")  # a row for each metric
+    sliced = sliced.withColumn("slice", F.floor(F.coalesce(share, F.lit(0.0)) * RANK_BINS))
     slices = sliced.groupBy("metric", "slice").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("metric").orderBy("slice")) - F.col("n")
     slices = slices.select("metric", "slice", before.alias("before"))  # at most RANK_BINS + 1 rows a metric
     within = F.sum("n").over(Window.partitionBy("metric", "slice").orderBy("value"))
     ranked = sliced.withColumn("within", within).join(F.broadcast(slices), ["metric", "slice"])
     upto = F.col("before") + F.col("within")
-    return ranked.select("metric", "value", "n", (upto - F.col("n")).alias("below"), upto.alias("upto"))
+    return ranked.select("metric", "value", "n", (upto - F.col("n")).alias("below"), upto.alias("upto"), "count", "min", "max", "mean")
+
+
+def at_rank(quantile: float) -> Column:
+    """Of ranked values the one at place floor(n q), from 0."""
+    place = F.floor(F.col("count") * F.lit(quantile))
+    return F.max(F.when((F.col("below") <= place) & (place < F.col("upto")), F.col("value")))
 
 
 def nearest_rank(assets: DataFrame, quantiles: dict[str, float], metrics: tuple[str, ...] = STATISTIC_METRICS) -> DataFrame:
     """Per metric and quantile q the value at place floor(n q), from 0, of the ascending values."""
-    ranked = ranked_values(assets, metrics)
-    total = _long(assets, metrics).groupBy("metric").agg(F.count("*").alias("count"))
-    joined = ranked.join(total, "metric")
-    place = {q: F.floor(F.col("count") * F.lit(x)) for q, x in quantiles.items()}
-    at = [F.max(F.when((F.col("below") <= p) & (p < F.col("upto")), F.col("value"))).alias(q) for q, p in place.items()]
-    return joined.groupBy("metric").agg(F.max("count").alias("count"), *at)
+    return ranked_values(assets, metrics).groupBy("metric").agg(F.max("count").alias("count"), *(at_rank(q).alias(k) for k, q in quantiles.items()))
 
 
 def metric_statistics(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_METRICS) -> DataFrame:
     """Per metric with values: count, min, max, mean, population deviation, median and quartiles by rank."""
-    plain = _long(assets, metrics).groupBy("metric").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_dev")
+    gap = F.col("value") - F.col("mean")
+    return ranked_values(assets, metrics).groupBy("metric").agg(
+        F.max("count").alias("count"),
+        F.max("min").alias("min"),
+        F.max("max").alias("max"),
+        F.max("mean").alias("mean"),
+        F.sqrt(F.sum(F.col("n") * gap * gap) / F.max("count")).alias("std_dev"),
+        at_rank(0.5).alias("median"),
+        at_rank(0.25).alias("q25"),
+        at_rank(0.75).alias("q75"),
     )
-    ranks = nearest_rank(assets, {"median": 0.5, "q25": 0.25, "q75": 0.75}, metrics)
-    return plain.join(ranks, "metric").select("metric", "count", "min", "max", "mean", "std_dev", "median", "q25", "q75")
 
 
 def metric_histogram(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_METRICS, bins: int = BINS) -> DataFrame:
