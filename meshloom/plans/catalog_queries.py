@@ -18,7 +18,7 @@ _BEST = f"best as (select * from (select *, row_number() over (partition by id o
 
 
 def _now():
-    return F.lit(NOW).cast("timestamp")
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:

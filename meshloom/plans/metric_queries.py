@@ -98,7 +98,7 @@ def merge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _assets(spark, sf_dir)
     none = F.lit(None).cast("double")
     new = old.where("model_id % 3 = 0").select("model_id", F.lit(64).alias("voxel_resolution"), (F.col("material_count") + 1).alias("material_count"), "vertex_count", (F.col("vvd") * 2).alias("vvd"), none.alias("vfc"), none.alias("vsc"))
-    return metrics.merge_metrics(old, new, FIELDS, now=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return metrics.merge_metrics(old, new, FIELDS, now=F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
 
 
 @query("nearest_rank", f"with {_RANKED} select metric, max(n) as count, {_RANKS} from ranked group by metric")

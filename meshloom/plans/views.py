@@ -108,7 +108,7 @@ def with_views(body: str, texts: dict[str, str] = VIEWS) -> str:
 
 def run_sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     """The rows of a statement over views and tables, read from a folder."""
-    text = with_views(body, VIEWS | SPARK)
+    text = with_views(body, VIEWS | SPARK).replace("timestamp '", "timestamp_ntz '")  # as DuckDB's, without a time zone
     used = set(re.findall(rf"(?:from|join)\s+({'|'.join(TABLES)})\b", text))
     text = re.sub(rf"\b(from|join)\s+({'|'.join(TABLES)})\b", r"\1 {\2}", text)
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
