@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, broadcast_file, ragged
+from .common import blocks, broadcast_file, ragged, small
 
 #: Unicode's White_Space, as a class of characters.
 WS = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -36,7 +36,7 @@ NO_MERGE = np.int32(2**31 - 1)
 #: Characters that are handled at once; bounds the size of the flat arrays.
 BLOCK_CHARS = 4 << 20
 #: Chunks that a worker keeps.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -156,9 +156,10 @@ class Tokenizer:
         self.token_bytes = texts
         self.text_flat, self.text_start, self.text_size = _ragged_of(texts)
         self.dec_flat, self.dec_start, self.dec_size = _ragged_of([b"%d," % i for i in range(len(texts))])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the chunks that are kept; a task does so at its end, as its worker goes on to other work."""
         self._slot: dict[str, int] = {}
         self._ids, self._start, self._size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -215,7 +216,7 @@ class Tokenizer:
     def _slots(self, chunks: list[str]) -> np.ndarray:
         """The place of each chunk among those kept; new ones are encoded first."""
         if len(self._slot) > CACHE_CHUNKS:
-            self._forget()
+            self.forget()
         slots = list(map(self._slot.get, chunks))
         if None in slots:
             new = list(dict.fromkeys(c for c, k in zip(chunks, slots, strict=True) if k is None))
@@ -357,7 +358,7 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(held.value)
-        for batch in batches:
+        for batch in small(batches):
             n, ids_hex, text_hex, all_ids, all_texts = [], [], [], [], []
             count, of_ids, of_text, first = 0, hashlib.sha256(), hashlib.sha256(), True
             kept: list[np.ndarray] = []
@@ -394,6 +395,7 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        tok.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids

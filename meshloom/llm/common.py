@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: The largest file that ``broadcast_file`` ships to executors.
 MAX_BROADCAST_BYTES = 64 << 20
 
+#: Rows that an operator handles at once.
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, which unpickle its functions by name; once an application."""
@@ -67,6 +71,14 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores behind it as long as ``df`` has a column of that name, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs ``flat[start[i] : start[i] + size[i]]``, one after another."""
     ends = np.cumsum(size)
@@ -84,6 +96,13 @@ def sum_runs(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def blocks(items: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
     """Groups consecutive items, whose last member is a text, into lists of about ``size`` characters."""
     block, chars = [], 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, small
 
 UNKNOWN = "und"
 #: Hash buckets of trigrams.
@@ -35,7 +35,7 @@ MAX_SET, ROUNDS = 3, 8
 PENALTY = 2.0
 #: Nats a word's likelihood may differ by between languages: one odd word can't decide alone.
 CLIP = 12.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 BLOCK_CHARS = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -154,7 +154,7 @@ def train_languages(docs: DataFrame, held_out: int | None = 2, folds: int = 4, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << BITS), np.int64)
         known: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in small(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 flat: list[int] = []
                 for w in words_of(text):
@@ -181,7 +181,7 @@ def add_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(held.value)
-        for batch in batches:
+        for batch in small(batches):
             lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if held.value.languages:
                 for block in blocks(((i, t or "") for i, t in enumerate(batch.column(at).to_pylist())), BLOCK_CHARS):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import text_blocks, tokenizer
-from .common import broadcast_file
+from .common import broadcast_file, small
 
 #: The last class with its own cut length; shorter pieces are classed by length.
 LAST_CLASS = 64
@@ -135,7 +135,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays(columns, names)
 
         id_type = [pa.int64()]
-        for batch in batches:
+        for batch in small(batches):
             id_type[0] = batch.schema.field(0).type
             doc_ids = batch.column(0).to_pylist()
             parts: list[np.ndarray] = []
@@ -150,6 +150,7 @@ def pack_documents(
                         bins.add((doc_ids[i], len(own)), 0, own)
                         parts = []
                 yield placed()
+        tok.forget()
         bins.close()
         yield placed()
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocks, checkpointed
+from .common import blocks, checkpointed, small
 from .components import connected_components
 from .golay import keys as golay_keys
 
@@ -91,7 +91,7 @@ def add_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3, na
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             prints = fingerprints(batch.column(at).to_pylist(), width).view(np.int64)
             yield batch.append_column(name, pa.array(prints))
 
@@ -107,7 +107,7 @@ def print_links(prints: DataFrame, name: str = "fp") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             column = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at in range(0, len(column), 4096):
                 own = column[at : at + 4096]

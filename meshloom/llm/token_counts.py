@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Tokenizer, text_blocks
-from .common import broadcast_file
+from .common import broadcast_file, small
 
 
 class ShortcutTokenizer(Tokenizer):
@@ -76,7 +76,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = shortcut_tokenizer(held.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             n = np.zeros(len(texts), np.int64)
             for block in text_blocks(tok, texts):
@@ -84,6 +84,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
             size = [0 if t is None else len(t) if t.isascii() else len(t.encode()) for t in texts]
             columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit)]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "over_limit"])
+        tok.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

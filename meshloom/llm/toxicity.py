@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import blocks, crc_mod
+from .common import blocks, crc_mod, small
 
 #: Hash buckets of features.
 BITS = 20
@@ -28,7 +28,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 #: A clean document that is called toxic counts as so many toxic ones that are missed.
 FALSE_COST = 5
 #: Words kept with their hashes by a worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 BLOCK_CHARS = 2 << 20
 _WORD = re.compile(r"\w+").findall
 
@@ -152,7 +152,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, marked, hashes = [], [], WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             for block in blocks(zip(batch.column("mark").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], strict=True), BLOCK_CHARS):
                 bucket, doc = feature_buckets([t for _, t in block], hashes)
                 pair = np.unique(doc << BITS | bucket)
@@ -180,7 +180,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), held.value.table()
-        for batch in batches:
+        for batch in small(batches):
             out = np.zeros(batch.num_rows)
             for block in blocks(((i, t or "") for i, t in enumerate(batch.column(at).to_pylist())), BLOCK_CHARS):
                 out[[i for i, _ in block]] = held.value.scores([t for _, t in block], hashes, table)
