@@ -189,6 +189,27 @@ def test_near_texts(spark, monkeypatch, bucket):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(best.values())
 
 
+def test_near_texts_of_one_passage(spark, monkeypatch):
+    """Pairs of near copies in a large group whose texts are alike, but not similar: every text of it is a poor centre."""
+    monkeypatch.setattr(near_text, "BUCKET", 1)
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice([*"abcdefghijkl"], 7))
+    passage = [word() for _ in range(200)]
+    rows = []
+    for _ in range(60):
+        own = list(passage)
+        for at in rng.integers(0, 200, 4):
+            own[at] = word()
+        for _ in range(2):
+            rows.append((len(rows), " ".join(own)))
+            for at in rng.integers(0, 200, 4):
+                own[at] = word()
+    sets = [shingle_set(t) for _, t in rows]
+    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    kept = near_text.drop_near_duplicates(odd_documents(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def test_near_texts_odd(spark):
     docs = odd_documents(spark)
     kept = near_text.drop_near_duplicates(docs)
