@@ -30,8 +30,6 @@ CLASSES = 64
 SIZE = CLASSES * CLASSES
 RARE = 256
 WIDTH, WINDOW = 24, 3
-#: One token in STRIDE is a target in training, all are in scoring.
-STRIDE = 8
 BATCH, RATE, SEED = 2048, 0.15, 11
 #: Words whose numbers a worker keeps.
 CACHE_WORDS = 200_000
@@ -181,22 +179,55 @@ class Trainer:
         d_top /= n
         d_low /= n
         d_hidden = d_top @ net.classes.T
-        grads = [np.zeros_like(a) for a in net.arrays()]
-        grads[3], grads[4] = hidden.T @ d_top, d_top.sum(0)
-        for c in np.unique(kind).tolist():
+        kinds = np.flatnonzero(np.diff(edges))
+        of_words, of_bias = np.empty((len(kinds), WIDTH, CLASSES), np.float32), np.empty((len(kinds), CLASSES), np.float32)
+        for i, c in enumerate(kinds.tolist()):
             a, b = edges[c], edges[c + 1]
-            grads[5][c], grads[6][c] = hidden[a:b].T @ d_low[a:b], d_low[a:b].sum(0)
+            of_words[i], of_bias[i] = hidden[a:b].T @ d_low[a:b], d_low[a:b].sum(0)
             d_hidden[a:b] += d_low[a:b] @ net.words[c].T
         d_sum = d_hidden * (1 - hidden * hidden)
-        grads[1], grads[2] = np.einsum("npw,nw->pw", near, d_sum), d_sum.sum(0)
         spread = (d_sum[:, None, :] * net.place).reshape(-1, WIDTH)
         flat = around.ravel()
         by = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[by], prepend=-1))
-        grads[0][flat[by][first]] = np.add.reduceat(spread[by], first, axis=0)
-        for a, s, g in zip(net.arrays(), self.seen, grads, strict=True):
-            s += (g * n) ** 2 / n
-            a -= RATE * g * np.sqrt(n) / np.sqrt(s)
+        every = slice(None)
+        grads = [
+            (flat[by][first], np.add.reduceat(spread[by], first, axis=0)),
+            (every, np.einsum("npw,nw->pw", near, d_sum)),
+            (every, d_sum.sum(0)),
+            (every, hidden.T @ d_top),
+            (every, d_top.sum(0)),
+            (kinds, of_words),
+            (kinds, of_bias),
+        ]
+        # only what the batch touches has a gradient
+        for a, s, (rows, g) in zip(net.arrays(), self.seen, grads, strict=True):
+            total = s[rows] + (g * n) ** 2 / n
+            s[rows] = total
+            a[rows] -= RATE * g * np.sqrt(n) / np.sqrt(total)
+
+
+def train_on(texts: Iterator[list[str | None]], vocabulary: Vocabulary, part: int) -> tuple[WindowNetwork, int]:
+    """A network trained once on every token of the texts, and the number of these tokens."""
+    trainer, trained = Trainer(WindowNetwork.fresh()), 0
+    rng = np.random.default_rng((SEED, part))
+    left_around, left_target = np.zeros((0, 2 * WINDOW), np.int32), np.zeros(0, np.int32)
+    for batch in texts:
+        for block in blocks(((t,) for t in batch if t), BLOCK_CHARS):
+            words = [tokens_of(t) for (t,) in block]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            ids = vocabulary.ids([w for ws in words for w in ws])
+            at = rng.permutation(len(ids))
+            around, target = np.concatenate([left_around, windows(ids, size, at)]), np.concatenate([left_target, ids[at]])
+            full = len(target) // BATCH * BATCH
+            for a in range(0, full, BATCH):
+                trainer.step(around[a : a + BATCH], target[a : a + BATCH])
+            trained += full
+            left_around, left_target = around[full:], target[full:]
+    if len(left_target):
+        trainer.step(left_around, left_target)
+        trained += len(left_target)
+    return trainer.net, trained
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -223,30 +254,9 @@ def train_network(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary,
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, trained = Trainer(WindowNetwork.fresh()), 0
-        rng = np.random.default_rng((SEED, TaskContext.get().partitionId()))
-        held_around: list[np.ndarray] = []
-        held_target: list[np.ndarray] = []
-        for batch in batches:
-            for block in blocks(((t,) for t in batch.column(0).to_pylist() if t), BLOCK_CHARS):
-                words = [tokens_of(t) for (t,) in block]
-                size = np.fromiter(map(len, words), np.int64, len(words))
-                ids = held.value.ids([w for ws in words for w in ws])
-                at = np.arange(int(rng.integers(STRIDE)), len(ids), STRIDE)
-                at = rng.permutation(at)
-                held_around.append(windows(ids, size, at))
-                held_target.append(ids[at])
-                around, target = np.concatenate(held_around), np.concatenate(held_target)
-                full = len(target) // BATCH * BATCH
-                for a in range(0, full, BATCH):
-                    trainer.step(around[a : a + BATCH], target[a : a + BATCH])
-                trained += full
-                held_around, held_target = [around[full:]], [target[full:]]
-        if held_target and len(held_target[0]):
-            trainer.step(held_around[0], held_target[0])
-            trained += len(held_target[0])
+        net, trained = train_on((b.column(0).to_pylist() for b in batches), held.value, TaskContext.get().partitionId())
         if trained:
-            flat = trainer.net.flat().astype(np.float64)
+            flat = net.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * trained), pa.array(np.full(len(flat), trained))], ["place", "total", "weight"])
 
     copies = docs.select(text_col).mapInArrow(run, "place long, total double, weight long")

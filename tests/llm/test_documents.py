@@ -325,6 +325,19 @@ def test_op6_odd(spark):
     assert lm_scores.lm_scores(odd_documents(spark, [])).count() == 0
 
 
+def test_training_uses_every_token():
+    texts = ["one two three four five " * k for k in range(1, 40)]
+    seen = []
+    step = lm_scores.Trainer.step
+    try:
+        lm_scores.Trainer.step = lambda self, around, target: (seen.append(len(target)), step(self, around, target))
+        net, trained = lm_scores.train_on(iter([texts[:20], [None, "", *texts[20:]]]), lm_scores.Vocabulary(["one", "two"]), 0)
+    finally:
+        lm_scores.Trainer.step = step
+    assert trained == sum(seen) == sum(len(t.split()) for t in texts)
+    assert np.isfinite(net.flat()).all()
+
+
 # ---- secrets
 
 
