@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: The largest file that ``broadcast_file`` ships to executors.
 MAX_BROADCAST_BYTES = 64 << 20
 
+#: Rows of a table that ``joined_with`` sends to all executors; keys and hashes, some 20 MB at most.
+MAX_BROADCAST_ROWS = 200_000
+
 #: Rows that an operator handles at once.
 BATCH_ROWS = 1000
 
@@ -66,6 +69,12 @@ def broadcast_file(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(data)
 
 
+def joined_with(rows: DataFrame, keys: DataFrame, on: list[str] | list[Column], how: str) -> DataFrame:
+    """``rows`` joined with a table of short keys, which is counted: few are sent to ``rows``, many are met in a shuffle."""
+    few = keys.count() <= MAX_BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo ``n`` (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
