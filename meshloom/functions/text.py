@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 LABEL_COMMENT = r"(?i)#\s*label:\s*(.+)$"
 LABEL_BRACKET = r"(?i)\[LABEL:([^\]]+)\]"
 
+# Fixed value: what counts as white space in names and labels.
+SPACE = r"[\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
 #: Marks that have a meaning in a regular expression.
 _MARKS = re.compile(r"([\\.^$|?*+()\[\]{}])")
 
 
+def trimmed(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def collapse_ws(text: Column) -> Column:
-    """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space of any kind as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
 
 
 def norm_name(name: Column) -> Column:
@@ -32,7 +40,7 @@ def extension(name: Column) -> Column:
 
 def label_from_material(name: Column) -> Column:
     """The label in a material's name, written as a comment at its end or in brackets; else null."""
-    found = [F.nullif(F.trim(F.regexp_extract(name, p, 1)), F.lit("")) for p in (LABEL_COMMENT, LABEL_BRACKET)]
+    found = [F.nullif(trimmed(F.regexp_extract(name, p, 1)), F.lit("")) for p in (LABEL_COMMENT, LABEL_BRACKET)]
     return F.coalesce(*found)
 
 
@@ -55,7 +63,7 @@ def has_keyword(text: Column, keywords: list[str], literal: bool = False) -> Col
 
 def describe_error(code: Column, *messages: Column, default: str = "unknown error") -> Column:
     """The first message that isn't blank, else ``default``; behind the code in brackets, where there is one."""
-    said = F.coalesce(*(F.nullif(F.trim(m), F.lit("")) for m in messages), F.lit(default))
+    said = F.coalesce(*(F.nullif(trimmed(m), F.lit("")) for m in messages), F.lit(default))
     return F.when(code.isNotNull(), F.concat(F.lit("["), code.cast("string"), F.lit("] "), said)).otherwise(said)
 
 
@@ -80,7 +88,7 @@ def parse_response(body: Column) -> Column:
     content = F.try_variant_get(reply, "$.choices[0].message.content", "variant")
     parts = F.try_variant_get(content, "$", "array<struct<type string, text string>>")
     joined = F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == "text") & p["text"].isNotNull()), lambda p: p["text"]), "")
-    text = F.trim(F.coalesce(F.when(parts.isNotNull(), joined), F.try_variant_get(content, "$", "string"), F.lit("")))
+    text = trimmed(F.coalesce(F.when(parts.isNotNull(), joined), F.try_variant_get(content, "$", "string"), F.lit("")))
     tokens = lambda name: F.coalesce(F.try_variant_get(reply, f"$.usage.{name}", "long"), F.lit(0).cast("long"))
     error = F.when(reply.isNull(), "no JSON").when(F.try_variant_get(reply, "$.choices[0]", "variant").isNull(), "no choices")
     return F.struct(

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, broadcast_file, ragged, small
+from .common import blocks, broadcast_file, ragged, ship, small
 
 #: Unicode's White_Space, as a class of characters.
 WS = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -354,6 +354,7 @@ def bpe_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
     rows give repeated results; a null id stays null; an empty table gives an
     empty one. Other columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     held = broadcast_file(docs.sparkSession, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

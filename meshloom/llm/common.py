@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,9 @@ MAX_BROADCAST_ROWS = 200_000
 
 #: Rows that an operator handles at once.
 BATCH_ROWS = 1000
+#: Characters of a text that are made into words at once, about.
+PIECE_CHARS = 1 << 20
+_SPACE = re.compile(r"\s")
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -112,6 +118,18 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, cut before white space."""
+    at = 0
+    while len(text) - at > size:
+        cut = _SPACE.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def blocks(items: Iterable[tuple], size: int) -> Iterator[list[tuple]]:
     """Groups consecutive items, whose last member is a text, into lists of about ``size`` characters."""
     block, chars = [], 0

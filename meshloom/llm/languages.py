@@ -4,12 +4,14 @@ Each language has a distribution over hashed character trigrams, so every word
 has a likelihood in every language. A document is a mixture of languages: its
 proportions are estimated by expectation-maximisation over its words, and the set
 of languages is the one whose likelihood, less a penalty for each language, is
-greatest.
+greatest. Sets grow by the language of the next greatest proportion for as long as
+that gains.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,22 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import blocks, crc_mod, small
+from .common import blocks, crc_mod, pieces, ragged, ship, small
 
 UNKNOWN = "und"
 #: Hash buckets of trigrams.
 BITS = 14
 #: Labelled documents that a language is learnt from: about so many at most.
 SAMPLE = 3000
-#: Distinct languages at most; a model has a row of 2^BITS numbers for each.
-MAX_LANGUAGES = 512
-#: Languages of a document at most, and rounds of estimation.
-MAX_SET, ROUNDS = 3, 8
+#: Languages that sets of every document are tried with, and rounds of estimation.
+TRIED, ROUNDS = 3, 8
 #: Penalty for each language beyond the first, in units of the logarithm of the number of words.
 PENALTY = 2.0
 #: Nats a word's likelihood may differ by between languages: one odd word can't decide alone.
 CLIP = 12.0
-CACHE_WORDS = 150_000
+CACHE_WORDS = 200_000
+#: Numbers that a worker keeps of words seen before, and handles at once, about.
+CACHE_NUMBERS, BLOCK_NUMBERS = 1 << 22, 1 << 21
 BLOCK_CHARS = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -70,7 +72,7 @@ class Identifier:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of every word in every language, less that of its best one."""
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > min(CACHE_WORDS, CACHE_NUMBERS // len(self.model.languages)):
             self._forget()
         new = list(set(words).difference(self.place))
         if new:
@@ -85,49 +87,67 @@ class Identifier:
 
     def mixtures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Proportions of the languages in each text (zero outside the chosen set), and its number of words."""
-        words = [words_of(t) for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
+        counts: list[Counter[str]] = []
+        for t in texts:
+            counts.append(Counter())
+            for piece in pieces(t):
+                counts[-1].update(words_of(piece))
+        n = np.fromiter((c.total() for c in counts), np.int64, len(counts))
+        different = np.fromiter(map(len, counts), np.int64, len(counts))
         out = np.zeros((len(texts), len(self.model.languages)))
         full = np.flatnonzero(n)
-        if len(full):
-            rows = self.word_rows([w for ws in words for w in ws])
-            out[full] = choose_sets(rows, n[full])
+        # so many texts at once that their words' numbers take bounded room, but for a single text
+        upto = np.cumsum(different[full]) * len(self.model.languages) // BLOCK_NUMBERS
+        for part in np.split(full, np.flatnonzero(np.diff(upto)) + 1):
+            if len(part):
+                rows = self.word_rows([w for i in part.tolist() for w in counts[i]])
+                times = np.fromiter((k for i in part.tolist() for k in counts[i].values()), np.float32, len(rows))
+                out[part] = choose_sets(rows, different[part], times)
         return out, n
 
 
-def estimate(likelihood: np.ndarray, size: np.ndarray, share: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of each text after ``rounds`` rounds from ``share``, and its log-likelihood with them."""
+def estimate(likelihood: np.ndarray, size: np.ndarray, share: np.ndarray, times: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions of each text after ``rounds`` rounds from ``share``, and its log-likelihood with them; a word counts so many ``times``."""
     start, doc = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    n = np.add.reduceat(times, start, dtype=np.float64)[:, None]
     for _ in range(rounds):
         part = likelihood * share[doc]
-        part /= np.maximum(part.sum(1, keepdims=True), 1e-30)
-        share = np.add.reduceat(part, start, axis=0) / size[:, None].astype(np.float32)
-    total = np.log(np.maximum((likelihood * share[doc]).sum(1), 1e-30))
+        part *= (times / np.maximum(part.sum(1), 1e-30))[:, None]
+        share = (np.add.reduceat(part, start, axis=0) / n).astype(np.float32)
+    total = times * np.log(np.maximum((likelihood * share[doc]).sum(1), 1e-30))
     return share, np.add.reduceat(total, start)
 
 
-def choose_sets(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Proportions within the best set of at most MAX_SET languages for each text.
+def choose_sets(rows: np.ndarray, size: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Proportions within the best set of languages for each text of ``size`` different words.
 
-    Candidate sets are the k languages with the greatest proportions, for each k;
-    ties go to the language that comes first.
+    Candidate sets are the k languages with the greatest proportions: for k up to
+    TRIED, and on as long as one more language gains. Ties go to the language that
+    comes first.
     """
-    likelihood = np.exp(rows)
     n_docs, n_lang = len(size), rows.shape[1]
-    share, _ = estimate(likelihood, size, np.full((n_docs, n_lang), 1 / n_lang, np.float32))
+    likelihood, start = np.exp(rows), np.cumsum(size) - size
+    n = np.add.reduceat(times, start, dtype=np.float64)
+    share, _ = estimate(likelihood, size, np.full((n_docs, n_lang), 1 / n_lang, np.float32), times)
     order = np.argsort(-share, axis=1, kind="stable")
-    single = np.add.reduceat(rows, np.cumsum(size) - size, axis=0, dtype=np.float64)
+    single = np.add.reduceat(rows * times[:, None], start, axis=0, dtype=np.float64)
     top = single.argmax(1)
     best = np.zeros((n_docs, n_lang))
     best[np.arange(n_docs), top] = 1
     best_value = single[np.arange(n_docs), top]
-    for k in range(2, min(MAX_SET, n_lang) + 1):
-        chosen = np.zeros((n_docs, n_lang), np.float32)
-        np.put_along_axis(chosen, order[:, :k], 1, axis=1)
-        within, value = estimate(likelihood, size, share * chosen + chosen * np.float32(1e-3), ROUNDS // 2)
-        value = value - PENALTY * (k - 1) * np.log(size + 1.0)
-        better = value > best_value
-        best[better], best_value[better] = within[better], value[better]
+    left = np.arange(n_docs)
+    for k in range(2, n_lang + 1):
+        word = ragged(np.arange(len(rows)), start[left], size[left])
+        chosen = np.zeros((len(left), n_lang), np.float32)
+        np.put_along_axis(chosen, order[left, :k], 1, axis=1)
+        within, value = estimate(likelihood[word], size[left], share[left] * chosen + chosen * np.float32(1e-3), times[word], ROUNDS // 2)
+        value = value - PENALTY * (k - 1) * np.log(n[left] + 1.0)
+        better = value > best_value[left]
+        best[left[better]], best_value[left[better]] = within[better], value[better]
+        if k >= TRIED:
+            left = left[better]
+        if not len(left):
+            break
     return best
 
 
@@ -136,14 +156,14 @@ def train_languages(docs: DataFrame, held_out: int | None = 2, folds: int = 4, s
 
     Of a language with more than ``sample`` documents, those are taken whose
     hashed id is below ``sample`` / their number: about ``sample``. Counts are summed
-    by Spark; the driver gets one number for each language and bucket.
+    by Spark; the driver gets one number for each language and bucket, and the
+    model holds 64 KB for each language.
     """
+    ship(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out is not None:
         rows = rows.where(crc_mod(F.col(id_col), folds) != held_out)
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy("lang").collect()
     languages = [r["lang"] for r in counts]
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
@@ -156,15 +176,16 @@ def train_languages(docs: DataFrame, held_out: int | None = 2, folds: int = 4, s
         known: dict[str, list[int]] = {}
         for batch in small(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                flat: list[int] = []
-                for w in words_of(text):
-                    if w not in known:
-                        if len(known) > CACHE_WORDS:
-                            known.clear()
-                        known[w] = trigram_buckets(w)
-                    flat += known[w]
-                if flat:
-                    total[number[lang]] += np.bincount(flat, minlength=1 << BITS)
+                for piece in pieces(text):
+                    flat: list[int] = []
+                    for w in words_of(piece):
+                        if w not in known:
+                            if len(known) > CACHE_WORDS:
+                                known.clear()
+                            known[w] = trigram_buckets(w)
+                        flat += known[w]
+                    if flat:
+                        total[number[lang]] += np.bincount(flat, minlength=1 << BITS)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
@@ -176,7 +197,8 @@ def train_languages(docs: DataFrame, held_out: int | None = 2, folds: int = 4, s
 
 def add_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the language of the greatest proportion in each whole text, and that proportion (a narrow map)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x 2^BITS numbers
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS numbers for each language
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,79 +2,101 @@
 
 Every token is predicted from the ``WINDOW`` tokens on both sides of it, as if it
 were masked: their embeddings, weighted by place, are summed to a hidden vector,
-which predicts the token's class and then the token within its class. The sum of
-the log-probabilities of all tokens is the document's score.
-
-The vocabulary is counted over the whole corpus. Each task then trains a copy of
-the network on its own documents, and Spark averages the copies' numbers,
-weighted by the tokens they were trained on.
+which predicts the token's class and then the token within its class. A word
+outside the vocabulary is predicted as one of a few kinds of rare words, and its
+probability is that of the kind times the word's share in it. The sum of the
+log-probabilities of all tokens is the document's score.
+
+Words are counted over the whole corpus, and texts are then encoded once. The
+network is trained on every token: documents are dealt by hash to shards of
+about ``SHARD_TOKENS`` and to ``ROUNDS`` rounds. In each round every shard goes
+on from the mean of the last one, and Spark sums the shards' numbers, weighted by
+their tokens, in the order of the shards. So the result doesn't depend on how the
+table is split.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import checkpointed, pieces, shared_dir, ship, small
 
-#: Classes, and tokens in a class. Token 0 stands outside a text, tokens below RARE for words outside the vocabulary.
+#: Classes, and tokens in a class. Token 0 stands outside a text, tokens below RARE for kinds of words outside the vocabulary.
 CLASSES = 64
 SIZE = CLASSES * CLASSES
 RARE = 256
+#: Cells that the words of a rare kind are counted in, by hash: words that share a cell share its probability.
+CELLS = 1 << 14
 WIDTH, WINDOW = 24, 3
-BATCH, RATE, SEED = 2048, 0.15, 11
+BATCH, RATE, SEED = 8192, 0.25, 11
+#: Tokens that one network is trained on, about, and the rounds of averaging that they are dealt to.
+SHARD_TOKENS, ROUNDS = 2 << 20, 3
+#: Parts that a network's numbers are summed in, and networks that are summed at once.
+SLICES, FAN = 16, 64
 #: Words whose numbers a worker keeps.
 CACHE_WORDS = 200_000
 #: Words that a counting task holds before it hands them on.
 COUNT_WORDS = 400_000
-BLOCK_CHARS = 1 << 19
+SCORED = 1 << 15
 _TOKEN = re.compile(r"\w+|[^\w\s]+").findall
+STEPS = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
 
 
 def tokens_of(text: str) -> list[str]:
     return _TOKEN(text.lower())
 
 
-class _Numbers(dict):
-    """Numbers of words; those of rare words are found when they are asked for, and some are kept."""
+def rare_id(token: str) -> int:
+    """One of the numbers 1 to RARE - 1 for a word outside the vocabulary."""
+    return 1 + zlib.crc32(token[-3:].encode()) % (RARE - 1)
+
+
+class _Codes(dict):
+    """Codes of words; those of rare words are found when they are asked for, and some are kept."""
 
     def __missing__(self, token: str) -> int:
-        found = rare_id(token)
+        found = zlib.crc32(token.encode()) % CELLS * SIZE + rare_id(token)
         if len(self) < CACHE_WORDS:
             self[token] = found
         return found
 
 
 class Vocabulary:
-    """Numbers of tokens: the commonest words in order, the rest by a hash of their last letters."""
+    """Numbers of tokens: the commonest words in order, the rest by a hash of their last letters.
+
+    A code is a token's number and, above that, the cell of a rare word.
+    ``shares`` are the logarithms of the cells' shares in their kinds.
+    """
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], shares: np.ndarray | None = None):
         self.words = words[: SIZE - RARE]
-        self._number = None
+        self.shares = np.full(RARE * CELLS, -np.log(CELLS), np.float32) if shares is None else shares
+        self._codes = None
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "_number": None}
-
-    def ids(self, tokens: list[str]) -> np.ndarray:
-        if self._number is None:
-            self._number = _Numbers((w, RARE + i) for i, w in enumerate(self.words))
-        return np.fromiter(map(self._number.__getitem__, tokens), np.int32, len(tokens))
+        return {"words": self.words, "shares": self.shares, "_codes": None}
 
+    def codes(self, tokens: list[str]) -> np.ndarray:
+        if self._codes is None:
+            self._codes = _Codes((w, RARE + i) for i, w in enumerate(self.words))
+        return np.fromiter(map(self._codes.__getitem__, tokens), np.int64, len(tokens))
 
-def rare_id(token: str) -> int:
-    """One of the numbers 1 to RARE - 1 for a word outside the vocabulary."""
-    h = 0
-    for c in token[-3:]:
-        h = h * 131 + ord(c)
-    return 1 + h % (RARE - 1)
+    def encoded(self, text: str | None) -> tuple[np.ndarray, float]:
+        """The numbers of a text's tokens, and the sum of its rare words' shares; long texts are handled in pieces."""
+        code = np.concatenate([np.zeros(0, np.int64), *(self.codes(tokens_of(p)) for p in pieces(text or ""))])
+        ids, cell = code % SIZE, code // SIZE
+        rare = ids < RARE
+        return ids.astype(np.uint16), float(self.shares[ids[rare] * CELLS + cell[rare]].sum(dtype=np.float64))
 
 
 @dataclass
@@ -109,136 +131,162 @@ class WindowNetwork:
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
 
-    def forward(self, around: np.ndarray, target: np.ndarray) -> tuple:
-        """Log-probabilities of the targets, and what the gradients need; targets must be sorted by class."""
-        near = self.embed[around]
-        hidden = np.tanh(np.einsum("npw,pw->nw", near, self.place) + self.bias)
-        kind, word = target // CLASSES, target % CLASSES
-        top = log_softmax(hidden @ self.classes + self.class_bias)
-        low = np.empty((len(target), CLASSES), np.float32)
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in np.unique(kind).tolist():
-            a, b = edges[c], edges[c + 1]
-            low[a:b] = hidden[a:b] @ self.words[c] + self.word_bias[c]
-        low = log_softmax(low)
-        at = np.arange(len(target))
-        return top[at, kind] + low[at, word], near, hidden, kind, word, top, low, edges
-
-
-    def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """What ``forward`` gives first, without the rest; targets must be sorted by class."""
-        hidden = np.tanh(np.einsum("npw,pw->nw", self.embed[around], self.place) + self.bias)
-        kind = target // CLASSES
-        out = picked(hidden @ self.classes + self.class_bias, kind)
-        low = np.empty((len(target), CLASSES), np.float32)
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[c], edges[c + 1]
-            np.matmul(hidden[a:b], self.words[c], out=low[a:b])
-            low[a:b] += self.word_bias[c]
-        return out + picked(low, target % CLASSES)
-
-
-def picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row at one place."""
-    x -= x.max(1, keepdims=True)
-    found = x[np.arange(len(x)), at]
-    return found - np.log(np.exp(x, out=x).sum(1))
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def windows(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The tokens around the places ``at`` of consecutive texts; 0 outside a text."""
-    doc = np.repeat(np.arange(len(size)), size)
-    steps = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
-    place = at[:, None] + steps
-    inside = (place >= 0) & (place < len(ids))
-    place = np.where(inside, place, 0)
-    return np.where(inside & (doc[place] == doc[at][:, None]), ids[place], 0)
+    def placed(self) -> list[np.ndarray]:
+        """For each step from a token, what every token there adds to the hidden vector."""
+        return [self.embed * p for p in self.place]
+
+
+def steady(logits: np.ndarray, bound: float) -> np.ndarray:
+    """Logits whose exponentials are finite; only if ``bound`` allows larger ones is a row's maximum taken off."""
+    return logits if bound < 80 else logits - logits.max(1, keepdims=True)
+
+
+def bound_of(weights: np.ndarray, bias: np.ndarray) -> float:
+    """The largest logit that a hidden vector, whose numbers lie between -1 and 1, can lead to."""
+    return float((np.abs(weights).sum(-2) + np.abs(bias)).max())
+
+
+def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after another with WINDOW zeros around each, and the places of their tokens."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.arange(size.sum()) + WINDOW * (1 + np.repeat(np.arange(len(texts)), size))
+    flat = np.zeros(size.sum() + WINDOW * (1 + len(texts)), np.int32)
+    if len(at):
+        flat[at] = np.concatenate(texts)
+    return flat, at
+
+
+def by_class(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the places ``at`` by the class of their token, and the classes and words in it, and where each class begins."""
+    kind = (flat[at] // CLASSES).astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    return order, kind[order].astype(np.int64), flat[at][order] % CLASSES, np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES))]
+
+
+def class_logits(net: WindowNetwork, hidden: np.ndarray, edges: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Each row's logits of the words of its class, written to ``low``; rows are sorted by class."""
+    for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if a < b:
+            np.matmul(hidden[a:b], net.words[c], out=low[a:b])
+            low[a:b] += net.word_bias[c]
+    return low
+
+
+def log_likelihoods(net: WindowNetwork, flat: np.ndarray, at: np.ndarray, placed: list[np.ndarray] | None = None) -> np.ndarray:
+    """The log-probability of the tokens at some places from the tokens around them."""
+    placed, out = placed or net.placed(), np.empty(len(at))
+    bounds, ones = (bound_of(net.classes, net.class_bias), bound_of(net.words, net.word_bias)), np.ones(CLASSES, np.float32)
+    for a in range(0, len(at), SCORED):
+        own = at[a : a + SCORED]
+        order, kind, word, edges = by_class(flat, own)
+        own, row = own[order], np.arange(len(own))
+        hidden = np.repeat(net.bias[None], len(own), axis=0)
+        for step, table in zip(STEPS.tolist(), placed, strict=True):
+            hidden += np.take(table, flat[own + step], axis=0)
+        np.tanh(hidden, out=hidden)
+        found = np.zeros(len(own))
+        top = hidden @ net.classes
+        top += net.class_bias
+        for logits, pick, bound in ((top, kind, bounds[0]), (class_logits(net, hidden, edges, np.empty_like(top)), word, bounds[1])):
+            logits = steady(logits, bound)
+            found += logits[row, pick]
+            found -= np.log(np.exp(logits, out=logits) @ ones)
+        out[a + order] = found
+    return out
 
 
 class Trainer:
-    """Adagrad on batches of targets."""
-
-    def __init__(self, net: WindowNetwork):
-        self.net, self.seen = net, [np.full(a.shape, 1e-3, np.float32) for a in net.arrays()]
-
-    def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        order = np.argsort(target // CLASSES, kind="stable")
-        around, target = around[order], target[order]
-        net, n = self.net, len(target)
-        _, near, hidden, kind, word, top, low, edges = net.forward(around, target)
-        at = np.arange(n)
-        d_top, d_low = np.exp(top), np.exp(low)
-        d_top[at, kind] -= 1
-        d_low[at, word] -= 1
-        d_top /= n
-        d_low /= n
-        d_hidden = d_top @ net.classes.T
+    """Adagrad on batches of targets; ``seen`` are the sums of squared gradients. Large arrays are made once."""
+
+    def __init__(self, net: WindowNetwork, seen: list[np.ndarray] | None = None):
+        self.net, self.seen = net, seen or [np.full(a.shape, 1e-3, np.float32) for a in net.arrays()]
+        self._space: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self._space or len(self._space[name]) < size:
+            self._space[name] = np.empty(size, np.float32)
+        return self._space[name][:size].reshape(shape)
+
+    def step(self, flat: np.ndarray, at: np.ndarray) -> None:
+        """One step on the tokens at some places."""
+        net, n, row, ones = self.net, len(at), np.arange(len(at)), np.ones(max(len(at), CLASSES), np.float32)
+        order, kind, word, edges = by_class(flat, at)
+        at = at[order]
+        used = np.concatenate([flat[at + step] for step in STEPS.tolist()]).astype(np.uint16)
+        near = np.take(net.embed, used, axis=0, out=self._room("near", len(used), WIDTH), mode="clip").reshape(2 * WINDOW, n, WIDTH)
+        hidden = np.einsum("pnw,pw->nw", near, net.place, out=self._room("hidden", n, WIDTH))
+        hidden += net.bias
+        np.tanh(hidden, out=hidden)
+        top = np.matmul(hidden, net.classes, out=self._room("top", n, CLASSES))
+        top += net.class_bias
+        low = class_logits(net, hidden, edges, self._room("low", n, CLASSES))
+        # gradients of the mean loss by the logits: what is predicted, less what is there
+        for logits, pick, bound in ((top, kind, bound_of(net.classes, net.class_bias)), (low, word, bound_of(net.words, net.word_bias))):
+            logits[:] = steady(logits, bound)
+            np.exp(logits, out=logits)
+            logits *= (1 / (n * (logits @ ones[:CLASSES])))[:, None]
+            logits[row, pick] -= np.float32(1 / n)
+        back = np.matmul(top, net.classes.T, out=self._room("back", n, WIDTH))
         kinds = np.flatnonzero(np.diff(edges))
-        of_words, of_bias = np.empty((len(kinds), WIDTH, CLASSES), np.float32), np.empty((len(kinds), CLASSES), np.float32)
+        of_words, of_bias = self._room("of_words", len(kinds), WIDTH, CLASSES), self._room("of_bias", len(kinds), CLASSES)
         for i, c in enumerate(kinds.tolist()):
             a, b = edges[c], edges[c + 1]
-            of_words[i], of_bias[i] = hidden[a:b].T @ d_low[a:b], d_low[a:b].sum(0)
-            d_hidden[a:b] += d_low[a:b] @ net.words[c].T
-        d_sum = d_hidden * (1 - hidden * hidden)
-        spread = (d_sum[:, None, :] * net.place).reshape(-1, WIDTH)
-        flat = around.ravel()
-        by = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            np.matmul(hidden[a:b].T, low[a:b], out=of_words[i])
+            np.matmul(ones[: b - a], low[a:b], out=of_bias[i])
+            back[a:b] += low[a:b] @ net.words[c].T
+        of_top = hidden.T @ top
+        hidden *= hidden
+        np.subtract(1, hidden, out=hidden)
+        back *= hidden
+        by = np.argsort(used, kind="stable")
+        first = np.flatnonzero(np.diff(used[by].astype(np.int32), prepend=-1))
+        spread = np.multiply(back.T[:, None, :], net.place.T[:, :, None], out=self._room("spread", WIDTH, 2 * WINDOW, n)).reshape(WIDTH, -1)
+        sorted_spread = np.take(spread, by, axis=1, out=self._room("sorted", WIDTH, len(by)), mode="clip")
+        of_embed = np.ascontiguousarray(np.add.reduceat(sorted_spread, first, axis=1).T)
         every = slice(None)
+        touched = every if len(kinds) == CLASSES else kinds
         grads = [
-            (flat[by][first], np.add.reduceat(spread[by], first, axis=0)),
-            (every, np.einsum("npw,nw->pw", near, d_sum)),
-            (every, d_sum.sum(0)),
-            (every, hidden.T @ d_top),
-            (every, d_top.sum(0)),
-            (kinds, of_words),
-            (kinds, of_bias),
+            (used[by][first].astype(np.int64), of_embed),
+            (every, np.einsum("pnw,nw->pw", near, back)),
+            (every, ones[:n] @ back),
+            (every, of_top),
+            (every, ones[:n] @ top),
+            (touched, of_words),
+            (touched, of_bias),
         ]
         # only what the batch touches has a gradient
-        for a, s, (rows, g) in zip(net.arrays(), self.seen, grads, strict=True):
-            total = s[rows] + (g * n) ** 2 / n
+        for k, (a, s, (rows, g)) in enumerate(zip(net.arrays(), self.seen, grads, strict=True)):
+            g *= np.float32(np.sqrt(n))
+            total = np.multiply(g, g, out=self._room(f"total{k}", *g.shape))
+            total += s[rows]
             s[rows] = total
-            a[rows] -= RATE * g * np.sqrt(n) / np.sqrt(total)
-
-
-def train_on(texts: Iterator[list[str | None]], vocabulary: Vocabulary, part: int) -> tuple[WindowNetwork, int]:
-    """A network trained once on every token of the texts, and the number of these tokens."""
-    trainer, trained = Trainer(WindowNetwork.fresh()), 0
-    rng = np.random.default_rng((SEED, part))
-    left_around, left_target = np.zeros((0, 2 * WINDOW), np.int32), np.zeros(0, np.int32)
-    for batch in texts:
-        for block in blocks(((t,) for t in batch if t), BLOCK_CHARS):
-            words = [tokens_of(t) for (t,) in block]
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            ids = vocabulary.ids([w for ws in words for w in ws])
-            at = rng.permutation(len(ids))
-            around, target = np.concatenate([left_around, windows(ids, size, at)]), np.concatenate([left_target, ids[at]])
-            full = len(target) // BATCH * BATCH
-            for a in range(0, full, BATCH):
-                trainer.step(around[a : a + BATCH], target[a : a + BATCH])
-            trained += full
-            left_around, left_target = around[full:], target[full:]
-    if len(left_target):
-        trainer.step(left_around, left_target)
-        trained += len(left_target)
-    return trainer.net, trained
+            np.sqrt(total, out=total)
+            g /= total
+            g *= np.float32(RATE)
+            a[rows] -= g
+
+
+def train_on(texts: list[np.ndarray], trainer: Trainer, seed: int) -> int:
+    """Trains once on every token of the texts, in an order by ``seed``; the number of tokens."""
+    flat, at = laid_out(texts)
+    at = np.random.default_rng((SEED, seed)).permutation(at)
+    batch = min(BATCH, max(512, len(at) // 64))  # a small corpus is seen in small steps
+    for a in range(0, len(at), batch):
+        trainer.step(flat, at[a : a + batch])
+    return len(at)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, n) over all texts; tasks hand on what they have counted whenever it is much."""
 
+    ship(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(tokens_of(text))
+                for piece in pieces(text or ""):
+                    counts.update(tokens_of(piece))
             if len(counts) > COUNT_WORDS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
                 counts.clear()
@@ -247,31 +295,100 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train_network(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, WindowNetwork]:
-    """The vocabulary of the whole corpus and the network averaged over all tasks; the driver gets SIZE words and the network's numbers."""
-    common = word_counts(docs, text_col).orderBy(F.desc("n"), "token").limit(SIZE - RARE).collect()
-    vocabulary = Vocabulary([r["token"] for r in common])
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, int]:
+    """The vocabulary of all texts and the number of tokens; the driver gets SIZE words and at most RARE x CELLS counts."""
+    counts = checkpointed(word_counts(docs, text_col))
+    words = [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(SIZE - RARE).collect()]
+    held = docs.sparkSession.sparkContext.broadcast(Vocabulary(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, trained = train_on((b.column(0).to_pylist() for b in batches), held.value, TaskContext.get().partitionId())
-        if trained:
-            flat = net.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * trained), pa.array(np.full(len(flat), trained))], ["place", "total", "weight"])
-
-    copies = docs.select(text_col).mapInArrow(run, "place long, total double, weight long")
-    mean = copies.groupBy("place").agg((F.sum("total") / F.sum("weight")).alias("value")).toPandas().sort_values("place")
-    return vocabulary, WindowNetwork.of(mean["value"].to_numpy()) if len(mean) else WindowNetwork.fresh()
-
-
-def log_likelihoods(net: WindowNetwork, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The log-probability of every token of consecutive texts from the tokens around it."""
-    out = np.empty(len(ids))
-    for a in range(0, len(ids), 1 << 13):
-        at = np.arange(a, min(len(ids), a + (1 << 13)))
-        at = at[np.argsort(ids[at] // CLASSES, kind="stable")]
-        out[at] = net.log_probabilities(windows(ids, size, at), ids[at])
-    return out
+        for batch in batches:
+            code, n = held.value.codes(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            ids = code % SIZE
+            cell = np.where(ids < RARE, ids * CELLS + code // SIZE, -1)  # -1: words of the vocabulary
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    found = counts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = found.column("cell").to_numpy(), found.column("n").to_numpy()
+    of_cell = np.zeros(RARE * CELLS)
+    of_cell[cell[cell >= 0]] = n[cell >= 0]
+    of_kind = of_cell.reshape(RARE, CELLS).sum(1, keepdims=True)
+    shares = np.log((of_cell.reshape(RARE, CELLS) + 1 / CELLS) / (of_kind + 1)).ravel().astype(np.float32)
+    return Vocabulary(words, shares), int(n.sum())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, rare, mix, round, shard) of every text, written to the shared folder: 16 bits a token."""
+    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(vocabulary)  # of fixed size
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [held.value.encoded(t) for t in batch.column(1).to_pylist()]
+            ids, rare = pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary()), pa.array([r for _, r in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, rare, batch.column(2)], ["id", "ids", "rare", "mix"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mix"))
+    rows = rows.mapInArrow(run, f"id {kind}, ids binary, rare double, mix long")
+    shards = max(1, -(-tokens // SHARD_TOKENS))
+    rows = rows.withColumn("round", F.pmod("mix", F.lit(ROUNDS)).cast("int")).withColumn("shard", F.pmod(F.shiftright("mix", 8), F.lit(shards)))
+    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def summed(parts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The sums of (slice, shard, weight, net, seen) over all shards: FAN at a time, in the order of the shards. None without any."""
+
+    def add(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
+        total = {c: np.sum([np.frombuffer(r[c]) for r in rows], axis=0).tobytes() for c in ("net", "seen")}
+        return pa.Table.from_pylist([{"slice": rows[0]["slice"], "shard": rows[0]["shard"] // FAN, "weight": sum(r["weight"] for r in rows), **total}], group.schema)
+
+    while True:
+        parts = parts.groupBy("slice", F.floor(F.col("shard") / FAN).alias("of")).applyInArrow(add, parts.schema)
+        shards = -(-shards // FAN)
+        if shards == 1:
+            break
+    rows = sorted(parts.collect(), key=lambda r: r["slice"])
+    if not rows:
+        return None
+    return np.concatenate([np.frombuffer(r["net"]) for r in rows]), np.concatenate([np.frombuffer(r["seen"]) for r in rows]), rows[0]["weight"]
+
+
+def train_rounds(encoded: DataFrame, tokens: int) -> WindowNetwork:
+    """The network after ROUNDS rounds over the shards; the driver gets one network's numbers a round."""
+    spark, shards = encoded.sparkSession, max(1, -(-tokens // SHARD_TOKENS))
+    net, seen = WindowNetwork.fresh(), None
+    kind = "slice int, shard long, weight double, net binary, seen binary"
+    schema = pa.schema([("slice", pa.int32()), ("shard", pa.int64()), ("weight", pa.float64()), ("net", pa.binary()), ("seen", pa.binary())])
+    for turn in range(ROUNDS if tokens else 0):
+        held = spark.sparkContext.broadcast((net, seen))  # of fixed size
+
+        def run(shard: pa.Table, held=held, turn=turn) -> pa.Table:
+            net, seen = held.value
+            trainer = Trainer(WindowNetwork.of(net.flat()), seen and [s.copy() for s in seen])
+            rows = sorted(zip(shard.column("mix").to_pylist(), shard.column("ids").to_pylist(), strict=True))
+            number = shard.column("shard")[0].as_py()
+            weight = train_on([np.frombuffer(ids, "<u2") for _, ids in rows], trainer, ROUNDS * number + turn)
+            cut = lambda arrays: np.array_split(np.concatenate([a.ravel() for a in arrays]).astype(np.float64) * weight, SLICES)
+            both = zip(cut(trainer.net.arrays()), cut(trainer.seen), strict=True)
+            return pa.Table.from_pylist([{"slice": i, "shard": number, "weight": float(weight), "net": a.tobytes(), "seen": b.tobytes()} for i, (a, b) in enumerate(both)], schema)
+
+        mine = encoded.where((F.col("round") == turn) & (F.length("ids") > 0)).select("shard", "mix", "ids").repartition(shards, "shard")
+        parts = mine.groupBy("shard").applyInArrow(run, kind)
+        if found := summed(parts, shards):
+            flat, squares, weight = found
+            net, seen = WindowNetwork.of(flat / weight), WindowNetwork.of(squares / weight).arrays()
+    return net
+
+
+def train_network(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, WindowNetwork]:
+    """The vocabulary of the whole corpus and the network trained on all its tokens."""
+    vocabulary, tokens = learn_vocabulary(docs, text_col)
+    return vocabulary, train_rounds(encode(docs.select(F.lit(None).cast("int").alias("none"), text_col), vocabulary, tokens, "none", text_col), tokens)
 
 
 def lm_scores(docs: DataFrame, model: tuple[Vocabulary, WindowNetwork] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,27 +396,34 @@ def lm_scores(docs: DataFrame, model: tuple[Vocabulary, WindowNetwork] | None =
 
     Returns one row per input row: the id column, ``n_tokens``,
     ``log_likelihood`` (the sum over all tokens) and ``score`` (its mean, null for
-    a text without tokens). Without a model one is trained on ``docs`` first.
+    a text without tokens). Without a model one is trained on ``docs`` first; the
+    encoded texts then stay in the shared folder, where the result reads them.
 
     A null text counts as empty: 0 tokens, likelihood 0. Repeated rows give
     repeated results, up to the rounding of single precision; a null id stays null, an empty table gives an empty one.
     Other columns are ignored, whatever their names.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model or train_network(docs, text_col))  # of fixed size
+    spark = docs.sparkSession
+    if model is None:
+        vocabulary, tokens = learn_vocabulary(docs, text_col)
+        encoded = encode(docs, vocabulary, tokens, id_col, text_col)
+        net = train_rounds(encoded, tokens)
+    else:
+        vocabulary, net = model
+        encoded = encode(docs, vocabulary, 0, id_col, text_col)
+    held = spark.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net = held.value
-        for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for block in blocks(((i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t), BLOCK_CHARS):
-                words = [tokens_of(t) for _, t in block]
-                size = np.fromiter(map(len, words), np.int64, len(words))
-                row = np.repeat([i for i, _ in block], size)
-                value = log_likelihoods(net, vocabulary.ids([w for ws in words for w in ws]), size)
-                n += np.bincount(row, minlength=len(n))
-                total += np.bincount(row, weights=value, minlength=len(n))
+        placed = held.value.placed()
+        for batch in small(batches):
+            texts = [np.frombuffer(i, "<u2") for i in batch.column(1).to_pylist()]
+            flat, at = laid_out(texts)
+            n = np.fromiter(map(len, texts), np.int64, len(texts))
+            value = log_likelihoods(held.value, flat, at, placed)
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=value, minlength=len(n)) + batch.column(2).to_numpy()
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], [id_col, "n_tokens", "log_likelihood", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["id", "n_tokens", "log_likelihood", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double, score double")
+    found = encoded.select("id", "ids", "rare").mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, score double")
+    return found.withColumnRenamed("id", id_col)

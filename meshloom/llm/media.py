@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from .common import shared_dir
+from .common import shared_dir, ship
 
 #: Bytes in a row of samples; payloads are padded with zeros to a positive multiple.
 UNIT = 64
@@ -115,6 +115,7 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     is whole, so a task that is run again leaves no second copy.
     """
 
+    ship(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, root = file_system(folder)
         part, done = TaskContext.get().partitionId(), 0
@@ -248,6 +249,7 @@ class MediaArchiveSource(DataSource):
 
 
 def read_media(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(MediaArchiveSource)
     return spark.read.format("media_archive").options(**options).load(folder)
 

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ragged, ship
+
 #: Sorted arrays of a block, and the share of them a vector must collide in.
 PROJECTIONS, COLLISIONS = 64, 0.56
 #: Half a window's width for radius 1, and the factor from one radius to the next.
 HALF_WIDTH, GROWTH = 1.0, 1.25
 #: Vectors and queries that are compared at once.
-BLOCK_ROWS, QUERY_ROWS = 8192, 4096
+BLOCK_ROWS, QUERY_ROWS = 8192, 16384
 SEED = 7
 
 
@@ -33,7 +35,7 @@ class SortedProjections:
         self.ids, self.vectors = ids, vectors
         self.axes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         projected = vectors @ self.axes
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
         # a first radius that few vectors lie within
         spread = np.sqrt(((vectors - vectors.mean(0)) ** 2).sum(1)).mean()
@@ -41,22 +43,21 @@ class SortedProjections:
 
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k nearest found, as (distance, id), nearest first, ties by id."""
-        at = query @ self.axes
-        middle = [int(np.searchsorted(s, x)) for s, x in zip(self.sorted, at, strict=True)]
-        low, high = list(middle), list(middle)
-        count = np.zeros(len(self.ids), np.int16)
+        at, n, base = query @ self.axes, len(self.ids), np.arange(PROJECTIONS) * len(self.ids)
+        low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
+        high, flat = low.copy(), self.order.ravel()
+        count = np.zeros(n, np.int64)
         checked = self.ids == own
-        need, n = math.ceil(COLLISIONS * PROJECTIONS), len(self.ids)
+        need = math.ceil(COLLISIONS * PROJECTIONS)
         best: list[tuple[float, int]] = []
         radius = self.radius
         while True:
             half = HALF_WIDTH * radius
-            for j in range(PROJECTIONS):
-                a = min(int(np.searchsorted(self.sorted[j], at[j] - half, side="left")), low[j])
-                b = max(int(np.searchsorted(self.sorted[j], at[j] + half, side="right")), high[j])
-                count[self.order[j, a : low[j]]] += 1
-                count[self.order[j, high[j] : b]] += 1
-                low[j], high[j] = a, b
+            ends = np.array([np.searchsorted(s, (x - half, np.nextafter(x + half, np.inf))) for s, x in zip(self.sorted, at, strict=True)])
+            a, b = np.minimum(ends[:, 0], low), np.maximum(ends[:, 1], high)
+            # what the wider windows add at both sides
+            count += np.bincount(ragged(flat, np.r_[base + a, base + high], np.r_[low - a, b - high]), minlength=n)
+            low, high = a, b
             fresh = np.flatnonzero((count >= need) & ~checked)
             if len(fresh):
                 checked[fresh] = True
@@ -65,7 +66,7 @@ class SortedProjections:
                 ids = self.ids[fresh]
                 first = np.lexsort((ids, distance))[:k]
                 best = sorted([*best, *zip(distance[first].tolist(), ids[first].tolist(), strict=True)])[:k]
-            if len(best) == k and best[-1][0] <= radius or all(a == 0 and b == n for a, b in zip(low, high, strict=True)):
+            if len(best) == k and best[-1][0] <= radius or not low.any() and (high == n).all():
                 return best
             radius *= GROWTH
 
@@ -92,6 +93,7 @@ def nearest_neighbours(table: DataFrame, every: int = 100, k: int = 10, id_col:
     QUERY_ROWS; each pair of blocks is one group, and a query's results of all
     blocks are merged by rank.
     """
+    ship(table.sparkSession)
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null").where(usable(F.col("v")))
     queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n, q = rows.count(), queries.count()

@@ -1,13 +1,13 @@
 """Harmonic packing of documents into fixed-length training sequences.
 
-Class ``k`` takes pieces of exactly ``capacity // k`` tokens and fills each of
-its bins with exactly ``k`` of them. A document is cut greedily: each piece is
-the largest class length that still fits into what is left of it, so what is
-left shrinks with the square and a document needs few pieces. What is shorter
-than the last class's length forms classes by its own length. Every worker fills
-its own bins, so nothing is shuffled. Bins still open at a worker's end are laid
-end to end and cut at the capacity and then at powers of two, which need no
-padding.
+Documents are classed by their length: class ``k`` holds those of which ``k`` fit
+into a sequence but not ``k + 1``, and each of its bins takes exactly ``k`` of them
+whole. What a full bin leaves free is filled by the next document, which is cut
+there; what is left of it is classed by its own length. So a bin has at most one
+piece that is cut at its end, and no padding. Documents longer than a sequence
+are cut into whole sequences first. Every worker fills its own bins, so nothing is
+shuffled. Bins still open at a worker's end are laid end to end and cut at the
+capacity and then at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -21,66 +21,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import text_blocks, tokenizer
-from .common import broadcast_file, small
+from .common import broadcast_file, ship, small
 
-#: The last class with its own cut length; shorter pieces are classed by length.
+#: The last class; shorter documents belong to it, too.
 LAST_CLASS = 64
 #: Sequence ids of a worker follow its partition's number shifted by so many bits.
 WORKER_SHIFT = 32
 
 
-def class_of(left: int, capacity: int) -> tuple[int, int]:
-    """For ``left`` tokens (1 to capacity): the class of the next piece and its length."""
-    k = -(-capacity // left)
-    if k <= LAST_CLASS:
-        return k, capacity // k
-    return capacity // left, left
+def class_of(length: int, capacity: int) -> int:
+    """How many documents of this length (1 to capacity) a bin takes."""
+    return min(capacity // length, LAST_CLASS)
 
 
 class Bins:
-    """The bins of one worker: takes documents' pieces and places them."""
+    """The bins of one worker: takes documents and places their pieces."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
-        self.open: dict[tuple[int, int], list] = {}
+        #: by class, the documents of the bin that is being filled
+        self.open: dict[int, list[tuple[tuple, int, np.ndarray]]] = {}
+        #: a bin with all its documents that isn't full, and the tokens in it
+        self.gap: list[tuple[tuple, int, np.ndarray]] = []
+        self.used = 0
         #: placed pieces: document, start, ids, sequence, offset
         self.placed: list[tuple[tuple, int, np.ndarray, int, int]] = []
 
-    def _sequence(self) -> int:
+    def _place(self, pieces: list[tuple[tuple, int, np.ndarray]]) -> None:
+        offset = 0
+        for doc, start, ids in pieces:
+            self.placed.append((doc, start, ids, self.next_id, offset))
+            offset += len(ids)
         self.next_id += 1
-        return self.next_id - 1
 
     def add(self, doc: tuple, start: int, ids: np.ndarray) -> None:
-        """Cuts ``ids``, which stand at ``start`` of the document, into pieces for the classes."""
+        """Takes ``ids``, which stand at ``start`` of the document."""
         while len(ids):
-            k, size = class_of(min(len(ids), self.capacity), self.capacity)
-            piece, ids = ids[:size], ids[size:]
-            if k == 1:
-                self.placed.append((doc, start, piece, self._sequence(), 0))
-            else:
-                held = self.open.setdefault((k, size), [])
-                held.append((doc, start, piece.copy()))
-                if len(held) == k:
-                    sequence = self._sequence()
-                    self.placed += [(d, s, p, sequence, i * size) for i, (d, s, p) in enumerate(held)]
-                    del self.open[k, size]
-            start += size
+            room = self.capacity - self.used if self.gap else self.capacity
+            if len(ids) >= room or self.gap:
+                piece, ids = ids[:room], ids[room:]
+                self.gap.append((doc, start, piece.copy()))
+                self.used += len(piece)
+                start += len(piece)
+                if self.used == self.capacity:
+                    self._place(self.gap)
+                    self.gap, self.used = [], 0
+                continue
+            k = class_of(len(ids), self.capacity)
+            held = self.open.setdefault(k, [])
+            held.append((doc, start, ids.copy()))
+            if len(held) == k:
+                # with no gap open, this bin's is the one to be filled
+                self.gap, self.used = self.open.pop(k), sum(len(p) for *_, p in held)
+                if self.used == self.capacity:
+                    self._place(self.gap)
+                    self.gap, self.used = [], 0
+            return
 
     def close(self) -> None:
         """Places what lies in open bins, end to end, in full sequences and then in powers of two."""
-        rest = [x for _, held in sorted(self.open.items()) for x in held]
+        rest = [*self.gap, *(x for _, held in sorted(self.open.items()) for x in held)]
         total = sum(len(p) for *_, p in rest)
         sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in range(total.bit_length(), -1, -1) if (total % self.capacity) >> b & 1]
         sequence = room = size = 0
         for doc, start, ids in rest:
             while len(ids):
                 if not room:
-                    sequence, room = self._sequence(), sizes.pop(0)
+                    sequence, room = self.next_id, sizes.pop(0)
+                    self.next_id += 1
                     size = room
                 piece, ids = ids[:room], ids[room:]
                 self.placed.append((doc, start, piece, sequence, size - room))
                 start, room = start + len(piece), room - len(piece)
         self.open.clear()
+        self.gap, self.used = [], 0
 
 
 def pack_documents(
@@ -99,15 +113,16 @@ def pack_documents(
     before the piece), ``length``, ``ids_crc32`` (of the little-endian unsigned
     32-bit ids), ``doc_tokens``, ``sequence_id`` and ``offset`` (place in the
     sequence, gapless from 0); with ``with_tokens`` also ``ids``. Each id lies in
-    exactly one piece. A sequence holds ``capacity`` tokens less at most
-    ``LAST_CLASS`` of padding, or a power of two of them without padding.
+    exactly one piece. A sequence holds ``capacity`` tokens, or a power of two of
+    them, without padding.
 
     A narrow map: each partition fills its own bins, its open ones bounded by one
-    bin a class. ``capacity`` must be a power of two. A null or empty text is
+    bin a class and one with a gap. ``capacity`` must be a power of two. A null or empty text is
     packed as its end id alone. Repeated rows are packed each for itself, with
     the same id; a null id stays null; an empty table gives an empty one. Other
     columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     if capacity & (capacity - 1) or capacity < LAST_CLASS:
         raise ValueError(f"capacity must be a power of two of at least {LAST_CLASS}")
     held = broadcast_file(docs.sparkSession, vocab_path)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocks, checkpointed, small
+from .common import blocks, checkpointed, ship, small
 from .components import connected_components
 from .golay import keys as golay_keys
 
@@ -88,6 +88,7 @@ def fingerprint_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def add_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3, name: str = "fingerprint_bits") -> DataFrame:
     """``docs`` with a long column of the fingerprint's bits (a narrow map)."""
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +107,7 @@ def print_links(prints: DataFrame, name: str = "fp") -> DataFrame:
     the same ones.
     """
 
+    ship(prints.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             column = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)

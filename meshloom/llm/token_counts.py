@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Tokenizer, text_blocks
-from .common import broadcast_file, small
+from .common import broadcast_file, ship, small
 
 
 class ShortcutTokenizer(Tokenizer):
@@ -72,6 +72,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
     rows give repeated results, a null id stays null, an empty table gives an
     empty one. Other columns are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     held = broadcast_file(docs.sparkSession, vocab_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import blocks, crc_mod, small
+from .common import blocks, crc_mod, ship, small
 
 #: Hash buckets of features.
 BITS = 20
 #: Labelled documents of each class that the model is learnt from, at most.
 SAMPLE = 4000
 EPOCHS = 6
+#: Tasks that make the features of the sample.
+FEATURE_TASKS = 64
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 #: A clean document that is called toxic counts as so many toxic ones that are missed.
 FALSE_COST = 5
@@ -123,7 +125,11 @@ def cut_between(margins: np.ndarray, labels: np.ndarray) -> float:
 
 
 def calibrated(rows: list[np.ndarray], labels: np.ndarray) -> ToxicityModel:
-    """Trains on four fifths, finds the cut on the rest, then trains on all; the bias moves by the cut."""
+    """Trains on four fifths, finds the cut on the rest, then trains on all; the bias moves by the cut.
+
+    So a score of a half means the cut, where missed and false calls cost the same; the score
+    orders documents by their likelihood of being toxic but isn't that likelihood itself.
+    """
     part = np.arange(len(rows)) % 5 == 4
     model = train_ftrl(rows, labels)
     if 0 < labels[part].sum() < part.sum() and 0 < labels[~part].sum() < (~part).sum():
@@ -137,10 +143,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     """Learns from labelled documents outside fold ``held_out`` (None: from all).
 
     At most ``sample`` documents of each class are taken, those whose ids have the
-    smallest hashes, and handled in one task. Rows without a label or an id teach
+    smallest hashes. Their features are made in many tasks; one task learns from
+    the features' buckets, at most 4 MB a document. Rows without a label or an id teach
     nothing; of several labels of an id the largest counts. Without both classes
     the model is a constant.
     """
+    ship(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out is not None:
         marks = marks.where(crc_mod(F.col(id_col), folds) != held_out)
@@ -150,15 +158,24 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most 2 x sample rows
     rows = rows.groupBy("id", "mark", "order").agg(F.max("text").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, marked, hashes = [], [], WordHashes()
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in small(batches):
-            for block in blocks(zip(batch.column("mark").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], strict=True), BLOCK_CHARS):
-                bucket, doc = feature_buckets([t for _, t in block], hashes)
+            rows: list[np.ndarray] = []
+            for block in blocks(((t or "",) for t in batch.column("text").to_pylist()), BLOCK_CHARS):
+                bucket, doc = feature_buckets([t for (t,) in block], hashes)
                 pair = np.unique(doc << BITS | bucket)
-                ends = np.searchsorted(pair, np.arange(1, len(block)) << BITS)
-                seen += [x.astype(np.int32) for x in np.split(pair & (1 << BITS) - 1, ends)]
-                marked += [m for m, _ in block]
+                rows += np.split((pair & (1 << BITS) - 1).astype(np.int32), np.searchsorted(pair, np.arange(1, len(block)) << BITS))
+            columns = [batch.column("order"), batch.column("id"), batch.column("mark"), pa.array(rows, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["order", "id", "mark", "buckets"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, marked = [], []
+        for batch in batches:
+            lists = batch.column("buckets")
+            ends = lists.offsets.to_numpy()
+            seen += [lists.values.to_numpy()[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            marked += batch.column("mark").to_pylist()
         mark = np.array(marked, np.float64)
         if 0 < mark.sum() < len(mark):
             model = calibrated(seen, mark)
@@ -167,7 +184,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
         buckets, weights = [-1, *model.buckets.tolist()], [model.bias, *model.weights.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(weights, pa.float64())], ["bucket", "weight"])
 
-    found = rows.orderBy("order", "id").coalesce(1).mapInArrow(run, "bucket long, weight double").toPandas()
+    kind = rows.schema["id"].dataType.simpleString()
+    made = rows.repartition(FEATURE_TASKS, "order").mapInArrow(features, f"order long, id {kind}, mark int, buckets array<int>")
+    found = made.orderBy("order", "id").coalesce(1).mapInArrow(run, "bucket long, weight double").toPandas()
     bias = found.loc[found["bucket"] == -1, "weight"]
     rest = found[found["bucket"] >= 0]
     return ToxicityModel(rest["bucket"].to_numpy(), rest["weight"].to_numpy(), float(bias.iloc[0]) if len(bias) else -35.0)
@@ -175,6 +194,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability of every whole text (a narrow map); a null text scores as an empty one."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most 2^BITS weights, in fact some thousands
     at = docs.columns.index(text_col)
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshloom.sources.shared import shared_folder
+
 # The tiers, from the least to the most refined, and the formats taken.
 TIERS = ("raw", "labeled", "filtered")
 FORMATS = ("glb", "gltf", "obj", "fbx", "stl")
@@ -34,8 +36,13 @@ def resolve_assets(assets: DataFrame, tier: str = "tier", key: str = "id") -> Da
 
 
 def batch_lookup(requests: DataFrame, assets: DataFrame, base_url: str = "/files") -> DataFrame:
-    """For each request ``(position, id)`` the asset's name, size, tier and address, or an error; order kept in ``position``."""
-    best = resolve_assets(assets).select(F.col("id").alias("_id"), "size", F.col("tier").alias("type"))
+    """For each request ``(position, id)`` the asset's name, size, tier and address, or an error; order kept in ``position``.
+
+    Only requested assets are compared, and their tiers meet before the shuffle.
+    """
+    asked = assets.join(requests.select("id").distinct(), "id", "left_semi")
+    first = F.max_by(F.struct("size", "tier"), F.coalesce(tier_rank(F.col("tier")), F.lit(0)))
+    best = asked.groupBy(F.col("id").alias("_id")).agg(first.alias("_best")).select("_id", "_best.size", F.col("_best.tier").alias("type"))
     joined = requests.join(best, requests["id"] == best["_id"], "left")
     found = F.col("_id").isNotNull()
     return joined.select(
@@ -141,14 +148,18 @@ def numbered(assets: DataFrame, *order: Column) -> DataFrame:
     """``assets`` with ``place``, from 1, in ``order``, which must be total.
 
     A global row number without a single task for all rows: rows are sorted over
-    the cluster, the partitions' counts are summed, and each row adds its place in
-    its own partition.
+    the cluster and written once to the shared folder with their partition and
+    place there; the partitions' counts are summed, and each row adds its own
+    place. Counts and rows are read from what was written, so that both mean the
+    same partitions.
     """
-    rows = assets.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_slot", 33)).withColumn("_at", F.col("_slot").bitwiseAND((1 << 33) - 1))
+    spark, path = assets.sparkSession, shared_folder(assets.sparkSession, "numbered")
+    slot = F.monotonically_increasing_id()
+    assets.orderBy(*order).withColumns({"_part": F.shiftright(slot, 33), "_at": slot.bitwiseAND((1 << 33) - 1)}).write.parquet(path)
+    rows = spark.read.parquet(path)
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
-    return rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_slot", "_part", "_at", "_before")
+    return rows.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
 def page(assets: DataFrame, number: int, size: int, *order: Column) -> DataFrame:

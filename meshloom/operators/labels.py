@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.functions.text import collapse_ws, has_keyword, norm_name
+from meshloom.functions.text import collapse_ws, has_keyword, norm_name, trimmed
 
 # The views in their order, with the camera's position and target.
 VIEWS = (
@@ -22,8 +22,8 @@ OBJ_LABEL = r"(?i)^\s*usemtl\s+[^\s#]+[^#]*#\s*label:\s*(.+)$"
 
 
 def filled(text: Column) -> Column:
-    """The text, or null if it is blank."""
-    return F.when(F.trim(text) != "", text)
+    """The text, or null if it is empty; blanks are a text."""
+    return F.when(text != "", text)
 
 
 def valid_labels(results: DataFrame, keywords: list[str], literal: bool = False) -> DataFrame:
@@ -33,7 +33,7 @@ def valid_labels(results: DataFrame, keywords: list[str], literal: bool = False)
 
 
 def label_precedence(user_label: Column, semantic_label: Column, material_label: Column) -> Column:
-    """A mesh's label: the user's, else the semantic one, else its material's; blank ones don't count."""
+    """A mesh's label: the user's, else the semantic one, else its material's; empty ones don't count."""
     return F.coalesce(filled(user_label), filled(semantic_label), filled(material_label))
 
 
@@ -47,7 +47,8 @@ def label_edit(labels: DataFrame, edits: DataFrame, *keys: str) -> DataFrame:
 
     Of several edits of a mesh the last counts, by ``position``.
     """
-    good = edits.where(F.trim("text") != "").select(*keys, F.left(F.trim("text"), F.lit(MAX_LABEL)).alias("label"), "position")
+    text = trimmed(F.col("text"))
+    good = edits.where(text != "").select(*keys, F.left(text, F.lit(MAX_LABEL)).alias("label"), "position")
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("position")))
     good = good.withColumn("_place", last).where("_place = 1").select(*keys, "label")
     return labels.join(good.select(*keys), list(keys), "left_anti").select(*keys, "label").unionByName(good)

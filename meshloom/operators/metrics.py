@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Metrics that statistics cover, in order.
 STATISTIC_METRICS = ("material_count", "vvd", "vfc", "vsc", "vertex_count", "face_count", "occupied")
 BINS = 50
-#: Slices of a metric's range in which its values are ranked.
-RANK_BINS = 4096
+#: Slices of a metric's values in which they are ranked, about equally many in each.
+RANK_BINS = 128
 
 
 def metrics_status(assets: DataFrame, required: tuple[str, ...], resolution: int) -> DataFrame:
@@ -53,6 +55,17 @@ def merge_metrics(old: DataFrame, new: DataFrame, fields: tuple[str, ...], key:
     return joined.select(F.col(f"a.{key}"), *merged, *stamp)
 
 
+def refreshed_metrics(old: DataFrame, asked: DataFrame, compute: Callable[[DataFrame], DataFrame], required: tuple[str, ...], resolution: int, key: str = "model_id") -> DataFrame:
+    """``old`` with the metrics of the ``asked`` assets that need computing; assets that are complete are left alone.
+
+    ``compute`` gets the keys that are due and returns their metrics, which are laid over the old ones.
+    """
+    state = asked.select(key).distinct().join(old.withColumn("has_metrics", F.lit(True)), key, "left")
+    fresh = compute(metrics_status(state, required, resolution).where("needs_compute").select(key))
+    merged = merge_metrics(old, fresh, tuple(c for c in old.columns if c != key), key).drop("last_updated")
+    return merged.unionByName(fresh.join(old.select(key), key, "left_anti").select(*old.columns))
+
+
 def metric_filter(assets: DataFrame, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """``assets`` with ``passed``, ``failures`` (in the order of ``ranges``) and ``details`` for each metric.
 
@@ -106,20 +119,24 @@ def ranked_values(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_METRIC
     the values before it and up to it, and the metric's totals.
 
     Equal values are counted first, and all else is made from these counts, so
-    the assets are shuffled once. A metric's range is cut into RANK_BINS slices;
-    the counts of the slices are summed over a table of bounded size, and values
-    are ranked within their slice, so no metric's values meet in one task.
+    the assets are shuffled once. A metric's different values are cut at their
+    approximate quantiles into RANK_BINS slices of about equally many; the counts
+    of the slices are summed over a table of bounded size, and values are ranked
+    within their slice, so no metric's values meet in one task.
     """
     counted = _long(assets, metrics).groupBy("metric", "value").agg(F.count("*").alias("n"))
     totals = counted.groupBy("metric").agg(
-        F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean")
+        F.sum("n").alias("count"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"),
+        F.percentile_approx("value", [i / RANK_BINS for i in range(1, RANK_BINS)]).alias("cuts"),
     )
-    share = F.try_divide(F.col("value") - F.col("min"), F.col("max") - F.col("min"))
     sliced = counted.join(F.broadcast(totals), "metric")  # a row for each metric
-    sliced = sliced.withColumn("slice", F.floor(F.coalesce(share, F.lit(0.0)) * RANK_BINS))
+    sliced = sliced.withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
     slices = sliced.groupBy("metric", "slice").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("metric").orderBy("slice")) - F.col("n")
-    slices = slices.select("metric", "slice", before.alias("before"))  # at most RANK_BINS + 1 rows a metric
+    slices = slices.select("metric", "slice", before.alias("before"))  # at most RANK_BINS rows a metric
     within = F.sum("n").over(Window.partitionBy("metric", "slice").orderBy("value"))
     ranked = sliced.withColumn("within", within).join(F.broadcast(slices), ["metric", "slice"])
     upto = F.col("before") + F.col("within")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A run stands still if nothing has happened for more than so many milliseconds.
 STALL_MS = 600_000
+#: Milliseconds of a run that one task handles.
+SLICE_MS = 3_600_000
 
 
 def millis(ts: Column) -> Column:
@@ -14,20 +16,33 @@ def millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def _slice() -> Column:
+    return F.floor(millis(F.col("ts")) / SLICE_MS)
+
+
 def progress_eta(events: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """After each event of a run: how many are processed, succeeded and failed, the percentage, and the seconds left.
 
     ``events`` holds ``(run_id, event_id, ts, ok)``; the seconds left are the mean
     time since the run's first event times what remains. Without ``totals``
-    (``run_id, total``) a run's total is its number of events.
+    (``run_id, total``) a run's total is its number of events. Runs are cut into
+    slices of time; sums of the slices before are added to the places within one,
+    so a long run isn't one task's.
     """
-    order = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    if totals is None:
-        totals = events.groupBy("run_id").agg(F.count("*").alias("total"))
-    ms = millis(F.col("ts"))
-    rows = events.join(totals, "run_id").withColumns(
-        {"processed": F.count("*").over(upto), "succeeded": F.sum(F.col("ok").cast("long")).over(upto), "elapsed_ms": ms - F.min(ms).over(upto)}
+    ok, ms = F.col("ok").cast("long"), millis(F.col("ts"))
+    slices = events.groupBy("run_id", _slice().alias("slice")).agg(F.count("*").alias("n"), F.coalesce(F.sum(ok), F.lit(0)).alias("good"), F.min(ms).alias("first"))
+    earlier = Window.partitionBy("run_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("run_id")
+    slices = slices.select("run_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "good")), F.min("first").over(whole).alias("began"), F.sum("n").over(whole).alias("total"))
+    if totals is not None:
+        slices = slices.drop("total").join(totals, "run_id")
+    upto = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumn("slice", _slice()).join(slices, ["run_id", "slice"]).withColumns(
+        {
+            "processed": F.col("n_before") + F.count("*").over(upto),
+            "succeeded": F.col("good_before") + F.coalesce(F.sum(ok).over(upto), F.lit(0)),
+            "elapsed_ms": ms - F.col("began"),
+        }
     )
     left = F.col("total") - F.col("processed")
     return rows.select(
@@ -42,10 +57,17 @@ def progress_eta(events: DataFrame, totals: DataFrame | None = None) -> DataFram
 
 
 def stall_gap(events: DataFrame, limit_ms: int = STALL_MS) -> DataFrame:
-    """Events that come more than ``limit_ms`` after the one before in their run, with the gap."""
-    order = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    gap = millis(F.col("ts")) - millis(F.lag("ts").over(order))
-    return events.withColumn("gap_ms", gap).where(F.col("gap_ms") > limit_ms).select("run_id", "event_id", "gap_ms")
+    """Events that come more than ``limit_ms`` after the one before in their run, with the gap.
+
+    The event before a slice's first one is the last of the slice before.
+    """
+    ms = millis(F.col("ts"))
+    slices = events.groupBy("run_id", _slice().alias("slice")).agg(F.max(ms).alias("last"))
+    slices = slices.select("run_id", "slice", F.lag("last").over(Window.partitionBy("run_id").orderBy("slice")).alias("before"))
+    order = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id")
+    rows = events.withColumn("slice", _slice()).join(slices, ["run_id", "slice"])
+    gap = ms - F.coalesce(millis(F.lag("ts").over(order)), F.col("before"))
+    return rows.withColumn("gap_ms", gap).where(F.col("gap_ms") > limit_ms).select("run_id", "event_id", "gap_ms")
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:

@@ -10,7 +10,7 @@ from meshloom.operators import catalog, chunks
 from meshloom.plans.registry import query
 from meshloom.plans.views import run_sql, view
 from meshloom.sources import containers
-from meshloom.sources.storage import shared_folder
+from meshloom.sources.shared import shared_folder
 
 NOW = "2024-06-01 00:00:00"
 _RANK = "case tier when 'raw' then 1 when 'labeled' then 2 else 3 end"
@@ -288,31 +288,43 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_plan(run_sql(spark, sf_dir, "select doc_id as file_id, n_chars as size from documents"), 1000)
 
 
+#: Chunks that have arrived, and for each document an upload of no chunks, too.
+_LEFT = "rows as (select file_id, chunk_index, total_chunks, data from V_CHUNK_LEFT union all select -1 - doc_id, cast(null as int), 0, cast(null as varchar(1)) from documents)"
+
+
 def _left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "V_CHUNK_LEFT")
+    return run_sql(spark, sf_dir, f"with {_LEFT} select * from rows")
 
 
 @query(
     "chunk_status",
-    """select file_id, total_chunks, array_to_string(list_sort(list(chunk_index)), ',') as uploaded,
-        array_to_string(list_filter(range(0, total_chunks), lambda i: not list_contains(list(chunk_index), i)), ',') as missing, true as should_resume from V_CHUNK_LEFT group by file_id, total_chunks""",
+    f"""with {_LEFT} select file_id, total_chunks, coalesce(array_to_string(list_sort(list(chunk_index) filter (chunk_index is not null)), ','), '') as uploaded,
+        array_to_string(list_filter(range(0, total_chunks), lambda i: not list_contains(list(chunk_index), i)), ',') as missing, count(chunk_index) > 0 as should_resume from rows group by file_id, total_chunks""",
 )
 def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("uploaded", "missing")]
     return chunks.chunk_status(_left(spark, sf_dir)).select("file_id", "total_chunks", *joined, "should_resume")
 
 
-@query(
-    "assemble_chunks",
-    """select file_id, case when n = total_chunks then md5(content) end as md5, case when n = total_chunks then length(content) end as size,
+def _assembled(size: str) -> str:
+    return f"""with {_LEFT} select file_id, case when n = total_chunks then md5(content) end as md5, case when n = total_chunks then {size}(content) end as size,
         case when n < total_chunks then concat('missing chunk ', cast(first_missing as varchar)) end as error
-        from (select file_id, total_chunks, count(*) as n, string_agg(data, '' order by chunk_index) as content,
-            list_filter(range(0, total_chunks), lambda i: not list_contains(list(chunk_index), i))[1] as first_missing from V_CHUNK_LEFT group by file_id, total_chunks)""",
-)
+        from (select file_id, total_chunks, count(chunk_index) as n, coalesce(string_agg(data, '' order by chunk_index), '') as content,
+            list_filter(range(0, total_chunks), lambda i: not list_contains(list(chunk_index), i))[1] as first_missing from rows group by file_id, total_chunks)"""
+
+
+@query("assemble_chunks", _assembled("length"))
 def assemble_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.assemble_chunks(_left(spark, sf_dir)).select("file_id", F.md5("content").alias("md5"), "size", "error")
 
 
+@query("assemble_binary", _assembled("strlen"))
+def assemble_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks as bytes, sized in bytes."""
+    rows = _left(spark, sf_dir).withColumn("data", F.col("data").cast("binary"))
+    return chunks.assemble_chunks(rows).select("file_id", F.md5("content").alias("md5"), "size", "error")
+
+
 @query("cancel_upload", "select file_id, chunk_index, total_chunks from V_CHUNK where file_id % 3 <> 0")
 def cancel_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "V_CHUNK")

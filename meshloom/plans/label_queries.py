@@ -13,7 +13,16 @@ from meshloom.plans.views import run_sql, view
 KEYWORDS = ["the  of", "with", "  ", "ing in"]
 _PATTERN = r"(the\s+of|with|ing\s+in)"
 _GOOD = "coalesce(error, '') = '' and coalesce(text, '') <> ''"
-_NORM = "trim(regexp_replace(regexp_replace({}, '[_\\->]', ' ', 'g'), '\\s+', ' ', 'g'))"
+# Fixed value: white space, as the text functions take it.
+_WS = r"[\x{09}-\x{0D}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _collapsed(text: str) -> str:
+    return f"trim(regexp_replace({text}, '{_WS}+', ' ', 'g'))"
+
+
+def _norm(name: str) -> str:
+    return _collapsed(f"regexp_replace({name}, '[_\\->]', ' ', 'g')")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +63,7 @@ def attempt_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.attempt_outcome(view(spark, sf_dir, "V_ATTEMPT"))
 
 
-_LABEL = "coalesce(case when trim(user_label) <> '' then user_label end, case when trim(semantic_label) <> '' then semantic_label end, case when trim(material_label) <> '' then material_label end)"
+_LABEL = "coalesce(nullif(user_label, ''), nullif(semantic_label, ''), nullif(material_label, ''))"
 
 
 @query("label_precedence", f"select model_id, mesh_id, {_LABEL} as label from V_SCENE")
@@ -68,13 +77,14 @@ def scene_label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("model_id").agg(F.count("*").alias("meshes"), F.count("label").alias("labeled"))
 
 
-_EDITS = """edits as (select m.model_id, m.mesh_id, c.turn as position, case when (m.mesh_id + c.turn) % 5 = 0 then '   ' else concat('  ', c.text, ' ') end as text
+_EDITS = """edits as (select m.model_id, m.mesh_id, c.turn as position, case when (m.mesh_id + c.turn) % 5 = 0 then '\u00a0\t\n' else concat('\t ', c.text, '\u3000 ') end as text
     from V_MESH m join conversations c on m.mesh_id = c.conv_id)"""
 
 
 @query(
     "label_edit",
-    f"""with {_EDITS}, last as (select model_id, mesh_id, left(trim(text), 2000) as label, row_number() over (partition by model_id, mesh_id order by position desc) as place from edits where trim(text) <> '')
+    f"""with {_EDITS}, bare as (select *, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') as told from edits),
+        last as (select model_id, mesh_id, left(told, 2000) as label, row_number() over (partition by model_id, mesh_id order by position desc) as place from bare where told <> '')
         select model_id, mesh_id, mesh_name as label from V_MESH m where not exists (select 1 from last l where l.model_id = m.model_id and l.mesh_id = m.mesh_id)
         union all select model_id, mesh_id, label from last where place = 1""",
 )
@@ -97,21 +107,21 @@ def label_to_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_to_node",
-    f"""with loose as (select model_id, {_NORM.format('label_key')} as norm, arg_min(label, label_key) as label from V_NODE_LABEL group by all)
+    f"""with loose as (select model_id, {_norm('label_key')} as norm, arg_min(label, label_key) as label from V_NODE_LABEL group by all)
         select n.model_id, node_idx, node_name, coalesce(e.label, l.label) as label, case when e.label is not null then 'exact' when l.label is not null then 'normalized' end as match_type
         from V_NODE n left join V_NODE_LABEL e on n.model_id = e.model_id and n.node_name = e.label_key
-        left join loose l on n.model_id = l.model_id and {_NORM.format('n.node_name')} = l.norm""",
+        left join loose l on n.model_id = l.model_id and {_norm('n.node_name')} = l.norm""",
 )
 def label_to_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label_to_node(view(spark, sf_dir, "V_NODE"), view(spark, sf_dir, "V_NODE_LABEL")).select("model_id", "node_idx", "node_name", "label", "match_type")
 
 
-@query("norm_name", f"select node_idx, {_NORM.format('node_name')} as norm_name from V_NODE")
+@query("norm_name", f"select node_idx, {_norm('node_name')} as norm_name from V_NODE")
 def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "V_NODE").select("node_idx", t.norm_name(F.col("node_name")).alias("norm_name"))
 
 
-@query("collapse_ws", "select file_id, line_no, trim(regexp_replace(line, '\\s+', ' ', 'g')) as line from V_OBJ_LINE")
+@query("collapse_ws", f"select file_id, line_no, {_collapsed('line')} as line from V_OBJ_LINE")
 def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "V_OBJ_LINE").select("file_id", "line_no", t.collapse_ws(F.col("line")).alias("line"))
 
@@ -119,7 +129,9 @@ def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "obj_labels",
     """select file_id, material, arg_max(label, line_no) as label from (select file_id, line_no, regexp_extract(line, '^\\s*usemtl\\s+([^\\s#]+)', 1, 'i') as material,
-        trim(regexp_replace(regexp_extract(line, '^\\s*usemtl\\s+[^\\s#]+[^#]*#\\s*label:\\s*(.+)$', 1, 'i'), '\\s+', ' ', 'g')) as label from V_OBJ_LINE) where material <> '' and label <> '' group by file_id, material""",
+        """
+    + _collapsed("regexp_extract(line, '^\\s*usemtl\\s+[^\\s#]+[^#]*#\\s*label:\\s*(.+)$', 1, 'i')")
+    + " as label from V_OBJ_LINE) where material <> '' and label <> '' group by file_id, material",
 )
 def obj_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.obj_labels(view(spark, sf_dir, "V_OBJ_LINE"))

@@ -127,3 +127,18 @@ def metric_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def metric_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metric_histogram(_assets(spark, sf_dir))
+
+
+_COMPUTED = ("material_count", "vvd", "vfc", "vsc")
+
+
+@query("stream_metrics", f"select model_id, 64 as voxel_resolution, {', '.join(f'coalesce({m}, 0) as {m}' for m in _COMPUTED)}, vertex_count, face_count, occupied, surface from V_METRICS")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch twin of the streaming job: all assets are asked for, those with metrics are known."""
+    rows = _assets(spark, sf_dir)
+
+    def compute(due: DataFrame) -> DataFrame:
+        fresh = rows.drop("has_metrics").join(due, "model_id").withColumn("voxel_resolution", F.lit(64))
+        return fresh.withColumns({m: F.coalesce(m, F.lit(0.0)) for m in _COMPUTED})
+
+    return metrics.refreshed_metrics(rows.where("has_metrics").drop("has_metrics"), rows.select("model_id"), compute, REQUIRED, RESOLUTION)

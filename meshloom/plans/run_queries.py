@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from meshloom.operators import catalog, runs
 from meshloom.plans.registry import query
 from meshloom.plans.views import view
-from meshloom.sources.storage import shared_folder, write_report
+from meshloom.sources.shared import shared_folder
+from meshloom.sources.storage import write_report
 
 _SUMMARY = """
     select run_id, count(*) as total, count(*) as processed, count(*) filter (ok) as succeeded, count(*) filter (not ok) as failed, cast(0 as bigint) as not_reached,

@@ -40,12 +40,12 @@ VIEWS = {
             case when (conv_id + turn) % 3 = 0 then text end as text, case when (conv_id + turn) % 3 <> 0 then concat('e', cast(turn as varchar(12))) end as error
         from conversations""",
     "V_NODE": """
-        select p_brand as model_id, p_partkey as node_idx, case when p_partkey % 2 = 1 then replace(p_name, ' ', '_') else p_name end as node_name from part""",
+        select p_brand as model_id, p_partkey as node_idx, case when p_partkey % 2 = 1 then replace(p_name, ' ', '_') when p_partkey % 4 = 0 then replace(p_name, ' ', '\u00a0\u3000') else p_name end as node_name from part""",
     "V_NODE_LABEL": """
         select p_brand as model_id, p_name as label_key, min(p_type) as label from part where p_partkey % 3 <> 0 group by p_brand, p_name""",
     "V_OBJ_LINE": """
         select p_brand as file_id, p_partkey as line_no,
-            concat('usemtl ', replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 then concat('  # Label:  ', p_type, '  item ') else '' end) as line from part""",
+            concat('usemtl ', replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 then concat('  # Label:  ', p_type, '\u00a0 \u3000item ') else '' end) as line from part""",
     "V_RUN_EVENT": """
         select user_id as run_id, event_id, ts, event_type <> 'error' as ok from events""",
     "V_WORKSPACE": """

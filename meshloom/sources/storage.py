@@ -1,10 +1,7 @@
-"""The shared folder, asset folders, prompt libraries, and versioned tables."""
+"""Asset folders, prompt libraries, and versioned tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +21,6 @@ PROMPTS = (
 DEFAULT_KEYWORDS = ("Unknown Object",)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def scan_tier(spark: SparkSession, root: str, tier: str) -> DataFrame:
     """The assets of a tier's folder: one row per file that isn't a sidecar, with what its sidecar says.
 

@@ -8,33 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from meshloom.operators.metrics import metrics_status
+from meshloom.operators.metrics import refreshed_metrics
 from meshloom.operators.runs import sessions, tumbling_progress
 from meshloom.sources.storage import merge_records
 
 
-def _latest(spark: SparkSession, root: str) -> tuple[int, DataFrame | None]:
-    """The newest version of a table below ``root`` and its rows, from the pointers that finished batches wrote."""
+#: Parts of a table, by the hash of a row's key; a batch rewrites those that it touches.
+BUCKETS = 16
+
+
+def _latest(spark: SparkSession, root: str) -> dict[int, tuple[int, str]]:
+    """Of each bucket of a table below ``root`` the newest version and its folder, from the pointers that finished batches wrote."""
     pointers = f"{root}/versions"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(pointers)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return -1, None
-    last = spark.read.schema("version long, path string").json(pointers).orderBy(F.desc("version")).first()
-    return (last["version"], spark.read.parquet(last["path"])) if last else (-1, None)
+        return {}
+    last = spark.read.schema("version long, bucket int, path string").json(pointers).groupBy("bucket").agg(F.max(F.struct("version", "path")).alias("x"))
+    return {r["bucket"]: (r["version"], r["path"]) for r in last.select("bucket", "x.*").collect()}  # a row for each bucket
 
 
-def _versioned(root: str, change: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes ``change(old, new)`` as the version of its batch; a batch that is run again changes nothing."""
+def _versioned(root: str, key: str, change: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes ``change(old, new)`` for the buckets of the new keys; a batch that is run again changes nothing."""
 
     def run(new: DataFrame, batch: int) -> None:
-        spark = new.sparkSession
-        version, old = _latest(spark, root)
-        if version >= batch:
+        spark, bucket = new.sparkSession, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        latest = _latest(spark, root)
+        if any(version >= batch for version, _ in latest.values()):
+            return
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]
+        if not touched:
             return
-        table = change(old, new)
+        paths = [latest[b][1] for b in touched if b in latest]
+        table = change(spark.read.parquet(*paths) if paths else None, new)
         path = f"{root}/v{batch:08d}"
-        table.write.mode("overwrite").parquet(path)  # what a lost attempt left there was never pointed to
-        spark.createDataFrame([(batch, path)], "version long, path string").coalesce(1).write.mode("append").json(f"{root}/versions")
+        table.repartition(BUCKETS, bucket).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(path)  # what a lost attempt left there was never pointed to
+        written = [r[0] for r in spark.read.parquet(path).select("_bucket").distinct().collect()]
+        rows = [(batch, b, f"{path}/_bucket={b}") for b in written]
+        spark.createDataFrame(rows, "version long, bucket int, path string").coalesce(1).write.mode("append").json(f"{root}/versions")
 
     return run
 
@@ -42,7 +52,7 @@ def _versioned(root: str, change: Callable[[DataFrame | None, DataFrame], DataFr
 def stream_catalog(records: DataFrame, root: str, checkpoint: str, key: str = "id", order: tuple[str, ...] = ("updated_at", "version_no")) -> StreamingQuery:
     """Folds new records into the catalog at ``root``: the latest of each id."""
     change = lambda old, new: merge_records(old, new, key, *order)
-    return records.writeStream.foreachBatch(_versioned(root, change)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return records.writeStream.foreachBatch(_versioned(root, key, change)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_metrics(assets: DataFrame, root: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], required: tuple[str, ...], resolution: int) -> StreamingQuery:
@@ -52,15 +62,11 @@ def stream_metrics(assets: DataFrame, root: str, checkpoint: str, compute: Calla
     """
 
     def change(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        asked = new.select("model_id").distinct()
         if old is None:
-            return compute(asked)
-        state = asked.join(old.withColumn("has_metrics", F.lit(True)), "model_id", "left")
-        due = metrics_status(state, required, resolution).where("needs_compute").select("model_id")
-        fresh = compute(due)
-        return old.join(due, "model_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+            return compute(new.select("model_id").distinct())
+        return refreshed_metrics(old, new, compute, required, resolution)
 
-    return assets.writeStream.foreachBatch(_versioned(root, change)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return assets.writeStream.foreachBatch(_versioned(root, "model_id", change)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_progress(events: DataFrame, delay: str = "30 minutes", width: str = "10 minutes") -> DataFrame:
@@ -74,7 +80,8 @@ def stream_stalls(events: DataFrame, delay: str = "30 minutes", gap: str = "10 m
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
-    return _latest(spark, root)[1]
+    paths = [path for _, path in _latest(spark, root).values()]
+    return spark.read.parquet(*paths) if paths else None
 
 
 __all__ = ["read_latest", "stream_catalog", "stream_metrics", "stream_progress", "stream_stalls"]

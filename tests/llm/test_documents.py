@@ -176,24 +176,34 @@ def near_rows(spark):
     return rows
 
 
-@pytest.mark.parametrize("bucket", [3, 32])
-def test_near_texts(spark, monkeypatch, bucket):
-    monkeypatch.setattr(near_text, "BUCKET", bucket)
-    rows = near_rows(spark)
+def kept_of(rows, similarity=0.8):
+    """The smallest id of each group, by comparing all pairs."""
     sets = [shingle_set(t) for _, t in rows]
-    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) or rows[i][1] == rows[j][1])
     best = {}
     for (i, _), r in zip(rows, root, strict=True):
         best[r] = min(i, best.get(r, i))
+    return sorted(best.values())
+
+
+@pytest.mark.parametrize("few, hot, block", [(8, 2000, 1024), (1, 3, 2)])
+def test_near_texts(spark, monkeypatch, few, hot, block):
+    for name, value in (("FEW", few), ("HOT", hot), ("BLOCK", block)):
+        monkeypatch.setattr(near_text, name, value)
+    rows = near_rows(spark)
     kept = near_text.drop_near_duplicates(odd_documents(spark, rows))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(best.values())
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_of(rows)
+
+
+def word_maker(seed):
+    rng = np.random.default_rng(seed)
+    return rng, lambda: "".join(rng.choice([*"abcdefghijkl"], 7))
 
 
 def test_near_texts_of_one_passage(spark, monkeypatch):
     """Pairs of near copies in a large group whose texts are alike, but not similar: every text of it is a poor centre."""
-    monkeypatch.setattr(near_text, "BUCKET", 1)
-    rng = np.random.default_rng(12)
-    word = lambda: "".join(rng.choice([*"abcdefghijkl"], 7))
+    monkeypatch.setattr(near_text, "FEW", 1)
+    rng, word = word_maker(12)
     passage = [word() for _ in range(200)]
     rows = []
     for _ in range(60):
@@ -204,10 +214,53 @@ def test_near_texts_of_one_passage(spark, monkeypatch):
             rows.append((len(rows), " ".join(own)))
             for at in rng.integers(0, 200, 4):
                 own[at] = word()
-    sets = [shingle_set(t) for _, t in rows]
-    root = groups(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     kept = near_text.drop_near_duplicates(odd_documents(spark, rows))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_of(rows)
+
+
+def test_a_large_group_of_near_copies_costs_few_pairs(spark, monkeypatch):
+    """All links of a group are found through a number of pairs that grows with its texts, not with their square."""
+    rng, word = word_maker(13)
+    passage = [word() for _ in range(200)]
+    rows = []
+    for i in range(400):
+        own = list(passage)
+        for at in rng.integers(0, 200, 3):
+            own[at] = word()
+        rows.append((i, " ".join(own)))
+    verified = []
+    alike = near_text.alike
+    monkeypatch.setattr(near_text, "alike", lambda pairs, *rest: verified.append(pairs.count()) or alike(pairs, *rest))
+    for name in ("hub_pairs", "cross_pairs"):
+        make = getattr(near_text, name)
+        monkeypatch.setattr(near_text, name, lambda *args, make=make: verified.append((found := make(*args)).count()) or found)
+    kept = near_text.drop_near_duplicates(odd_documents(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == kept_of(rows)
+    assert sum(verified) < 20 * len(rows)
+
+
+def test_near_texts_of_the_table_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r["doc_id"] for r in near_text.drop_near_duplicates(docs).collect()) == kept_of(rows)
+
+
+def test_filters_never_rule_out_a_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(5, 3000))
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        other = own[rng.random(len(own)) < 0.9]
+        other = np.unique(np.r_[other, rng.integers(0, 1 << 63, int(rng.integers(0, n // 12 + 1))).astype(np.uint64)])
+        same = len(np.intersect1d(own, other))
+        if same < 0.8 * (len(own) + len(other) - same):
+            continue
+        bits = np.bitwise_xor(near_text.parities(own), near_text.parities(other)).view(np.uint8)
+        assert np.unpackbits(bits).sum() <= 0.2 / 1.8 * (len(own) + len(other))
+        frequent = np.sort(own[: len(own) // 3]), np.arange(1, 1 + len(own) // 3)
+        a, b = (near_text.prefix_of(x, frequent, 0.8) for x in (own, other))
+        shared = np.intersect1d(a, b)
+        assert len(shared) >= 1 + int(np.ceil(0.8 * max(len(own), len(other)))) // near_text.STEP
 
 
 def test_near_texts_odd(spark):
@@ -253,14 +306,54 @@ def test_mixture_of_two_languages(spark, small):
 def test_estimation_against_loops():
     rng = np.random.default_rng(3)
     size, like = np.array([5, 1, 7]), rng.random((13, 3)).astype(np.float32)
-    found, value = languages.estimate(like, size, np.full((3, 3), 1 / 3, np.float32), 4)
+    times = np.array([1, 2, 1, 1, 3, 2, 1, 1, 1, 4, 1, 1, 2], np.float32)
+    found, value = languages.estimate(like, size, np.full((3, 3), 1 / 3, np.float32), times, 4)
     for d, (a, b) in enumerate(((0, 5), (5, 6), (6, 13))):
         p = [1 / 3] * 3
         for _ in range(4):
-            parts = [[p[k] * float(like[w, k]) for k in range(3)] for w in range(a, b)]
-            p = [sum(x[k] / sum(x) for x in parts) / (b - a) for k in range(3)]
+            parts = [([p[k] * float(like[w, k]) for k in range(3)], float(times[w])) for w in range(a, b)]
+            p = [sum(n * x[k] / sum(x) for x, n in parts) / sum(times[a:b]) for k in range(3)]
         assert np.allclose(found[d], p, atol=1e-5)
-        assert value[d] == pytest.approx(sum(np.log(sum(p[k] * float(like[w, k]) for k in range(3))) for w in range(a, b)), rel=1e-4)
+        assert value[d] == pytest.approx(sum(float(times[w]) * np.log(sum(p[k] * float(like[w, k]) for k in range(3))) for w in range(a, b)), rel=1e-4)
+
+
+def test_sets_against_loops():
+    """The set with the greatest penalised likelihood, among the k best languages for every k."""
+    rng = np.random.default_rng(9)
+    n_lang, size = 6, np.array([400, 400, 400])
+    best_of = [rng.integers(0, 1, 400), rng.integers(0, 2, 400), rng.integers(0, 5, 400)]
+    rows = np.full((1200, n_lang), -9.0, np.float32)
+    rows[np.arange(1200), np.concatenate(best_of)] = 0
+    found = languages.choose_sets(rows, size, np.ones(1200, np.float32))
+    for d, k in enumerate((1, 2, 5)):
+        assert (found[d] > 0).sum() == k and found[d, :k].sum() == pytest.approx(1, abs=1e-4)
+    like = np.exp(rows[800:].astype(float))
+    share = np.full(n_lang, 1 / n_lang)
+    for _ in range(languages.ROUNDS):
+        part = like * share
+        share = (part / part.sum(1, keepdims=True)).mean(0)
+    value = {}
+    for k in range(1, n_lang + 1):
+        p = np.zeros(n_lang)
+        top = np.argsort(-share, kind="stable")[:k]
+        p[top] = share[top] + 1e-3
+        for _ in range(languages.ROUNDS // 2):
+            part = like * p
+            p = (part / part.sum(1, keepdims=True)).mean(0)
+        value[k] = np.log((like * p).sum(1)).sum() - languages.PENALTY * (k - 1) * np.log(401)
+    assert max(value, key=value.get) == 5
+
+
+def test_many_languages(spark):
+    """Six hundred languages of words of their own."""
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], 12)) for _ in range(600)]
+    rows = [(2 * i + k, f"{w} " * 20, f"l{i:03}") for i, w in enumerate(words) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = languages.train_languages(docs, held_out=None)
+    assert len(model.languages) == 600
+    found = languages.add_languages(docs.limit(100), model).where("lang = lang_pred").count()
+    assert found == 100
 
 
 def test_number_signs_are_no_letters():
@@ -281,34 +374,66 @@ def test_op5_odd(spark):
 # ---- language-model scores
 
 
+def ids_and_shares(vocabulary, text):
+    ids, _ = vocabulary.encoded(text)
+    shares = [vocabulary.shares[int(c) % lm_scores.SIZE * lm_scores.CELLS + int(c) // lm_scores.SIZE] for c in vocabulary.codes(lm_scores.tokens_of(text)) if c % lm_scores.SIZE < lm_scores.RARE]
+    return [0] * 3 + ids.tolist() + [0] * 3, float(sum(map(float, shares)))
+
+
+def log_p(net, own, t):
+    """The log-probability of the token at ``t`` of a text with zeros around it."""
+    around = own[t - 3 : t] + own[t + 1 : t + 4]
+    h = np.tanh(sum(net.embed[w].astype(float) * net.place[j] for j, w in enumerate(around)) + net.bias)
+    top = h @ net.classes + net.class_bias
+    low = h @ net.words[own[t] // 64] + net.word_bias[own[t] // 64]
+    return top[own[t] // 64] - np.log(np.exp(top).sum()) + low[own[t] % 64] - np.log(np.exp(low).sum())
+
+
 def test_op6_against_loops(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").orderBy("n_chars").limit(40)
     model = lm_scores.train_network(docs)
-    vocabulary, net = model
     rows = {r["doc_id"]: r for r in lm_scores.lm_scores(docs, model).collect()}
     for d in docs.collect():
-        own = [0] * 3 + vocabulary.ids(lm_scores.tokens_of(d["text"])).tolist() + [0] * 3
-        total = 0.0
-        for t in range(3, len(own) - 3):
-            around = own[t - 3 : t] + own[t + 1 : t + 4]
-            h = np.tanh(sum(net.embed[w].astype(float) * net.place[j] for j, w in enumerate(around)) + net.bias)
-            top = h @ net.classes + net.class_bias
-            low = h @ net.words[own[t] // 64] + net.word_bias[own[t] // 64]
-            total += top[own[t] // 64] - np.log(np.exp(top).sum()) + low[own[t] % 64] - np.log(np.exp(low).sum())
+        own, total = ids_and_shares(model[0], d["text"])
+        total += sum(log_p(model[1], own, t) for t in range(3, len(own) - 3))
         r = rows[d["doc_id"]]
         assert r["n_tokens"] == len(own) - 6
         assert r["log_likelihood"] == pytest.approx(total, rel=1e-3)
         assert r["score"] == pytest.approx(total / (len(own) - 6), rel=1e-3)
 
 
+def test_a_training_step_follows_the_gradient():
+    """Each number moves by its share of Adagrad's step along the difference quotient of the mean loss."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(1, 500, 40).astype(np.uint16) for _ in range(5)]
+    flat, at = lm_scores.laid_out(texts)
+    padded, net = flat.tolist(), lm_scores.WindowNetwork.fresh()
+    loss = lambda: -np.mean([log_p(net, padded, t) for t in at.tolist()])
+    before = [a.copy() for a in net.arrays()]
+    trainer = lm_scores.Trainer(lm_scores.WindowNetwork.of(net.flat()))
+    trainer.step(flat, at)
+    token = int(flat[at[3]])
+    places = [(0, (token, 2)), (1, (4, 7)), (2, (5,)), (3, (9, 11)), (4, (3,)), (5, (token // 64, 8, token % 64)), (6, (token // 64, token % 64))]
+    for k, place in places:
+        array = net.arrays()[k]
+        ends = []
+        for sign in (1, -1):
+            array[place] = before[k][place] + sign * 1e-2
+            ends.append(loss())
+        array[place] = before[k][place]
+        g = (ends[0] - ends[1]) / 2e-2 * np.sqrt(len(at))
+        want = -lm_scores.RATE * g / np.sqrt(1e-3 + g * g)
+        assert trainer.net.arrays()[k][place] - before[k][place] == pytest.approx(want, rel=0.05, abs=2e-3)
+
+
 def test_op6_learns_from_both_sides(spark, small):
     """The network predicts better than the frequencies of single tokens, and order matters to it."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
-    model = lm_scores.train_network(docs)
-    rows = lm_scores.lm_scores(docs, model).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
-    ids = np.concatenate([model[0].ids(lm_scores.tokens_of(r["text"])) for r in docs.select("text").collect()])
+    vocabulary, net = lm_scores.train_network(docs)
+    flat, at = lm_scores.laid_out([vocabulary.encoded(r["text"])[0] for r in docs.select("text").collect()])
+    ids = flat[at]
     share = np.bincount(ids, minlength=lm_scores.SIZE) / len(ids)
-    assert rows[0] / rows[1] > np.log(share[ids]).mean()
+    assert lm_scores.log_likelihoods(net, flat, at).mean() > np.log(share[ids]).mean()
 
 
 def test_op6_vocabulary_counts_all(spark):
@@ -316,6 +441,27 @@ def test_op6_vocabulary_counts_all(spark):
     assert counts["word"] == 30_000 and counts["cat"] == 6
 
 
+def test_op6_shares_of_rare_words(spark, monkeypatch):
+    """A rare word's shares are those of its counts, and shares of a kind sum to one."""
+    monkeypatch.setattr(lm_scores, "SIZE", lm_scores.SIZE)
+    rows = [(i, f"common{i} " * 3 + "zqx zqx other") for i in range(4000)]
+    vocabulary, tokens = lm_scores.learn_vocabulary(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert tokens == 24_000 and len(vocabulary.words) == lm_scores.SIZE - lm_scores.RARE
+    by_kind = np.exp(vocabulary.shares.astype(float)).reshape(lm_scores.RARE, -1).sum(1)
+    assert by_kind == pytest.approx(np.ones(lm_scores.RARE), rel=1e-3)
+    rare = next(w for w, _ in ((f"common{i}", i) for i in range(3999, 0, -1)) if w not in vocabulary.words)
+    assert vocabulary.encoded(rare)[1] > vocabulary.encoded("nev" + rare)[1]
+
+
+@pytest.mark.parametrize("tokens", [2 << 20, 20_000])
+def test_op6_does_not_depend_on_partitions(spark, small, monkeypatch, tokens):
+    monkeypatch.setattr(lm_scores, "SHARD_TOKENS", tokens)
+    monkeypatch.setattr(lm_scores, "FAN", 2)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one, many = ({r["doc_id"]: r["score"] for r in lm_scores.lm_scores(docs.repartition(n)).collect()} for n in (1, 16))
+    assert max(abs(one[i] - many[i]) for i in one) < 1e-3
+
+
 def test_op6_odd(spark):
     rows = lm_scores.lm_scores(odd_documents(spark)).collect()
     assert ids_of(rows) == sorted(repr(i) for i, _ in ODD)
@@ -325,17 +471,14 @@ def test_op6_odd(spark):
     assert lm_scores.lm_scores(odd_documents(spark, [])).count() == 0
 
 
-def test_training_uses_every_token():
-    texts = ["one two three four five " * k for k in range(1, 40)]
+def test_training_uses_every_token(spark, small, monkeypatch):
+    texts = [np.arange(1, k, dtype=np.uint16) for k in range(1, 400, 7)]
     seen = []
     step = lm_scores.Trainer.step
-    try:
-        lm_scores.Trainer.step = lambda self, around, target: (seen.append(len(target)), step(self, around, target))
-        net, trained = lm_scores.train_on(iter([texts[:20], [None, "", *texts[20:]]]), lm_scores.Vocabulary(["one", "two"]), 0)
-    finally:
-        lm_scores.Trainer.step = step
-    assert trained == sum(seen) == sum(len(t.split()) for t in texts)
-    assert np.isfinite(net.flat()).all()
+    monkeypatch.setattr(lm_scores.Trainer, "step", lambda self, flat, at: (seen.extend(at.tolist()), step(self, flat, at)))
+    trainer = lm_scores.Trainer(lm_scores.WindowNetwork.fresh())
+    assert lm_scores.train_on(texts, trainer, 0) == len(seen) == len(set(seen)) == sum(map(len, texts))
+    assert np.isfinite(trainer.net.flat()).all()
 
 
 # ---- secrets
@@ -405,6 +548,43 @@ def test_learnt_formats_add_spans(spark):
     assert np.mean([found[500 + i] == "" for i in range(200)]) > 0.97
 
 
+def test_automata_against_loops():
+    """Merging keeps all counts: the strings' paths through the automaton give its probabilities."""
+    rng = np.random.default_rng(14)
+    for trial in range(6):
+        letters, strings = [*"0aZ-"], []
+        for _ in range(120):
+            strings.append("".join(rng.choice(letters, int(rng.integers(1, 12)))) if trial % 2 else "a0" * int(rng.integers(1, 5)) + str(rng.choice(["Z", "-"])))
+        machine = grammar.Automaton(strings)
+        passed, ends = {}, {}
+        for text in strings:
+            state = 0
+            for c in grammar.symbols(text):
+                passed[state, c] = passed.get((state, c), 0) + 1
+                state = machine.next[state][c]
+            ends[state] = ends.get(state, 0) + 1
+        for state in range(machine.n_states):
+            n = ends.get(state, 0) + sum(k for (at, _), k in passed.items() if at == state)
+            smooth = lambda k: 0.99 * k / n + 0.01 / 13
+            assert np.exp(machine.log_end[state]) == pytest.approx(smooth(ends.get(state, 0)))
+            for c in range(12):
+                assert np.exp(machine.log_p[state][c]) * grammar.CLASS_SIZE[c] == pytest.approx(smooth(passed.get((state, c), 0)))
+
+
+def test_long_formats_and_parts_of_runs(spark):
+    rng = np.random.default_rng(15)
+    long = ["".join(rng.choice([*"0123456789ABCDEF"], 300)) for _ in range(80)]
+    short = ["".join(rng.choice([*"0123456789"], 7)) for _ in range(80)]
+    rows = [(i, f"secret={v} and some ordinary words") for i, v in enumerate(long[:60] + short[:60])]
+    rows += [(500 + i, f"see {v} there") for i, v in enumerate(long[60:])] + [(600 + i, f"session={v}/path") for i, v in enumerate(short[60:])]
+    rows += [(700 + i, f"token={short[0]} then host/{v}/{v} end") for i, v in enumerate(long[60:])]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert np.mean([found[500 + i] == "format:4:304" for i in range(20)]) > 0.8
+    assert np.mean([found[600 + i] == "format:8:15" for i in range(20)]) > 0.8
+    assert np.mean([found[700 + i] == "assign:0:13,format:24:324,format:325:625" for i in range(20)]) > 0.8
+    assert all("format" not in found[i] for i in range(120))
+
+
 def test_redaction(spark):
     docs = odd_documents(spark)
     found = secrets.redact_secrets(docs)
@@ -444,6 +624,50 @@ def test_features_against_loops():
     assert set(bucket[doc == 3]) <= set(bucket[doc == 0])
 
 
+def test_ftrl_against_loops():
+    """Every coordinate's sums and weights as the formulas say, one coordinate at a time."""
+    rng = np.random.default_rng(11)
+    rows = [np.unique(rng.integers(0, 32, 8)) for _ in range(60)]
+    marks = np.array([float(3 in r) for r in rows])
+    model = toxicity.train_ftrl(rows, marks, bits=5, epochs=3, seed=2)
+    z, n = {}, {}
+    order = np.random.default_rng(2)
+
+    def weight(key):
+        l1 = 0 if key == "bias" else toxicity.L1
+        if abs(z.get(key, 0)) <= l1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * l1) / ((toxicity.BETA + np.sqrt(n[key])) / toxicity.ALPHA + (toxicity.L2))
+
+    for _ in range(3):
+        for i in order.permutation(60).tolist():
+            keys = [*rows[i].tolist(), "bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - marks[i]
+            for k in keys:
+                sigma = (np.sqrt(n.get(k, 0) + g * g) - np.sqrt(n.get(k, 0))) / toxicity.ALPHA
+                z[k] = z.get(k, 0) + g - sigma * w[k]
+                n[k] = n.get(k, 0) + g * g
+    want = {k: weight(k) for k in range(32) if weight(k)}
+    assert dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(weight("bias"))
+
+
+def test_long_texts(spark):
+    """Texts of some MB go through every operator on texts."""
+    rng = np.random.default_rng(16)
+    words = np.array(["".join(rng.choice([*"abcdefghij"], 6)) for _ in range(5000)])
+    text = " ".join(rng.choice(words, 600_000).tolist())
+    docs = spark.createDataFrame([(1, text, "en"), (2, text + " end", "en"), (3, "x" * 3_000_000, "fr")], "doc_id int, text string, lang string")
+    assert sh.near_groups(docs).count() == 3
+    assert {r["lang_pred"] for r in languages.language_id(docs).collect()} <= {"en", "fr"}
+    assert {r["n_tokens"] for r in lm_scores.lm_scores(docs).collect()} == {600_000, 600_001, 1}
+    assert secrets.find_secrets(docs).count() == 3
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id int, toxic int")
+    assert toxicity.toxicity(docs, marks).count() == 3
+    assert sorted(r["doc_id"] for r in near_text.drop_near_duplicates(docs).collect()) == [1, 3]
+
+
 def test_ftrl_finds_the_word():
     rng = np.random.default_rng(1)
     rows = [np.unique(np.r_[rng.integers(10, 500, 20), [3] if i % 4 == 0 else []]).astype(np.int32) for i in range(800)]

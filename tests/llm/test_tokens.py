@@ -143,14 +143,18 @@ def test_op3_odd(spark, libraries):
 
 
 def test_harmonic_classes():
-    assert class_of(4096, 4096) == (1, 4096)
-    assert class_of(4095, 4096) == (2, 2048)
-    assert class_of(2048, 4096) == (2, 2048)
-    assert class_of(2047, 4096) == (3, 1365)
-    assert class_of(64, 4096) == (64, 64)
-    assert class_of(63, 4096) == (65, 63)
-    for left in range(1, 4097):
-        k, size = class_of(left, 4096)
-        assert size <= left and k * size <= 4096 and 4096 - k * size <= packing.LAST_CLASS
+    assert [class_of(n, 4096) for n in (4096, 2049, 2048, 1366, 1365, 64, 63, 1)] == [1, 1, 2, 2, 3, 64, 64, 64]
+    rng = np.random.default_rng(4)
+    bins, sizes = packing.Bins(4096, 0), [*np.exp(rng.normal(6, 1.3, 3000)).astype(int) + 1, 1, 4096, 8192, 20_000]
+    for i, n in enumerate(sizes):
+        bins.add((i, n), 0, np.arange(n))
+        assert len(bins.open) <= packing.LAST_CLASS and all(len(held) < k for k, held in bins.open.items())
+    bins.close()
+    # few documents are cut: no more cuts than there are sequences and longer documents ask for
+    assert len(bins.placed) <= len(sizes) + bins.next_id + packing.LAST_CLASS
+    filled = np.zeros(bins.next_id, int)
+    for _, _, ids, sequence, _ in bins.placed:
+        filled[sequence] += len(ids)
+    assert filled.sum() == sum(sizes) and all(n == 4096 or n & (n - 1) == 0 for n in filled.tolist())
     with pytest.raises(ValueError):
         pack_documents(None, WORD, capacity=1000)
