@@ -21,11 +21,12 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -364,10 +365,9 @@ def train_rounds(encoded: DataFrame, tokens: int) -> WindowNetwork:
     net, seen = WindowNetwork.fresh(), None
     kind = "slice int, shard long, weight double, net binary, seen binary"
     schema = pa.schema([("slice", pa.int32()), ("shard", pa.int64()), ("weight", pa.float64()), ("net", pa.binary()), ("seen", pa.binary())])
-    for turn in range(ROUNDS if tokens else 0):
-        held = spark.sparkContext.broadcast((net, seen))  # of fixed size
 
-        def run(shard: pa.Table, held=held, turn=turn) -> pa.Table:
+    def training(held: Broadcast, turn: int) -> Callable[[pa.Table], pa.Table]:
+        def run(shard: pa.Table) -> pa.Table:
             net, seen = held.value
             trainer = Trainer(WindowNetwork.of(net.flat()), seen and [s.copy() for s in seen])
             rows = sorted(zip(shard.column("mix").to_pylist(), shard.column("ids").to_pylist(), strict=True))
@@ -377,8 +377,12 @@ def train_rounds(encoded: DataFrame, tokens: int) -> WindowNetwork:
             both = zip(cut(trainer.net.arrays()), cut(trainer.seen), strict=True)
             return pa.Table.from_pylist([{"slice": i, "shard": number, "weight": float(weight), "net": a.tobytes(), "seen": b.tobytes()} for i, (a, b) in enumerate(both)], schema)
 
+        return run
+
+    for turn in range(ROUNDS if tokens else 0):
+        held = spark.sparkContext.broadcast((net, seen))  # of fixed size
         mine = encoded.where((F.col("round") == turn) & (F.length("ids") > 0)).select("shard", "mix", "ids").repartition(shards, "shard")
-        parts = mine.groupBy("shard").applyInArrow(run, kind)
+        parts = mine.groupBy("shard").applyInArrow(training(held, turn), kind)
         if found := summed(parts, shards):
             flat, squares, weight = found
             net, seen = WindowNetwork.of(flat / weight), WindowNetwork.of(squares / weight).arrays()
