@@ -15,6 +15,7 @@ from .lm_scores import lm_scores
 from .media import media_digests
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
+from .resampling import importance_resample
 from .secrets import find_secrets
 from .simhash import near_groups
 from .token_counts import token_counts
@@ -70,6 +71,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, seed=2024, longest=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_media": op2_media,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
+    "op13_resampling": op13_resampling,
 }
 
 #: None of these can be written in SQL alone; tests/llm holds them against brute force.
