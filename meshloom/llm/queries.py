@@ -13,6 +13,7 @@ from .conversations import damaged_and_repaired
 from .languages import language_id
 from .lm_scores import lm_scores
 from .media import media_digests
+from .mixing import MIX_SQL, mix_sources
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .resampling import importance_resample
@@ -71,6 +72,10 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_and_repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, copies=2)
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, seed=2024, longest=1)
 
@@ -87,8 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_toxicity": op10_toxicity,
     "op11_conversations": op11_conversations,
+    "op12_mixing": op12_mixing,
     "op13_resampling": op13_resampling,
 }
 
-#: None of these can be written in SQL alone; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be written in SQL alone; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op12_mixing": MIX_SQL}
