@@ -25,6 +25,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import blocks, crc_mod, pieces, ragged, ship, small
 
 UNKNOWN = "und"
+#: Ids' hashes that decide which documents are learnt from.
+HASHES = 1 << 62
 #: Hash buckets of trigrams.
 BITS = 14
 #: Labelled documents that a language is learnt from: about so many at most.
@@ -151,6 +153,11 @@ def choose_sets(rows: np.ndarray, size: np.ndarray, times: np.ndarray) -> np.nda
     return best
 
 
+def hash_limit(n: int, sample: int) -> int:
+    """The hashes below which about ``sample`` of ``n`` ids lie; for few ids all do."""
+    return min(HASHES, HASHES * sample // max(n, 1))
+
+
 def train_languages(docs: DataFrame, held_out: int | None = 2, folds: int = 4, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Counts trigrams of the labelled documents outside fold ``held_out`` (None: of all).
 
@@ -168,8 +175,8 @@ def train_languages(docs: DataFrame, held_out: int | None = 2, folds: int = 4, s
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
     number = {lang: i for i, lang in enumerate(languages)}
-    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(1_000_000 * min(1, sample / r["n"])))))
-    taken = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < below[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    below = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], hash_limit(r["n"], sample))))
+    taken = rows.where(F.xxhash64(id_col).bitwiseAND(HASHES - 1) < below[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), 1 << BITS), np.int64)
