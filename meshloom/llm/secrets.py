@@ -82,6 +82,23 @@ def outside(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tuple[
             yield at, end
 
 
+def forms(run: str) -> list[tuple[int, int]]:
+    """The run, and it without its outermost equal marks or all marks at its start, its end, or both.
+
+    A credential may end in marks, or stand beside some, as in ``(...==.)``.
+    """
+    if run.isalnum():
+        return [(0, len(run))]
+    n = len(run)
+    starts = [0, n - len(run.lstrip(MARKS))]
+    ends = [n, len(run.rstrip(MARKS))]
+    if starts[1]:
+        starts.append(n - len(run.lstrip(run[0])))
+    if ends[1] < n:
+        ends.append(len(run.rstrip(run[-1])))
+    return [(a, b) for a in dict.fromkeys(starts) for b in dict.fromkeys(ends) if a < b]
+
+
 @dataclass
 class FormatModel:
     """The automata by kind with their thresholds, and the model of other tokens."""
@@ -104,20 +121,17 @@ class FormatModel:
         return self.gain(token) > 0
 
     def found_in(self, run: str) -> list[tuple[int, int]]:
-        """The run without marks at its ends, or those of its parts that are accepted, whichever gains more."""
-        token = run.strip(MARKS)
-        if len(token) < self.least:
-            return []
-        at, whole = run.index(token), self.gain(token)
-        parts = [] if token.isalnum() else [(m, g) for m in PART.finditer(token) if len(m[0]) >= self.least and (g := self.gain(m[0]))]
-        if whole and whole >= sum(g for _, g in parts):
-            return [(at, at + len(token))]
-        return [(at + m.start(), at + m.end()) for m, _ in parts]
+        """The run as it stands or without marks at either end, or those of its parts that are accepted, whichever gains most."""
+        whole = max(((self.gain(run[a:b]), a - b, a, b) for a, b in forms(run) if b - a >= self.least), default=(0.0,))
+        parts = [] if run.isalnum() else [(m, g) for m in PART.finditer(run) if len(m[0]) >= self.least and (g := self.gain(m[0]))]
+        if whole[0] and whole[0] >= sum(g for _, g in parts):
+            return [whole[2:]]
+        return [m.span() for m, _ in parts]
 
 
 def without(token: str, doubtful: set[str]) -> Iterator[str]:
-    """What is left of a token without doubtful parts between marks; nothing, if all of it is doubtful."""
-    if token in doubtful:
+    """What is left of a token without doubtful parts between marks; nothing, if all of it but marks at its ends is doubtful."""
+    if any(token[a:b] in doubtful for a, b in forms(token)):
         return
     at = 0
     for m in PART.finditer(token):
@@ -137,7 +151,7 @@ def other_tokens(model: FormatModel, others: list[str], once: set[str]) -> list[
     about as well as the model of all tokens, or as that of those left.
     """
     model.other, doubtful, left = Background(others), set(), others
-    parts = {p for t in once for p in (t, *PART.findall(t)) if len(p) >= model.least}
+    parts = {p for t in once for p in (*(t[a:b] for a, b in forms(t)), *PART.findall(t)) if len(p) >= model.least}
     for _ in range(DOUBT_ROUNDS):
         more = {p for p in parts - doubtful if any(model.score(p, k) >= -DOUBT for k in model.automata)}
         if not more:
@@ -164,7 +178,7 @@ def learn_formats(values: dict[str, list[str]], others: list[str], once: set[str
     for k, v in kinds.items():
         own = np.array([model.score(t, k) for t in v])
         high = float(np.quantile(own, MISSED_SHARE))
-        below = [x for t in left if (x := model.score(t, k)) < high]
+        below = [x for t in left for a, b in forms(t) if (x := model.score(t[a:b], k)) < high]
         top = max(below, default=high)
         model.thresholds[k] = max(MARGIN, (top + own.min()) / 2 if top < own.min() else top + 1e-9)
     return model
@@ -214,9 +228,9 @@ def sample_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE,
                 for _, k, _, v in base:
                     put(KINDS[k], v)
                 runs = {text[a:b] for a, b in outside(text, base)} if base else set(RUN.findall(text))
-                again.update(r.strip(MARKS) for r in runs & held)
+                again |= runs & held
                 for r in runs - seen:
-                    if put("format", r.strip(MARKS)):
+                    if put("format", r):
                         held.add(r)
                 if len(seen) < CACHE_RUNS:
                     seen |= runs

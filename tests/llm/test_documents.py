@@ -16,6 +16,12 @@ NAMES = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+def test_samples_of_languages_at_any_size():
+    limits = [languages.hash_limit(n, 3000) / languages.HASHES * n for n in (3001, 1_000_000, 2_900_000_000, 3_100_000_000, 10**13)]
+    assert all(abs(x - 3000) < 1 for x in limits)
+    assert languages.hash_limit(10, 3000) == languages.hash_limit(0, 3000) == languages.HASHES
+
+
 def ids_of(rows):
     return sorted(repr(r["doc_id"]) for r in rows)
 
@@ -585,6 +591,21 @@ def test_long_formats_and_parts_of_runs(spark):
     assert all("format" not in found[i] for i in range(120))
 
 
+@pytest.mark.parametrize("end", ["==", "", "."])
+def test_credentials_that_end_in_marks(spark, end):
+    rng = np.random.default_rng(16)
+    letters = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    values = ["".join(rng.choice(letters, 22)) + "==" for _ in range(300)]
+    words = ["".join(rng.choice([*"abcdefghijklmnoprstu"], int(rng.integers(5, 12)))) for _ in range(900)]
+    rows = [(i, f"{words[i]} token={v} {words[300 + i]}.") for i, v in enumerate(values[:200])]
+    tail = "" if end == "==" else end
+    rows += [(1000 + i, f"{words[i]} {v}{tail} {words[600 + i]} {words[i]}-{words[i + 9]}.") for i, v in enumerate(values[200:])]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    where = [(1000 + i, len(words[i]) + 1) for i in range(100)]
+    assert np.mean([found[i] == f"format:{a}:{a + 24}" for i, a in where]) >= 0.9
+    assert all("format" not in found[i] for i in range(200))
+
+
 def test_redaction(spark):
     docs = odd_documents(spark)
     found = secrets.redact_secrets(docs)
