@@ -15,6 +15,8 @@ AXES = ("x", "y", "z")
 #: Resolution above which a slice of a box may hold so many cells that slices are dealt out anew.
 DEAL_ABOVE = 128
 MAX_RESOLUTION = 512
+#: Cells of a line that one number holds.
+WORD = 64
 
 
 def placed(x: Column, y: Column, z: Column, matrix: Column) -> list[Column]:
@@ -70,13 +72,8 @@ def model_bbox(vertex: DataFrame, mesh: DataFrame | None = None) -> DataFrame:
     return found.select("*", *sizes, *centers).withColumn("max_dim", F.greatest(*(f"size_{a}" for a in AXES)))
 
 
-def voxelize(tri: DataFrame, bbox: DataFrame, resolution: int = 64) -> DataFrame:
-    """The occupied cells ``(model_id, vx, vy, vz)``: all cells of every triangle's box in a grid over the model.
-
-    A triangle on the grid's upper face has an empty range there and marks
-    nothing; a model of no size marks nothing. Equal boxes are exploded once, and
-    a task's cells are made distinct before they are shuffled.
-    """
+def _boxes(tri: DataFrame, bbox: DataFrame, resolution: int) -> DataFrame:
+    """The different ranges of cells ``(model_id, lo_x .. hi_z)`` that triangles cover in a grid over their model."""
     if not 1 <= resolution <= MAX_RESOLUTION:
         raise ValueError(f"resolution must be 1 to {MAX_RESOLUTION}")
     scale = bbox.where("max_dim > 0").select("model_id", "max_dim", *(f"center_{a}" for a in AXES))
@@ -86,14 +83,93 @@ def voxelize(tri: DataFrame, bbox: DataFrame, resolution: int = 64) -> DataFrame
         normal = [(F.col(f"{a}{c}") - F.col(f"center_{a}")) / F.col("max_dim") for c in range(3)]
         low, high = (F.floor((f(*normal) + 0.5) * resolution).cast("int") for f in (F.least, F.greatest))
         ranges += [F.greatest(F.lit(0), low).alias(f"lo_{a}"), F.least(F.lit(resolution - 1), high).alias(f"hi_{a}")]
-    boxes = joined.select("model_id", *ranges).where(" and ".join(f"lo_{a} <= hi_{a}" for a in AXES)).distinct()
-    cells = boxes.withColumn("vx", F.explode(F.sequence("lo_x", "hi_x")))
+    return joined.select("model_id", *ranges).where(" and ".join(f"lo_{a} <= hi_{a}" for a in AXES)).distinct()
+
+
+def _columns_of(boxes: DataFrame, resolution: int) -> DataFrame:
+    """A row for each ``(vx, vy)`` of every box, with its range along z."""
+    slices = boxes.withColumn("vx", F.explode(F.sequence("lo_x", "hi_x")))
     if resolution > DEAL_ABOVE:  # one large triangle must not fill one task
-        cells = cells.repartition("model_id", "vx", "lo_y", "lo_z")
-    cells = cells.select("model_id", "vx", F.explode(F.sequence("lo_y", "hi_y")).alias("vy"), "lo_z", "hi_z")
+        slices = slices.repartition("model_id", "vx", "lo_y", "lo_z")
+    return slices.select("model_id", "vx", F.explode(F.sequence("lo_y", "hi_y")).alias("vy"), "lo_z", "hi_z")
+
+
+def voxelize(tri: DataFrame, bbox: DataFrame, resolution: int = 64) -> DataFrame:
+    """The occupied cells ``(model_id, vx, vy, vz)``: all cells of every triangle's box in a grid over the model.
+
+    A triangle on the grid's upper face has an empty range there and marks
+    nothing; a model of no size marks nothing. Equal boxes are exploded once, and
+    a task's cells are made distinct before they are shuffled.
+    """
+    cells = _columns_of(_boxes(tri, bbox, resolution), resolution)
     return cells.select("model_id", "vx", "vy", F.explode(F.sequence("lo_z", "hi_z")).alias("vz")).distinct()
 
 
+def words(resolution: int, name: str = "w") -> list[str]:
+    """The columns that hold a line of cells along z: bit ``z % 64`` of word ``z // 64``, as many words as are needed."""
+    return [f"{name}{i}" for i in range(-(-resolution // WORD))]
+
+
+def _run(low: Column, high: Column, word: int) -> Column:
+    """The bits of one word from cell ``low`` to cell ``high`` of the line."""
+    first, last = F.greatest(low - word * WORD, F.lit(0)), F.least(high - word * WORD, F.lit(WORD - 1))
+    ones = F.lit(-1).cast("long")
+    bits = F.call_function("shiftleft", ones, first).bitwiseAND(F.call_function("shiftrightunsigned", ones, WORD - 1 - last))
+    return F.when(first <= last, bits).otherwise(F.lit(0).cast("long"))
+
+
+def voxel_lines(tri: DataFrame, bbox: DataFrame, resolution: int = 64) -> DataFrame:
+    """The occupied cells of ``voxelize`` as lines ``(model_id, vx, vy, w0 ..)`` of bits, 64 cells a word.
+
+    A triangle sets a run of bits in each line of its box. A task's words of a line meet by
+    ``bit_or`` before the shuffle, so at most a row for each line and task moves, and a model
+    has at most resolution squared lines, however many cells and triangles it has.
+    """
+    runs = _columns_of(_boxes(tri, bbox, resolution), resolution)
+    low, high = F.col("lo_z"), F.col("hi_z")
+    lines = runs.select("model_id", "vx", "vy", *(_run(low, high, i).alias(w) for i, w in enumerate(words(resolution))))
+    return lines.groupBy("model_id", "vx", "vy").agg(*(F.bit_or(w).alias(w) for w in words(resolution)))
+
+
+def surface_lines(lines: DataFrame, resolution: int) -> DataFrame:
+    """``lines`` with ``s0 ..``: the bits of those cells that have an empty cell, or the grid's end, at one of six sides.
+
+    Neighbours along z are the word itself shifted by a bit; those along x and y are the
+    lines beside it. What lies outside the grid has no line, so it is empty.
+    """
+    names, none = words(resolution), F.lit(0).cast("long")
+    beside: list[list[Column]] = [[] for _ in names]
+    for axis, other in (("vx", "vy"), ("vy", "vx")):
+        row = Window.partitionBy("model_id", other).orderBy(axis)
+        for step, shift in ((-1, F.lag), (1, F.lead)):
+            near = shift(F.struct(F.col(axis).alias("at"), *names)).over(row)
+            for i, w in enumerate(names):
+                beside[i].append(F.when(near["at"] == F.col(axis) + step, near[w]).otherwise(none))
+    full = []
+    for i, w in enumerate(names):
+        before = F.shiftrightunsigned(names[i - 1], WORD - 1) if i else none
+        after = F.shiftleft(names[i + 1], WORD - 1) if i + 1 < len(names) else none
+        inside = F.shiftleft(w, 1).bitwiseOR(before).bitwiseAND(F.shiftrightunsigned(w, 1).bitwiseOR(after))
+        for side in beside[i]:
+            inside = inside.bitwiseAND(side)
+        full.append(inside)
+    return lines.select("*", *(F.col(w).bitwiseAND(F.bitwise_not(x)).alias(s) for w, x, s in zip(names, full, words(resolution, "s"), strict=True)))
+
+
+def line_counts(lines: DataFrame, resolution: int) -> DataFrame:
+    """Per model the number of cells and of surface cells of ``surface_lines``, by counting bits."""
+    count = lambda name: F.sum(sum((F.bit_count(w) for w in words(resolution, name)), F.lit(0))).alias("n_" + name)
+    return lines.groupBy("model_id").agg(count("w"), count("s")).select("model_id", F.col("n_w").alias("occupied_voxels"), F.col("n_s").alias("surface_voxels"))
+
+
+def line_cells(lines: DataFrame, resolution: int) -> DataFrame:
+    """The cells of ``surface_lines`` one by one: ``model_id, vx, vy, vz, surface``."""
+    bit = lambda w, z: F.call_function("shiftrightunsigned", F.element_at(w, F.floor(z / WORD).cast("int") + 1), F.pmod(z, F.lit(WORD))).bitwiseAND(1) == 1
+    packed = lines.select("model_id", "vx", "vy", F.array(*words(resolution)).alias("w"), F.array(*words(resolution, "s")).alias("s"))
+    cells = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))).alias("vz")).where(bit(F.col("w"), F.col("vz")))
+    return cells.select("model_id", "vx", "vy", "vz", bit(F.col("s"), F.col("vz")).alias("surface"))
+
+
 def surface_voxels(voxels: DataFrame, resolution: int) -> DataFrame:
     """``voxels`` with ``surface``: is the cell at the grid's border, or one of its six neighbours empty?
 
@@ -163,9 +239,9 @@ def metric_ratios(counts: DataFrame, metrics: tuple[str, ...] = ("vvd", "vfc", "
 
 
 def complexity_metrics(vertex: DataFrame, mesh: DataFrame, face_index: DataFrame | None = None, resolution: int = 64, metrics: tuple[str, ...] = ("vvd", "vfc", "vsc")) -> DataFrame:
-    """All metrics of every model with a mesh, in one record."""
-    cells = surface_voxels(voxelize(triangles(vertex, mesh, face_index), model_bbox(vertex, mesh), resolution), resolution)
-    counts = material_count(mesh).join(geometry_stats(vertex, face_index), "model_id", "left").join(voxel_counts(cells), "model_id", "left")
+    """All metrics of every model with a mesh, in one record; cells are counted as bits of lines."""
+    lines = surface_lines(voxel_lines(triangles(vertex, mesh, face_index), model_bbox(vertex, mesh), resolution), resolution)
+    counts = material_count(mesh).join(geometry_stats(vertex, face_index), "model_id", "left").join(line_counts(lines, resolution), "model_id", "left")
     counts = counts.na.fill(0, ["vertex_count", "face_count", "mesh_count", "occupied_voxels", "surface_voxels"])
     return metric_ratios(counts.withColumn("voxel_resolution", F.lit(resolution)), metrics)
 

@@ -92,12 +92,14 @@ def obj_labels(lines: DataFrame) -> DataFrame:
 def obj_relabel(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """``lines`` with the label of each material's ``usemtl`` line written into its comment, and ``replaced``.
 
-    ``labels`` holds ``(file_id, material, label)``; what follows a ``#`` in the
-    material is not part of its name. Indents stay, line breaks in labels become blanks.
+    ``labels`` holds ``(file_id, material, label, result_order)``; of several labels for
+    a material the last in ``result_order`` counts (of one order, the greatest label).
+    What follows a ``#`` in the material is not part of its name. Indents stay, line
+    breaks in labels become blanks.
     """
     base = F.trim(F.element_at(F.split("material", "#"), 1))
-    told = labels.select("file_id", F.lower(base).alias("_material"), base.alias("_name"), collapse_ws(F.col("label")).alias("_label")).where("_label <> '' and _material <> ''")
-    told = told.groupBy("file_id", "_material").agg(F.max(F.struct("_label", "_name")).alias("_told"))
+    told = labels.select("file_id", F.lower(base).alias("_material"), base.alias("_name"), collapse_ws(F.col("label")).alias("_label"), F.col("result_order").alias("_order")).where("_label <> '' and _material <> ''")
+    told = told.groupBy("file_id", "_material").agg(F.max(F.struct("_order", "_label", "_name")).alias("_told"))
     keyed = lines.withColumn("_material", F.lower(F.nullif(F.regexp_extract("line", USEMTL, 2), F.lit(""))))
     joined = keyed.join(told, ["file_id", "_material"], "left")
     hit = F.col("_told").isNotNull()
@@ -169,13 +171,18 @@ def good_result() -> Column:
 
 
 def file_label_outcome(results: DataFrame, failed_files: DataFrame | None = None) -> DataFrame:
-    """Per file its successes and failures, and done, or skipped without successes; error for files whose processing failed."""
+    """Per file its successes and failures, and done, or skipped without successes; error for files whose processing failed.
+
+    A file that failed before it had any result has neither successes nor failures.
+    """
     found = results.groupBy("file_id").agg(F.count_if(good_result()).alias("successes"), F.count_if(~good_result()).alias("failures"))
     outcome = F.when(F.col("successes") == 0, "skipped").otherwise("done")
     if failed_files is None:
         return found.withColumn("outcome", outcome)
-    bad = failed_files.select("file_id").distinct().withColumn("_bad", F.lit(True))
-    return found.join(bad, "file_id", "left").withColumn("outcome", F.when(F.col("_bad"), "error").otherwise(outcome)).drop("_bad")
+    bad = failed_files.select(F.col("file_id").alias("_file")).distinct().withColumn("_bad", F.lit(True))
+    joined = found.join(bad, F.col("file_id").eqNullSafe(F.col("_file")), "full")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("successes", "failures")]
+    return joined.select(F.when(F.col("_bad"), F.col("_file")).otherwise(F.col("file_id")).alias("file_id"), *counts, F.when(F.col("_bad"), "error").otherwise(outcome).alias("outcome"))
 
 
 def batch_state(results: DataFrame) -> DataFrame:

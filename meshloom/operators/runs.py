@@ -28,6 +28,10 @@ def progress_eta(events: DataFrame, totals: DataFrame | None = None) -> DataFram
     (``run_id, total``) a run's total is its number of events. Runs are cut into
     slices of time; sums of the slices before are added to the places within one,
     so a long run isn't one task's.
+
+    No event is lost: a null run is a run of its own, and events without a time come
+    first in theirs, with no seconds left. A run that ``totals`` doesn't name counts
+    its events.
     """
     ok, ms = F.col("ok").cast("long"), millis(F.col("ts"))
     slices = events.groupBy("run_id", _slice().alias("slice")).agg(F.count("*").alias("n"), F.coalesce(F.sum(ok), F.lit(0)).alias("good"), F.min(ms).alias("first"))
@@ -35,9 +39,12 @@ def progress_eta(events: DataFrame, totals: DataFrame | None = None) -> DataFram
     whole = Window.partitionBy("run_id")
     slices = slices.select("run_id", "slice", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "good")), F.min("first").over(whole).alias("began"), F.sum("n").over(whole).alias("total"))
     if totals is not None:
-        slices = slices.drop("total").join(totals, "run_id")
+        given = totals.select(F.col("run_id").alias("_run"), F.col("total").alias("_total"))
+        slices = slices.join(given, F.col("run_id").eqNullSafe(F.col("_run")), "left").withColumn("total", F.coalesce("_total", "total")).drop("_run", "_total")
     upto = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("slice", _slice()).join(slices, ["run_id", "slice"]).withColumns(
+    slices = slices.withColumnsRenamed({"run_id": "_run", "slice": "_slice"})
+    same = F.col("run_id").eqNullSafe(F.col("_run")) & F.col("slice").eqNullSafe(F.col("_slice"))
+    rows = events.withColumn("slice", _slice()).join(slices, same).withColumns(
         {
             "processed": F.col("n_before") + F.count("*").over(upto),
             "succeeded": F.col("good_before") + F.coalesce(F.sum(ok).over(upto), F.lit(0)),
@@ -59,13 +66,14 @@ def progress_eta(events: DataFrame, totals: DataFrame | None = None) -> DataFram
 def stall_gap(events: DataFrame, limit_ms: int = STALL_MS) -> DataFrame:
     """Events that come more than ``limit_ms`` after the one before in their run, with the gap.
 
-    The event before a slice's first one is the last of the slice before.
+    The event before a slice's first one is the last of the slice before. An event
+    without a time has no gap; a null run is a run of its own.
     """
     ms = millis(F.col("ts"))
-    slices = events.groupBy("run_id", _slice().alias("slice")).agg(F.max(ms).alias("last"))
-    slices = slices.select("run_id", "slice", F.lag("last").over(Window.partitionBy("run_id").orderBy("slice")).alias("before"))
+    slices = events.where("ts is not null").groupBy("run_id", _slice().alias("slice")).agg(F.max(ms).alias("last"))
+    slices = slices.select(F.col("run_id").alias("_run"), F.col("slice").alias("_slice"), F.lag("last").over(Window.partitionBy("run_id").orderBy("slice")).alias("before"))
     order = Window.partitionBy("run_id", "slice").orderBy("ts", "event_id")
-    rows = events.withColumn("slice", _slice()).join(slices, ["run_id", "slice"])
+    rows = events.withColumn("slice", _slice()).join(slices, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice")))
     gap = ms - F.coalesce(millis(F.lag("ts").over(order)), F.col("before"))
     return rows.withColumn("gap_ms", gap).where(F.col("gap_ms") > limit_ms).select("run_id", "event_id", "gap_ms")
 

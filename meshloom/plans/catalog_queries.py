@@ -349,7 +349,7 @@ def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(way == 3, head(4, "01000000", 9))
         .when(way == 4, F.substring(F.col("content"), F.lit(1), size - 4))
         .when(way == 5, head(16, "42494E00", 21))
-        .when(way == 6, head(12, "FFFFFF00", 17))
+        .when(way == 6, head(12, "FFFFFFFF", 17))
         .when(way == 7, head(20, "5B", 22))
         .otherwise(F.col("content"))
     )

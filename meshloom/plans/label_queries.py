@@ -41,12 +41,16 @@ def valid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "file_label_outcome",
-    f"""select file_id, successes, failures, case when file_id % 17 = 0 then 'error' when successes = 0 then 'skipped' else 'done' end as outcome
-        from (select file_id, count(*) filter ({_GOOD}) as successes, count(*) filter (not ({_GOOD})) as failures from V_RESULT group by file_id)""",
+    f"""with found as (select file_id, count(*) filter ({_GOOD}) as successes, count(*) filter (not ({_GOOD})) as failures from V_RESULT group by file_id),
+            bad as (select distinct conv_id as file_id from conversations where conv_id % 17 = 0 union select distinct -1 - conv_id from conversations where conv_id % 29 = 0)
+        select coalesce(b.file_id, f.file_id) as file_id, coalesce(successes, 0) as successes, coalesce(failures, 0) as failures,
+            case when b.file_id is not null then 'error' when successes = 0 then 'skipped' else 'done' end as outcome
+        from found f full join bad b on f.file_id = b.file_id""",
 )
 def file_label_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _results(spark, sf_dir)
-    return labels.file_label_outcome(rows, rows.where("file_id % 17 = 0").select("file_id"))
+    """Some files failed after results, some before any (those with an id below zero)."""
+    bad = run_sql(spark, sf_dir, "select conv_id as file_id from conversations where conv_id % 17 = 0 union all select -1 - conv_id from conversations where conv_id % 29 = 0")
+    return labels.file_label_outcome(_results(spark, sf_dir), bad)
 
 
 @query("batch_state", f"select count(*) as total, count(*) filter ({_GOOD}) as successes, case when count(*) filter ({_GOOD}) = 0 then 'error' when count(*) filter ({_GOOD}) < count(*) then 'warning' else 'success' end as state from V_RESULT")
@@ -144,8 +148,10 @@ def obj_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         from V_OBJ_LINE l left join told t on l.file_id = t.file_id and regexp_extract(line, '^usemtl ([^\\s#]+)', 1) = t.material""",
 )
 def obj_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = view(spark, sf_dir, "V_NODE_LABEL").select(F.col("model_id").alias("file_id"), F.concat(F.translate("label_key", " ", "_"), F.lit(" # old")).alias("material"), "label")
-    return labels.obj_relabel(view(spark, sf_dir, "V_OBJ_LINE"), told)
+    """Every material has an older label, too, which sorts after the one that counts."""
+    told = view(spark, sf_dir, "V_NODE_LABEL").select(F.col("model_id").alias("file_id"), F.concat(F.translate("label_key", " ", "_"), F.lit(" # old")).alias("material"), "label", F.lit(2).alias("result_order"))
+    older = told.withColumns({"label": F.concat(F.lit("zzz "), "label"), "result_order": F.lit(1)})
+    return labels.obj_relabel(view(spark, sf_dir, "V_OBJ_LINE"), told.unionByName(older))
 
 
 @query("label_from_material", "select p_partkey, case when p_partkey % 3 <> 2 then p_type end as label from part")

@@ -61,6 +61,11 @@ VIEWS = {
     "V_VERTEX": """
         select label as model_id, vec_id as mesh_id, cast(vi as int) as vi, cast(embedding[3*vi+1] as double) as x, cast(embedding[3*vi+2] as double) as y, cast(embedding[3*vi+3] as double) as z
         from embeddings, range(0, 21) r(vi)""",
+    "V_PLACE": """
+        select model_id, mesh_id, material_id, case when mesh_id % 50 <> 49 then cast(0.15 as double) end as c, case when mesh_id % 50 <> 49 then cast(0.2 as double) end as s,
+            cast(mesh_id % 7 as double) * 6 as tx, cast(cast(floor(mesh_id / 7) as bigint) % 7 as double) * 6 as ty, cast(mesh_id % 5 as double) * 8 as tz from V_MESH""",
+    "V_FACE": """
+        select model_id, mesh_id, cast(k as int) as k, cast((k * k + mesh_id) % 22 as int) as vi from V_MESH, range(0, 31) r(k) where mesh_id % 2 = 0""",
     "V_CHUNK": """
         select doc_id as file_id, chunk_index, cast(ceil(length(text)/1000.0) as int) as total_chunks, substr(text, cast(chunk_index*1000+1 as int), 1000) as data
         from (select doc_id, text, cast(unnest(range(0, cast(ceil(length(text)/1000.0) as int))) as int) as chunk_index from documents where length(text) > 0)""",
@@ -78,6 +83,8 @@ VIEWS = {
 
 #: Views whose text differs in Spark: arrays count from 0 there, and rows are exploded in another way.
 SPARK = {
+    "V_FACE": """
+        select model_id, mesh_id, k, cast((k * k + mesh_id) % 22 as int) as vi from (select model_id, mesh_id, explode(sequence(0, 30)) as k from V_MESH where mesh_id % 2 = 0)""",
     "V_VERTEX": """
         select model_id, mesh_id, vi, cast(embedding[3*vi] as double) as x, cast(embedding[3*vi+1] as double) as y, cast(embedding[3*vi+2] as double) as z
         from (select label as model_id, vec_id as mesh_id, embedding, explode(sequence(0, 20)) as vi from embeddings)""",

@@ -18,7 +18,8 @@ def little_endian(content: Column, at: int) -> Column:
 
 
 def json_text(content: Column) -> Column:
-    length = little_endian(content, HEADER).cast("int")
+    """The JSON chunk as far as the bytes hold it; a length that no file can have reads as no text."""
+    length = F.coalesce(little_endian(content, HEADER).try_cast("int"), F.lit(0))
     return F.decode(F.substring(content, F.lit(FIRST_CHUNK + 1), length), "UTF-8")
 
 

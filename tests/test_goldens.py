@@ -178,8 +178,8 @@ def test_prompts_cover_the_interval(spark):
 
 
 def test_obj_relabel_keeps_indent_and_case(spark):
-    lines = spark.createDataFrame([("f", 1, "  UseMtl Wood  # label: old"), ("f", 2, "v 1 2 3"), ("f", 3, "usemtl Other")], "file_id string, line_no int, line string")
-    told = spark.createDataFrame([("f", "Wood#2", "a\nnew  label"), ("f", " ", "x")], "file_id string, material string, label string")
+    lines = spark.createDataFrame([(1, 1, "  UseMtl wood # label: old"), (1, 2, "v 1 2 3"), (1, 3, "usemtl Other")], "file_id int, line_no int, line string")
+    told = spark.createDataFrame([(1, "Wood # x", "zzz old", 1), (1, "Wood # x", "a\nnew label", 2), (1, "wood", None, 3), (1, " ", "x", 4)], "file_id int, material string, label string, result_order int")
     assert [r["line"] for r in labels.obj_relabel(lines, told).orderBy("line_no").collect()] == ["  UseMtl Wood # label: a new label", "v 1 2 3", "usemtl Other"]
 
 
@@ -195,3 +195,30 @@ def test_empty_tables(spark, small):
     assert metrics.metric_histogram(spark.createDataFrame([], "v double"), ("v",)).count() == 0
     assert runs.progress_eta(spark.createDataFrame([], "run_id int, event_id int, ts timestamp, ok boolean")).count() == 0
     assert labels.batch_state(spark.createDataFrame([], "file_id int, text string, error string")).first()["state"] == "error"
+
+
+def test_progress_keeps_events_without_run_or_time(spark):
+    at = "2024-01-01 10:00:00"
+    rows = [(1, 1, None, True), (1, 2, at, False), (1, 3, "2024-01-01 12:00:00", True), (None, 4, at, True), (None, 5, None, None)]
+    events = spark.createDataFrame(rows, "run_id int, event_id int, ts string, ok boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = {r["event_id"]: (r["run_id"], r["processed"], r["succeeded"], r["percentage"], r["eta_seconds"]) for r in runs.progress_eta(events).collect()}
+    assert found == {1: (1, 1, 1, 33, None), 2: (1, 2, 1, 67, 0), 3: (1, 3, 2, 100, 0), 5: (None, 1, 0, 50, None), 4: (None, 2, 1, 100, 0)}
+    totals = spark.createDataFrame([(1, 4)], "run_id int, total long")
+    assert {r["event_id"]: r["percentage"] for r in runs.progress_eta(events, totals).collect()} == {1: 25, 2: 50, 3: 75, 5: 50, 4: 100}
+    assert [tuple(r) for r in runs.stall_gap(events).collect()] == [(1, 3, 7_200_000)]
+
+
+def test_files_that_fail_before_any_result(spark):
+    results = spark.createDataFrame([(1, "chair", None), (1, "", "timeout"), (2, "", "timeout"), (3, "table", None), (None, "lamp", None)], "file_id int, text string, error string")
+    bad = spark.createDataFrame([(3,), (4,), (4,)], "file_id int")
+    found = {tuple(r) for r in labels.file_label_outcome(results, bad).collect()}
+    assert found == {(1, 1, 1, "done"), (2, 0, 1, "skipped"), (3, 1, 0, "error"), (4, 0, 0, "error"), (None, 1, 0, "done")}
+
+
+def test_containers_with_lengths_beyond_any_file(spark):
+    good = spark.createDataFrame([(1, '{"nodes":[{"name":"n","extras":{"semanticLabel":"chair"}}]}')], "file_id int, json string").select("file_id", containers.build_glb(F.col("json")).alias("content"))
+    data = bytes(good.first()["content"])
+    rows = [(i, data[:12] + bytes.fromhex(n) + data[16:]) for i, n in ((2, "FFFFFFFF"), (3, "FFFFFF7F"), (4, "ECFFFF7F"), (5, "00000080"))]
+    files = good.unionByName(spark.createDataFrame(rows, "file_id int, content binary"))
+    assert [r["file_id"] for r in containers.glb_labels(files).collect()] == [1]
+    assert {r["error"] for r in containers.glb_validate(files).collect()} == {None, "chunk exceeds file"}
