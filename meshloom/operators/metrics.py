@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshloom.sources.shared import shared_folder
+
 #: Metrics that statistics cover, in order.
 STATISTIC_METRICS = ("material_count", "vvd", "vfc", "vsc", "vertex_count", "face_count", "occupied")
 BINS = 50
@@ -58,10 +60,13 @@ def merge_metrics(old: DataFrame, new: DataFrame, fields: tuple[str, ...], key:
 def refreshed_metrics(old: DataFrame, asked: DataFrame, compute: Callable[[DataFrame], DataFrame], required: tuple[str, ...], resolution: int, key: str = "model_id") -> DataFrame:
     """``old`` with the metrics of the ``asked`` assets that need computing; assets that are complete are left alone.
 
-    ``compute`` gets the keys that are due and returns their metrics, which are laid over the old ones.
+    ``compute`` gets the keys that are due and returns their metrics, which are laid over the old ones. What it
+    returns is written to the shared folder, so it is computed once.
     """
     state = asked.select(key).distinct().join(old.withColumn("has_metrics", F.lit(True)), key, "left")
-    fresh = compute(metrics_status(state, required, resolution).where("needs_compute").select(key))
+    path = shared_folder(old.sparkSession, "metrics")
+    compute(metrics_status(state, required, resolution).where("needs_compute").select(key)).write.parquet(path)
+    fresh = old.sparkSession.read.parquet(path)
     merged = merge_metrics(old, fresh, tuple(c for c in old.columns if c != key), key).drop("last_updated")
     return merged.unionByName(fresh.join(old.select(key), key, "left_anti").select(*old.columns))
 

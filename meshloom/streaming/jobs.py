@@ -2,60 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from meshloom.operators.geometry import complexity_metrics
 from meshloom.operators.metrics import refreshed_metrics
-from meshloom.operators.runs import sessions, tumbling_progress
+from meshloom.operators.runs import STALL_MS, sessions, tumbling_progress
 from meshloom.sources.storage import merge_records
 
+#: Parts of a table, by the hash of a row's key; a batch rewrites those that it touches, so a part should be about a file.
+BUCKETS = 64
+_STORES = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_POINTERS = "version long, bucket int, path string, writer string, batch long"
 
-#: Parts of a table, by the hash of a row's key; a batch rewrites those that it touches.
-BUCKETS = 16
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """What finished batches wrote: a row for each bucket that a batch rewrote, with the batch and the query that ran it."""
+    path = f"{root}/versions"
+    return spark.read.schema(_POINTERS).json(path) if _exists(spark, path) else spark.createDataFrame([], _POINTERS)
 
 
 def _latest(spark: SparkSession, root: str) -> dict[int, tuple[int, str]]:
-    """Of each bucket of a table below ``root`` the newest version and its folder, from the pointers that finished batches wrote."""
-    pointers = f"{root}/versions"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(pointers)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return {}
-    last = spark.read.schema("version long, bucket int, path string").json(pointers).groupBy("bucket").agg(F.max(F.struct("version", "path")).alias("x"))
+    """Of each bucket of a table below ``root`` the newest version and its folder."""
+    last = _pointers(spark, root).groupBy("bucket").agg(F.max(F.struct("version", "path")).alias("x"))
     return {r["bucket"]: (r["version"], r["path"]) for r in last.select("bucket", "x.*").collect()}  # a row for each bucket
 
 
-def _versioned(root: str, key: str, change: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A batch function that writes ``change(old, new)`` for the buckets of the new keys; a batch that is run again changes nothing."""
+def _writer(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint: another checkpoint, or an emptied one, is another query."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
+def _versioned(root: str, checkpoint: str, key: str, change: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that writes ``change(old, new)`` for the buckets of the new keys.
+
+    A batch that its query runs again changes nothing. Batches of other queries over the
+    same root, which number theirs from 0, too, are told apart by the query's id, and add
+    to what is there. One query at a time may write.
+    """
 
     def run(new: DataFrame, batch: int) -> None:
-        spark, bucket = new.sparkSession, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-        latest = _latest(spark, root)
-        if any(version >= batch for version, _ in latest.values()):
+        spark, bucket = new.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        writer = _writer(spark, checkpoint)
+        done = _pointers(spark, root).agg(F.max("version"), F.bool_or((F.col("writer") == writer) & (F.col("batch") >= batch))).first()
+        if done[1]:
             return
         touched = [r[0] for r in new.select(bucket).distinct().collect()]
         if not touched:
             return
+        version, latest = 0 if done[0] is None else done[0] + 1, _latest(spark, root)
         paths = [latest[b][1] for b in touched if b in latest]
         table = change(spark.read.parquet(*paths) if paths else None, new)
-        path = f"{root}/v{batch:08d}"
-        table.repartition(BUCKETS, bucket).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(path)  # what a lost attempt left there was never pointed to
+        path = f"{root}/v{version:08d}"
+        table.repartition(len(touched), bucket).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(path)  # what a lost attempt left there was never pointed to
         written = [r[0] for r in spark.read.parquet(path).select("_bucket").distinct().collect()]
-        rows = [(batch, b, f"{path}/_bucket={b}") for b in written]
-        spark.createDataFrame(rows, "version long, bucket int, path string").coalesce(1).write.mode("append").json(f"{root}/versions")
+        rows = [(version, b, f"{path}/_bucket={b}", writer, batch) for b in written]
+        spark.createDataFrame(rows, _POINTERS).coalesce(1).write.mode("append").json(f"{root}/versions")
 
     return run
 
 
-def stream_catalog(records: DataFrame, root: str, checkpoint: str, key: str = "id", order: tuple[str, ...] = ("updated_at", "version_no")) -> StreamingQuery:
-    """Folds new records into the catalog at ``root``: the latest of each id."""
+def stream_catalog(records: DataFrame, root: str, checkpoint: str, key: str = "id", order: tuple[str, ...] = ("updated_at", "version_no"), buckets: int = BUCKETS) -> StreamingQuery:
+    """Folds new records into the catalog at ``root``: the latest of each id.
+
+    A new checkpoint over the same root reads its source from the start and adds what is new.
+    """
     change = lambda old, new: merge_records(old, new, key, *order)
-    return records.writeStream.foreachBatch(_versioned(root, key, change)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return records.writeStream.foreachBatch(_versioned(root, checkpoint, key, change, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_metrics(assets: DataFrame, root: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], required: tuple[str, ...], resolution: int) -> StreamingQuery:
+def stream_metrics(assets: DataFrame, root: str, checkpoint: str, compute: Callable[[DataFrame], DataFrame], required: tuple[str, ...], resolution: int, buckets: int = BUCKETS) -> StreamingQuery:
     """Computes metrics of the assets that need it and keeps them at ``root``; assets that are complete are left alone.
 
     ``compute`` gets the assets ``(model_id)`` and returns their metrics with ``material_count`` and ``voxel_resolution``.
@@ -66,7 +92,17 @@ def stream_metrics(assets: DataFrame, root: str, checkpoint: str, compute: Calla
             return compute(new.select("model_id").distinct())
         return refreshed_metrics(old, new, compute, required, resolution)
 
-    return assets.writeStream.foreachBatch(_versioned(root, "model_id", change)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return assets.writeStream.foreachBatch(_versioned(root, checkpoint, "model_id", change, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def model_metrics(vertex: DataFrame, mesh: DataFrame, resolution: int, face_index: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function for ``stream_metrics``: the complexity metrics of the models that are due, from their own meshes only."""
+
+    def compute(due: DataFrame) -> DataFrame:
+        own = [t if t is None else t.join(due.select("model_id").distinct(), "model_id", "left_semi") for t in (vertex, mesh, face_index)]
+        return complexity_metrics(*own, resolution=resolution)
+
+    return compute
 
 
 def stream_progress(events: DataFrame, delay: str = "30 minutes", width: str = "10 minutes") -> DataFrame:
@@ -79,9 +115,81 @@ def stream_stalls(events: DataFrame, delay: str = "30 minutes", gap: str = "10 m
     return sessions(events.withWatermark("ts", delay), gap)
 
 
+def stall_alarms(events: DataFrame, limit_ms: int = STALL_MS, delay: str = "0 seconds", clock: DataFrame | None = None) -> DataFrame:
+    """A stream of alarms ``(run_id, stalled_since, due)``: a run has had no event for more than ``limit_ms``.
+
+    An alarm comes once for a stall, as soon as the watermark has passed ``due`` and
+    without another event of the run: a timer of the run's state waits for it. The
+    watermark follows the events of all runs; where those may all fall silent, a
+    ``clock`` with a column ``ts`` drives it. ``delay`` is how late an event may come; a
+    run's state is its last event and those that are within the delay. Events without a
+    time or a run raise no alarm.
+    """
+
+    class Alarm(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "ms long, told boolean")
+            self.waiting = handle.getListState("waiting", "ms long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+            times = [r["ms"] for r in rows if r["run_id"] is not None]
+            if times:
+                self.waiting.appendList([(t,) for t in times])
+                self.handle.registerTimer(min(times))
+            return iter(())
+
+        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+            now = timerValues.getCurrentWatermarkInMs()
+            times = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
+            last, told = self.last.get() if self.last.exists() else (None, True)
+            before = last, told
+            for t in [x for x in times if x <= now]:
+                if not told and t - last > limit_ms:
+                    yield Row(run_id=key[0], since=last, due=last + limit_ms)
+                last, told = t, False
+            if not told and now - last > limit_ms:
+                yield Row(run_id=key[0], since=last, due=last + limit_ms)
+                told = True
+            later = [x for x in times if x > now]
+            if len(later) < len(times):
+                if later:
+                    self.waiting.put([(t,) for t in later])
+                else:
+                    self.waiting.clear()
+            if (last, told) != before:
+                self.last.update((last, told))
+            if later:
+                self.handle.registerTimer(later[0])
+            if not told:
+                self.handle.registerTimer(last + limit_ms + 1)
+
+        def close(self) -> None:
+            pass
+
+    kind = events.schema["run_id"].dataType
+    rows = events.select("run_id", F.col("ts").cast("timestamp").alias("ts"))
+    if clock is not None:
+        rows = rows.unionByName(clock.select(F.lit(None).cast(kind).alias("run_id"), F.col("ts").cast("timestamp").alias("ts")))
+    timed = rows.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).where("ms is not null")
+    found = timed.groupBy("run_id").transformWithState(Alarm(), f"run_id {kind.simpleString()}, since long, due long", "append", "EventTime")
+    return found.select("run_id", *(F.timestamp_millis(c).alias(n) for c, n in (("since", "stalled_since"), ("due", "due"))))
+
+
+def start_alarms(alarms: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Appends alarms to Parquet files, as far as the source goes; timers need the state store that is set here."""
+    spark = alarms.sparkSession
+    before = spark.conf.get(_STORES)
+    spark.conf.set(_STORES, _ROCKS)
+    try:
+        return alarms.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
+    finally:
+        spark.conf.set(_STORES, before)
+
+
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
     paths = [path for _, path in _latest(spark, root).values()]
     return spark.read.parquet(*paths) if paths else None
 
 
-__all__ = ["read_latest", "stream_catalog", "stream_metrics", "stream_progress", "stream_stalls"]
+__all__ = ["read_latest", "stall_alarms", "start_alarms", "stream_catalog", "stream_metrics", "stream_progress", "stream_stalls"]
