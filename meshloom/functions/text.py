@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # How a label is marked in a material's name, at its end or in brackets.
@@ -61,6 +61,22 @@ def has_keyword(text: Column, keywords: list[str], literal: bool = False) -> Col
     return F.coalesce(text.rlike(pattern), F.lit(False)) if pattern else F.lit(False)
 
 
+def keyword_rule(keywords: DataFrame, literal: bool = False) -> Column:
+    """The pattern of ``keyword_pattern`` for a table ``(keyword)``, as a value that Spark computes once and sends to all tasks.
+
+    Null without keywords. The table is one of settings: its texts become one pattern.
+    """
+    word = trimmed(F.col("keyword"))
+    part = F.regexp_replace(word, r"([\\.^$|?*+()\[\]{}])", r"\\$1") if literal else word
+    parts = keywords.where(word != "").select(F.regexp_replace(part, rf"{SPACE}+", r"\\s+").alias("part")).distinct()
+    return parts.agg(F.concat(F.lit("(?iU)(?:"), F.nullif(F.array_join(F.array_sort(F.collect_list("part")), "|"), F.lit("")), F.lit(")"))).scalar()
+
+
+def has_keyword_of(text: Column, keywords: DataFrame, literal: bool = False) -> Column:
+    """Does the text hold one of the keywords of a table? False for a null text, or without keywords."""
+    return F.coalesce(F.rlike(text, keyword_rule(keywords, literal)), F.lit(False))
+
+
 def describe_error(code: Column, *messages: Column, default: str = "unknown error") -> Column:
     """The first message that isn't blank, else ``default``; behind the code in brackets, where there is one."""
     said = F.coalesce(*(F.nullif(trimmed(m), F.lit("")) for m in messages), F.lit(default))

@@ -9,8 +9,9 @@ from meshloom.functions.text import extension, label_status
 from meshloom.operators import catalog, chunks
 from meshloom.plans.registry import query
 from meshloom.plans.views import run_sql, view
-from meshloom.sources import containers
+from meshloom.sources import containers, storage, tiers
 from meshloom.sources.shared import shared_folder
+from meshloom.streaming import jobs
 
 NOW = "2024-06-01 00:00:00"
 _RANK = "case tier when 'raw' then 1 when 'labeled' then 2 else 3 end"
@@ -29,6 +30,26 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "V_REQUEST")
 
 
+@query(
+    "scan_tier",
+    """select a.id, case when a.doc_id % 13 = 0 then 0 else strlen(d.text) end as size, a.doc_id % 3 = 0 as has_sidecar,
+        case when a.doc_id % 6 = 0 then 'labeled' else 'raw' end as status, case when a.doc_id % 6 = 0 then a.lang end as label_text,
+        case when a.doc_id % 6 = 0 then a.source end as source_type, case when a.doc_id % 6 = 0 then cast(a.n_chars as bigint) end as vertex_count
+        from (select *, size as n_chars from V_ASSET) a join documents d on a.doc_id = d.doc_id""",
+)
+def scan_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document becomes a file, some of them empty; a third has sidecars, half of which are no JSON; then the folder is scanned."""
+    rows = run_sql(spark, sf_dir, "select a.*, d.text from V_ASSET a join documents d on a.doc_id = d.doc_id")
+    label = F.array(F.struct(F.col("lang").alias("text")))
+    said = F.to_json(F.struct(label.alias("labels"), F.lit(True).alias("hasLabels"), F.col("source").alias("sourceType"), F.struct(F.col("size").alias("vertexCount")).alias("filterMetrics")))
+    sidecar = F.when(F.col("doc_id") % 6 == 0, said).when(F.col("doc_id") % 3 == 0, "{broken")
+    content = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text")).cast("binary")
+    root = shared_folder(spark, "assets")
+    storage.write_assets(rows.select("id", content.alias("content"), sidecar.alias("sidecar")), root, "raw")
+    found = storage.scan_tier(spark, root, "raw")
+    return found.select("id", "size", "has_sidecar", "status", F.get("labels", F.lit(0))["text"].alias("label_text"), F.col("sourceType").alias("source_type"), F.col("filterMetrics.vertexCount").alias("vertex_count"))
+
+
 @query("scan_all_tiers", f"select id, size, tier as type, cast({_RANK} as int) as tier_rank from V_TIER")
 def scan_all_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tiers(spark, sf_dir)
@@ -113,6 +134,60 @@ def delete_not_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.delete_assets(_tiers(spark, sf_dir), _requests(spark, sf_dir))[1].select("position", "id")
 
 
+def _tier_table(spark: SparkSession, sf_dir: str) -> str:
+    root = shared_folder(spark, "tier-table")
+    tiers.write_tiers(_tiers(spark, sf_dir).select("tier", "id", "size", (F.col("doc_id") % 2 == 0).alias("has_sidecar")), root)
+    return root
+
+
+def _table_rows(spark: SparkSession, root: str) -> DataFrame:
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("moved_at", "filtered_at")]
+    return tiers.read_tiers(spark, root).select("tier", "id", "size", "has_sidecar", "has_labels", *times, "source_type")
+
+
+_TABLE = "select tier, id, size, doc_id % 2 = 0 as has_sidecar, cast(null as boolean) as has_labels, cast(null as timestamp) as moved_at, cast(null as timestamp) as filtered_at, cast(null as varchar) as source_type from V_TIER"
+
+
+@query(
+    "tier_promote",
+    f"""with moved as (select 'labeled' as tier, r.id, coalesce(payload_size, t.size) as size, true as has_sidecar, true as has_labels, timestamp '{NOW}' as moved_at, cast(null as timestamp) as filtered_at, cast(null as varchar) as source_type
+            from V_REQUEST r left join (select * from V_TIER where tier = 'raw') t on r.id = t.id where payload_size is not null or t.id is not null)
+        select * from ({_TABLE}) t where not (tier = 'labeled' and id in (select id from moved)) union all select * from moved""",
+)
+def tier_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of tiers after the requested assets were promoted in it."""
+    root = _tier_table(spark, sf_dir)
+    tiers.promote(spark, root, _requests(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return _table_rows(spark, root)
+
+
+_COPIED = f"""copied as (select 'filtered' as tier, r.id, t.size, coalesce(has_sidecar, false) as has_sidecar, cast(null as boolean) as has_labels, cast(null as timestamp) as moved_at,
+            case when has_sidecar then timestamp '{NOW}' end as filtered_at, case when has_sidecar then 'labeled' end as source_type
+            from V_REQUEST r join (select *, doc_id % 2 = 0 as has_sidecar from V_TIER where tier = 'labeled') t on r.id = t.id)"""
+
+
+@query("tier_copy", f"with {_COPIED} select * from ({_TABLE}) t where not (tier = 'filtered' and id in (select id from copied)) union all select * from copied")
+def tier_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tier_table(spark, sf_dir)
+    tiers.copy_filtered(spark, root, _requests(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    return _table_rows(spark, root)
+
+
+@query("tier_replace", f"with {_COPIED} select * from ({_TABLE}) t where tier <> 'filtered' union all select * from copied")
+def tier_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered tier holds nothing but what was copied last."""
+    root = _tier_table(spark, sf_dir)
+    tiers.copy_filtered(spark, root, _requests(spark, sf_dir), F.lit(NOW).cast("timestamp"), replace=True)
+    return _table_rows(spark, root)
+
+
+@query("tier_delete", f"select * from ({_TABLE}) t where not exists (select 1 from V_REQUEST r where r.id = t.id)")
+def tier_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tier_table(spark, sf_dir)
+    tiers.delete(spark, root, _requests(spark, sf_dir).select("id"))
+    return _table_rows(spark, root)
+
+
 @query(
     "tier_inventory",
     """select tier, count(*) as files, count(*) filter (lower(id) like '%.glb') as glb_files,
@@ -160,12 +235,12 @@ def workspace_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select id, name, size, type, folder, label_text, has_labels, is_temporary, is_from_server, server_file_id, batch_number from (
         select a.id, a.id as name, a.size, coalesce(case when a.doc_id % 3 = 0 then 'obj' end, 'unknown') as type, coalesce(case when a.doc_id % 2 = 0 then 'mine' end, 'uploaded-models') as folder,
             case when a.doc_id % 4 = 0 then a.lang else '' end as label_text, false as has_labels, false as is_temporary, a.doc_id % 5 = 0 as is_from_server, cast(null as varchar) as server_file_id, cast(7 as bigint) as batch_number
-        from V_ASSET a where a.doc_id % 2 = 0
+        from V_ASSET a
         union all select w.id, null, null, null, folder, '', null, is_temporary, null, server_file_id, batch_number from V_WORKSPACE w
-            where not exists (select 1 from V_ASSET a where a.doc_id % 2 = 0 and a.id = w.id))""",
+            where not exists (select 1 from V_ASSET a where a.id = w.id))""",
 )
 def workspace_put(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = view(spark, sf_dir, "V_ASSET").where("doc_id % 2 = 0")
+    assets = view(spark, sf_dir, "V_ASSET")
     kind = "array<struct<text:string,material_name:string,target_material_name:string>>"
     label = F.array(F.struct(F.col("lang").alias("text"), F.lit(None).alias("material_name"), F.lit(None).alias("target_material_name"))).cast(kind)
     none = F.lit(None)
@@ -174,7 +249,7 @@ def workspace_put(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.cast("string").alias("name"),
         "size",
         F.when(F.col("doc_id") % 3 == 0, "obj").alias("type"),
-        F.lit("mine").alias("folder"),
+        F.when(F.col("doc_id") % 2 == 0, "mine").alias("folder"),
         F.when(F.col("doc_id") % 4 == 0, label).alias("labels"),
         none.cast("boolean").alias("has_labels"),
         none.cast("boolean").alias("is_temporary"),
@@ -213,18 +288,23 @@ def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_catalog", f"with {_LATEST} select id, version_no, updated_at, status from last")
 def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch twin of the streaming job."""
-    return latest_wins(spark, sf_dir)
+    """Two streams with checkpoints of their own fold their half of the records into one catalog."""
+    rows, root = view(spark, sf_dir, "V_VERSION"), shared_folder(spark, "catalog")
+    for half in (0, 1):
+        rows.where(F.col("version_no") % 2 == half).write.parquet(f"{root}/source{half}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/source{half}")
+        jobs.stream_catalog(stream, f"{root}/table", f"{root}/checkpoint{half}", buckets=8).awaitTermination()
+    return jobs.read_latest(spark, f"{root}/table").select("id", "version_no", "updated_at", "status")
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, "select c_custkey as id, c_name as name, c_mktsegment as status, cast(0 as int) as progress from customer where c_custkey % 2 = 0")
+    return run_sql(spark, sf_dir, "select c_custkey * 2 as id, c_name as name, c_mktsegment as status, cast(0 as int) as progress from customer")
 
 
 @query(
     "catalog_merge",
     f"""with {_LATEST} select coalesce(n.id, o.id) as id, o.name, coalesce(n.status, o.status) as status, o.id is null as is_new
-        from (select c_custkey as id, c_name as name, c_mktsegment as status from customer where c_custkey % 2 = 0) o
+        from (select c_custkey * 2 as id, c_name as name, c_mktsegment as status from customer) o
         full join (select id, case when id % 3 <> 0 then status end as status from last) n on o.id = n.id""",
 )
 def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +315,7 @@ def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "catalog_patch",
     f"""with {_LATEST} select o.id, name, coalesce(p.status, o.status) as status, coalesce(p.progress, o.progress) as progress
-        from (select c_custkey as id, c_name as name, c_mktsegment as status, cast(0 as int) as progress from customer where c_custkey % 2 = 0) o
+        from (select c_custkey * 2 as id, c_name as name, c_mktsegment as status, cast(0 as int) as progress from customer) o
         left join (select id, case when id % 3 = 0 then status end as status, cast(case when id % 5 = 0 then 50 end as int) as progress, id % 7 = 0 as remove from last) p on o.id = p.id
         where not coalesce(remove, false)""",
 )

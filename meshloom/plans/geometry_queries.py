@@ -9,6 +9,8 @@ from meshloom.operators import geometry as g
 from meshloom.operators.metrics import metric_filter
 from meshloom.plans.registry import query
 from meshloom.plans.views import view
+from meshloom.sources.shared import shared_folder
+from meshloom.streaming import jobs
 
 R = 16
 RANGES = {"material_count": (2, 7), "vvd": (0.5, 50.0), "vfc": (0.2, 20.0), "vsc": (0.0, 1.0)}
@@ -215,6 +217,18 @@ def complexity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.complexity_metrics(_vertex(spark, sf_dir), _mesh(spark, sf_dir), resolution=R)
 
 
+@query("stream_complexity", f"with {TRIANGLES}, {BOX}, {CELLS}, {SURFACE}, {METRICS} select *, {R} as voxel_resolution, cast(null as varchar) as error from metrics")
+def stream_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of models, half of which are asked for twice: each batch computes the metrics that are missing from the models' meshes."""
+    vertex, mesh, root = _vertex(spark, sf_dir), _mesh(spark, sf_dir), shared_folder(spark, "metrics")
+    models = mesh.select("model_id").distinct()
+    for asked in (models.where(F.pmod(F.hash("model_id"), F.lit(2)) == 0), models):
+        asked.write.mode("append").parquet(f"{root}/models")
+        stream = spark.readStream.schema(models.schema).parquet(f"{root}/models")
+        jobs.stream_metrics(stream, f"{root}/table", f"{root}/checkpoint", jobs.model_metrics(vertex, mesh, R), ("vvd", "vfc", "vsc"), R, buckets=8).awaitTermination()
+    return jobs.read_latest(spark, f"{root}/table")
+
+
 @query(
     "filtered_complexity",
     f"""with {TRIANGLES}, {BOX}, {CELLS}, {SURFACE}, {METRICS}

@@ -9,6 +9,8 @@ from meshloom.functions import text as t
 from meshloom.operators import labels
 from meshloom.plans.registry import query
 from meshloom.plans.views import run_sql, view
+from meshloom.sources.shared import shared_folder
+from meshloom.sources.storage import load_prompts
 
 KEYWORDS = ["the  of", "with", "  ", "ing in"]
 _PATTERN = r"(the\s+of|with|ing\s+in)"
@@ -34,6 +36,36 @@ def ignore_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("file_id", "turn", t.has_keyword(F.col("text"), KEYWORDS).alias("ignored"))
 
 
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A library of prompts, written as its JSON file and loaded: a prompt for each nation, keywords from the regions besides the fixed ones."""
+    fields = F.struct(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("Name the parts of "), "n_name").alias("content"), (F.col("n_regionkey") + 1).alias("weight"))
+    prompts = run_sql(spark, sf_dir, "select * from nation").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", fields.alias("p")))).alias("x")).select(F.col("x.p").alias("prompts"))
+    words = run_sql(spark, sf_dir, "select * from region").agg(F.sort_array(F.collect_list("r_name")).alias("names"))
+    rows = prompts.crossJoin(words).select(F.to_json(F.struct(F.lit("weighted").alias("selectionRule"), F.concat(F.array(*map(F.lit, KEYWORDS)), "names").alias("ignoreKeywords"), "prompts")).alias("value"))  # a row each
+    path = shared_folder(spark, "prompts")
+    rows.coalesce(1).write.text(path)
+    none = spark.createDataFrame([], "pos int, prompt_id string, content string, weight int")
+    return load_prompts(spark, path, none)
+
+
+@query("load_prompts", "select cast(row_number() over (order by n_nationkey) as int) as pos, concat('p', n_nationkey) as prompt_id, concat('Name the parts of ', n_name) as content, cast(n_regionkey + 1 as int) as weight, 'weighted' as rule from nation")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, rule = _library(spark, sf_dir)
+    return found.withColumn("rule", rule.scalar())
+
+
+@query(
+    "keyword_table",
+    rf"""select file_id, turn, coalesce(regexp_matches(text, (select '(the\s+of|with|ing\s+in|' || string_agg(r_name, '|') || ')' from region), 'i'), false) as ignored,
+        coalesce(regexp_matches(text, '(with\.|ing\s+in)', 'i'), false) as ignored_literally from V_RESULT""",
+)
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords as a table: those of the library, and some that are no patterns."""
+    words = _library(spark, sf_dir)[1]
+    fixed = spark.createDataFrame([("with.",), (" ING  in ",), ("",), (None,)], "keyword string")
+    return _results(spark, sf_dir).select("file_id", "turn", t.has_keyword_of(F.col("text"), words).alias("ignored"), t.has_keyword_of(F.col("text"), fixed, literal=True).alias("ignored_literally"))
+
+
 @query("valid_labels", f"select file_id, turn, text from V_RESULT where {_GOOD} and not regexp_matches(text, '{_PATTERN}', 'i')")
 def valid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.valid_labels(_results(spark, sf_dir), KEYWORDS).select("file_id", "turn", "text")

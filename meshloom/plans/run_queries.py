@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meshloom.operators import catalog, runs
 from meshloom.plans.registry import query
 from meshloom.plans.views import view
 from meshloom.sources.shared import shared_folder
 from meshloom.sources.storage import write_report
+from meshloom.streaming import jobs
 
 _SUMMARY = """
     select run_id, count(*) as total, count(*) as processed, count(*) filter (ok) as succeeded, count(*) filter (not ok) as failed, cast(0 as bigint) as not_reached,
@@ -75,6 +77,22 @@ def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.sessions(_events(spark, sf_dir))
 
 
+@query(
+    "stall_alarms",
+    """select run_id, since_ms, since_ms + 600000 as due_ms from (select run_id, epoch_us(ts) // 1000 as since_ms, lead(epoch_us(ts) // 1000) over (partition by run_id order by ts) as next_ms,
+        max(epoch_us(ts) // 1000) over () - 1800000 as now_ms from V_RUN_EVENT) where coalesce(next_ms, 9000000000000) - since_ms > 600000 and now_ms - since_ms > 600000""",
+)
+def stall_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that is stopped twice: alarms up to half an hour before the last event, which may still be late."""
+    rows, root = _events(spark, sf_dir), shared_folder(spark, "alarms")
+    for days in ("day(ts) <= 10", "day(ts) between 11 and 20", "day(ts) > 20"):
+        rows.where(days).write.mode("append").parquet(f"{root}/events")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/events")
+        jobs.start_alarms(jobs.stall_alarms(stream, delay="30 minutes"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    found = spark.read.schema("run_id long, stalled_since timestamp, due timestamp").parquet(f"{root}/out")
+    return found.select("run_id", F.unix_millis("stalled_since").alias("since_ms"), F.unix_millis("due").alias("due_ms"))
+
+
 @query("status_counts", "select status, count(*) as files from V_VERSION group by status")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.status_counts(view(spark, sf_dir, "V_VERSION"))

@@ -23,7 +23,7 @@ VIEWS = {
         union all select 'filtered', a.* from V_ASSET a join labels l on a.doc_id = l.doc_id where l.quality = 1 and l.toxic = 0""",
     "V_REQUEST": """
         select doc_id as position, case when doc_id % 5 = 0 then concat('x', id) else id end as id, cast(case when doc_id % 4 = 0 then size * 2 end as bigint) as payload_size
-        from V_ASSET where doc_id % 3 = 0""",
+        from V_ASSET""",
     "V_METRICS": """
         select o.o_orderkey as model_id, l.model is not null as has_metrics, case when o.o_orderkey % 7 = 0 then 32 else 64 end as voxel_resolution,
             l.material_count, l.vertex_count, l.face_count, l.occupied, l.surface,

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from meshloom.operators.catalog import latest_wins
 
@@ -21,22 +28,87 @@ PROMPTS = (
 DEFAULT_KEYWORDS = ("Unknown Object",)
 
 
+def write_assets(assets: DataFrame, root: str, tier: str) -> int:
+    """Writes ``(id, content, sidecar)`` as a tier's files, a sidecar that isn't null as ``<id>.json``; returns the number of assets.
+
+    Tasks write their own rows; a task that runs again writes the same files once more.
+    """
+    folder = f"{root.rstrip('/')}/{tier}"
+    spark = assets.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, at = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        n = 0
+        for batch in batches:
+            for i, content, sidecar in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name, data in ((i, content or b""), (f"{i}.json", None if sidecar is None else sidecar.encode())):
+                    if data is not None:
+                        with where.open_output_stream(f"{at}/{name}") as f:
+                            f.write(data)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return assets.select("id", "content", "sidecar").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``(folder, name, size, modified)`` of the files right in the folders, empty ones too.
+
+    A data source of its own, since Spark's skip empty files: each folder is listed by one
+    task, which hands its names on in batches. Folders are of any file system that pyarrow
+    knows (local, HDFS, S3 and others); one that doesn't exist has no files.
+    """
+
+    class Reader(DataSourceReader):
+        def __init__(self, folders: list[str]):
+            self.folders = folders
+
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(f) for f in self.folders]
+
+        def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+            folder = partition.value
+            where, at = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+            found = [x for x in where.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if x.is_file]
+            for i in range(0, len(found), 10_000):
+                part = found[i : i + 10_000]
+                columns = [pa.array([folder] * len(part)), pa.array([x.base_name for x in part]), pa.array([x.size for x in part], pa.int64()), pa.array([x.mtime for x in part], pa.timestamp("us", "UTC"))]
+                yield pa.RecordBatch.from_arrays(columns, ["folder", "name", "size", "modified"])
+
+    class Files(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "asset_files"
+
+        def schema(self) -> str:
+            return "folder string, name string, size long, modified timestamp"
+
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return Reader(json.loads(self.options["folders"]))
+
+    spark.dataSource.register(Files)
+    return spark.read.format("asset_files").option("folders", json.dumps(folders)).load()
+
+
 def scan_tier(spark: SparkSession, root: str, tier: str) -> DataFrame:
     """The assets of a tier's folder: one row per file that isn't a sidecar, with what its sidecar says.
 
-    Only paths, lengths and times of files are read. A sidecar is the JSON object
-    in ``<file>.json``; a broken or missing one leaves the defaults. Sub-folders
-    and, by Spark's file sources, empty files are skipped. The time of creation is the sidecar's upload time, or else the
+    Only names, lengths and times of files are read, of empty files as well. A sidecar is
+    the JSON object in ``<file>.json``; a broken, empty or missing one leaves the defaults.
+    Sub-folders are skipped. The time of creation is the sidecar's upload time, or else the
     file's, as file systems don't keep a time of birth.
     """
     plain = lambda uri: F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))  # noqa: E731  a blank is %20 in a URI
-    name = F.element_at(F.split(plain("path"), "/"), -1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{root.rstrip('/')}/{tier}")
-    files = files.select(name.alias("id"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where("not id like '%.json'")
-    said = spark.read.schema(SIDECAR).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{root.rstrip('/')}/{tier}")
+    folder = f"{root.rstrip('/')}/{tier}"
+    listed = list_files(spark, [folder])
+    files = listed.where("name not like '%.json'").select(F.col("name").alias("id"), "size", "modified")
+    there = listed.where("name like '%.json'").select(F.expr("left(name, length(name) - 5)").alias("_file"))
+    said = spark.read.schema(SIDECAR).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     said = said.select(F.regexp_replace(plain("_metadata.file_name"), r"\.json$", "").alias("_id"), "updatedAt", "uploadTime", "labels", "hasLabels", "filterMetrics", "filteredAt", "sourceType")
     said = said.dropDuplicates(["_id"])
-    joined = files.join(said, files["id"] == said["_id"], "left")
+    joined = files.join(there, files["id"] == there["_file"], "left").join(said, files["id"] == said["_id"], "left")
     labeled = F.coalesce("hasLabels", F.lit(False))
     return joined.select(
         "id",
@@ -53,7 +125,7 @@ def scan_tier(spark: SparkSession, root: str, tier: str) -> DataFrame:
         "sourceType",
         F.lit(True).alias("isFromServer"),
         F.col("id").alias("serverFileId"),
-        F.col("_id").isNotNull().alias("has_sidecar"),
+        F.col("_file").isNotNull().alias("has_sidecar"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import text as t
 from meshloom.operators import catalog, chunks, geometry, labels, metrics, runs
-from meshloom.sources import containers, storage
+from meshloom.sources import containers, storage, tiers
 
 VERTEX = "model_id int, mesh_id int, vi int, x double, y double, z double"
 
@@ -145,8 +145,13 @@ def test_scan_tier_and_prompts(spark, tmp_path):
     (tier / "c.obj").write_bytes(b"123")
     (tier / "c.obj.json").write_text("{broken")
     (tier / "d.stl").write_bytes(b"1")
+    (tier / "empty.fbx").write_bytes(b"")
+    (tier / "empty.fbx.json").write_text("")
     got = {r["id"]: r for r in storage.scan_tier(spark, str(tmp_path), "labeled").collect()}
-    assert set(got) == {"a b.glb", "c.obj", "d.stl"}
+    assert set(got) == {"a b.glb", "c.obj", "d.stl", "empty.fbx"}
+    assert (got["empty.fbx"]["size"], got["empty.fbx"]["has_sidecar"], got["empty.fbx"]["hasLabels"], got["d.stl"]["has_sidecar"]) == (0, True, False, False)
+    assert storage.scan_tier(spark, str(tmp_path), "labeled").where("updatedAt is null").count() == 0
+    assert storage.list_files(spark, [str(tmp_path / "none")]).count() == 0
     a, c = got["a b.glb"], got["c.obj"]
     assert (a["size"], a["status"], a["labels"][0]["text"], a["filterMetrics"]["VVD"], a["sourceType"]) == (5, "labeled", "chair", 2.5, "raw")
     assert (c["size"], c["status"], c["labels"], c["hasLabels"], c["filterMetrics"]) == (3, "raw", [], False, None)
@@ -160,6 +165,29 @@ def test_scan_tier_and_prompts(spark, tmp_path):
     assert ([r["prompt_id"] for r in prompts.collect()], [r[0] for r in words.collect()], rule.first()[0]) == (["d"], ["Unknown Object"], "weighted")
 
 
+def test_keywords_of_a_table(spark):
+    rows = spark.createDataFrame([("An  unknown  object",), ("a.b",), ("axb",), (None,)], "s string")
+    table = lambda words: spark.createDataFrame([(w,) for w in words], "keyword string")
+    hit = lambda words, literal=False: [r[0] for r in rows.select(t.has_keyword_of(F.col("s"), table(words), literal)).collect()]
+    assert hit(["Unknown Object", " ", None]) == [True, False, False, False]
+    assert hit(["a.b"]) == [False, True, True, False]
+    assert hit(["a.b", "a.b", "("], literal=True) == [False, True, False, False]
+    assert hit([]) == hit(["", None]) == [False] * 4
+
+
+def test_a_tier_may_become_empty(spark, tmp_path):
+    root, rows = str(tmp_path / "tiers"), [("raw", "a", 1), ("raw", "b", 2), ("labeled", "a", 3), ("filtered", "c", 4)]
+    tiers.write_tiers(spark.createDataFrame(rows, "tier string, id string, size long"), root)
+    before = {f.name for f in (tmp_path / "tiers" / "tier=filtered").iterdir()}
+    missed = tiers.delete(spark, root, spark.createDataFrame([("a",), ("x",)], "id string"))
+    assert [r["id"] for r in missed.collect()] == ["x"]
+    assert {tuple(r) for r in tiers.read_tiers(spark, root).select("tier", "id", "size").collect()} == {("raw", "b", 2), ("filtered", "c", 4)}
+    assert {f.name for f in (tmp_path / "tiers" / "tier=filtered").iterdir()} == before
+    failed = tiers.promote(spark, root, spark.createDataFrame([("b", None), ("n", 9), ("q", None)], "id string, payload_size long"), F.lit("2024-01-01").cast("timestamp"))
+    assert [r["id"] for r in failed.collect()] == ["q"]
+    assert {tuple(r) for r in tiers.read_tiers(spark, root).where("has_labels").select("id", "size").collect()} == {("b", 2), ("n", 9)}
+
+
 def test_keywords(spark):
     rows = spark.createDataFrame([("An  unknown  object",), ("a.b",), ("axb",), (None,)], "s string")
     hit = lambda words, literal=False: [r[0] for r in rows.select(t.has_keyword(F.col("s"), words, literal)).collect()]
