@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshloom.sources.shared import shared_folder
@@ -169,6 +169,39 @@ def page(assets: DataFrame, number: int, size: int, *order: Column) -> DataFrame
     return rows.withColumn("total", total).withColumn("total_pages", F.ceil(F.col("total") / size))
 
 
+def page_index(assets: DataFrame, *order: Column) -> str:
+    """Writes ``assets`` in ``order``, which must be total, for ``indexed_page``; returns the folder.
+
+    Rows are sorted over the cluster; a partition of the sort is a folder of its own, and a
+    small table holds how many rows each has.
+    """
+    spark, path = assets.sparkSession, shared_folder(assets.sparkSession, "pages")
+    slot = F.monotonically_increasing_id()
+    rows = assets.orderBy(*order).withColumns({"_part": F.shiftright(slot, 33), "_at": slot.bitwiseAND((1 << 33) - 1)})
+    rows.limit(0).write.parquet(f"{path}/none")  # has the columns, even if there are no rows
+    rows.write.partitionBy("_part").parquet(f"{path}/rows")
+    spark.read.schema(rows.schema).parquet(f"{path}/rows").groupBy("_part").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/index")
+    return path
+
+
+def indexed_page(spark: SparkSession, path: str, number: int, size: int) -> DataFrame:
+    """The rows of a page of ``page_index``, with ``place, total, total_pages``.
+
+    The index, a row for each partition, tells which partitions the page is in; only their
+    files are read, however deep the page lies.
+    """
+    counts = spark.read.parquet(f"{path}/index")
+    upto = F.sum("n").over(Window.orderBy("_part"))
+    parts = counts.select("_part", (upto - F.col("n")).alias("before"), upto.alias("upto"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first, last = (number - 1) * size, number * size if number > 0 else 0
+    on = {r["_part"]: r["before"] for r in parts.where((F.col("before") < last) & (F.col("upto") > first)).collect()}
+    rows = spark.read.schema(spark.read.parquet(f"{path}/none").schema).parquet(f"{path}/rows")
+    before = F.create_map(*(F.lit(x) for pair in on.items() for x in pair))[F.col("_part")] if on else F.lit(0)
+    place = before + F.col("_at") + 1
+    return rows.where(F.col("_part").isin(*on)).withColumn("place", place).where((F.col("place") > first) & (F.col("place") <= last)).drop("_part", "_at").withColumns({"total": F.lit(total).cast("long"), "total_pages": F.ceil(F.lit(total) / size)})
+
+
 def batch_numbers(assets: DataFrame, size: int, *order: Column) -> DataFrame:
     """``assets`` with ``batch_number``: the page of ``size`` rows that each is on."""
     return numbered(assets, *order).withColumn("batch_number", F.floor((F.col("place") - 1) / size) + 1)

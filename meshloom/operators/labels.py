@@ -71,11 +71,14 @@ def label_to_mesh(meshes: DataFrame, results: DataFrame) -> DataFrame:
 def label_to_node(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes`` with ``label`` and ``match_type``: exact by name, else normalized, else none (null).
 
-    ``labels`` holds ``(model_id, label_key, label)``, a key once a model; of keys
-    that are the same when normalized the first in order counts.
+    ``labels`` holds ``(model_id, label_key, label, label_order)``. A label is known by its key
+    and by the normalized key; of several labels for one of these the last in order counts (of
+    one order, the greatest). Empty labels and keys are no labels.
     """
-    exact = labels.select("model_id", F.col("label_key").alias("node_name"), F.col("label").alias("_exact"))
-    loose = labels.groupBy("model_id", norm_name(F.col("label_key")).alias("_norm")).agg(F.min_by("label", "label_key").alias("_loose"))
+    told = labels.where("label <> '' and label_key <> ''").select("model_id", "label", F.col("label_order").alias("_order"), F.explode(F.array("label_key", norm_name(F.col("label_key")))).alias("_key"))
+    known = told.where("_key <> ''").groupBy("model_id", "_key").agg(F.max(F.struct("_order", "label"))["label"].alias("_label"))
+    exact = known.select("model_id", F.col("_key").alias("node_name"), F.col("_label").alias("_exact"))
+    loose = known.select("model_id", F.col("_key").alias("_norm"), F.col("_label").alias("_loose"))
     joined = nodes.withColumn("_norm", norm_name(F.col("node_name"))).join(exact, ["model_id", "node_name"], "left").join(loose, ["model_id", "_norm"], "left")
     kind = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_loose").isNotNull(), "normalized")
     return joined.withColumn("label", F.coalesce("_exact", "_loose")).withColumn("match_type", kind).drop("_exact", "_loose", "_norm")

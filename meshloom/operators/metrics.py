@@ -180,13 +180,13 @@ def metric_histogram(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_MET
     Bins cover the range widened by a tenth at each end and rounded outwards. The
     density is the share of values; a range of no width has none.
     """
-    values = _long(assets, metrics)
+    values = _long(assets, metrics).groupBy("metric", "value").agg(F.count("*").alias("n"))  # one shuffle, which both uses read
     spread = F.col("top") - F.col("bottom")
-    bounds = values.groupBy("metric").agg(F.min("value").alias("bottom"), F.max("value").alias("top"), F.count("*").alias("count"))
+    bounds = values.groupBy("metric").agg(F.min("value").alias("bottom"), F.max("value").alias("top"), F.sum("n").alias("count"))
     bounds = bounds.select("metric", "count", F.floor(F.col("bottom") - spread * 0.1).alias("low"), F.ceil(F.col("top") + spread * 0.1).alias("high"))
     bounds = bounds.withColumn("width", (F.col("high") - F.col("low")) / bins)
     joined = values.join(F.broadcast(bounds), "metric").where("width > 0")  # a row for each metric
-    filled = joined.groupBy("metric", F.least(F.floor((F.col("value") - F.col("low")) / F.col("width")), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
+    filled = joined.groupBy("metric", F.least(F.floor((F.col("value") - F.col("low")) / F.col("width")), F.lit(bins - 1)).alias("bin")).agg(F.sum("n").alias("n"))
     every = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     found = every.join(filled, ["metric", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return found.select("metric", "bin", (F.col("low") + (F.col("bin") + 0.5) * F.col("width")).alias("center"), "n", (F.col("n") / F.col("count")).alias("density"))

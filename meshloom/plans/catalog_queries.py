@@ -351,6 +351,19 @@ def page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(view(spark, sf_dir, "V_ASSET").select("id", "created_at"), 2, 50, F.desc("created_at"), F.col("id"))
 
 
+@query(
+    "deep_page",
+    """select tier, id, size, place, total, cast(ceil(total / 40.0) as bigint) as total_pages from (select tier, id, size, row_number() over (order by tier, id) as place, count(*) over () as total from V_TIER)
+        where place > (total - 1) // 40 * 40 or place between 81 and 120""",
+)
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page and the third, from an index over the sorted table."""
+    path = catalog.page_index(_tiers(spark, sf_dir).select("tier", "id", "size"), F.col("tier"), F.col("id"))
+    third = catalog.indexed_page(spark, path, 3, 40)
+    last = third.select("total_pages").first()[0]
+    return third.unionByName(catalog.indexed_page(spark, path, last, 40)).distinct()
+
+
 @query("batch_number", "select id, cast((row_number() over (order by created_at desc, id) - 1) // 50 + 1 as bigint) as batch_number from V_ASSET")
 def batch_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.batch_numbers(view(spark, sf_dir, "V_ASSET").select("id", "created_at"), 50, F.desc("created_at"), F.col("id")).select("id", "batch_number")

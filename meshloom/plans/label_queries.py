@@ -9,6 +9,7 @@ from meshloom.functions import text as t
 from meshloom.operators import labels
 from meshloom.plans.registry import query
 from meshloom.plans.views import run_sql, view
+from meshloom.sources import containers
 from meshloom.sources.shared import shared_folder
 from meshloom.sources.storage import load_prompts
 
@@ -27,6 +28,15 @@ def _norm(name: str) -> str:
     return _collapsed(f"regexp_replace({name}, '[_\\->]', ' ', 'g')")
 
 
+#: Labels of nodes by key and by normalized key, the last in order of each.
+_KNOWN = f"""told as (select model_id, label_key, label, 1 as label_order from V_NODE_LABEL union all select model_id, replace(label_key, ' ', '-'), concat('later ', label), 2 from V_NODE_LABEL where length(label_key) % 3 = 0),
+        known as (select model_id, key, arg_max(label, label_order) as label from (select model_id, label_key as key, label, label_order from told union all select model_id, {_norm('label_key')}, label, label_order from told) group by model_id, key)"""
+
+
+def _node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, "select model_id, label_key, label, 1 as label_order from V_NODE_LABEL union all select model_id, replace(label_key, ' ', '-'), concat('later ', label), 2 from V_NODE_LABEL where length(label_key) % 3 = 0")
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "V_RESULT")
 
@@ -143,13 +153,38 @@ def label_to_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_to_node",
-    f"""with loose as (select model_id, {_norm('label_key')} as norm, arg_min(label, label_key) as label from V_NODE_LABEL group by all)
+    f"""with {_KNOWN}
         select n.model_id, node_idx, node_name, coalesce(e.label, l.label) as label, case when e.label is not null then 'exact' when l.label is not null then 'normalized' end as match_type
-        from V_NODE n left join V_NODE_LABEL e on n.model_id = e.model_id and n.node_name = e.label_key
-        left join loose l on n.model_id = l.model_id and {_norm('n.node_name')} = l.norm""",
+        from V_NODE n left join known e on n.model_id = e.model_id and n.node_name = e.key left join known l on n.model_id = l.model_id and {_norm('n.node_name')} = l.key""",
 )
 def label_to_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.label_to_node(view(spark, sf_dir, "V_NODE"), view(spark, sf_dir, "V_NODE_LABEL")).select("model_id", "node_idx", "node_name", "label", "match_type")
+    return labels.label_to_node(view(spark, sf_dir, "V_NODE"), _node_labels(spark, sf_dir)).select("model_id", "node_idx", "node_name", "label", "match_type")
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for each model: its nodes, some with extras and an older label, its meshes by the same names, and bytes behind them."""
+    extras = F.when(F.col("node_idx") % 5 == 0, F.struct(F.lit("old").alias("semanticLabel"), F.array(F.lit(1.5), F.col("node_idx").cast("double")).alias("size"))).when(F.col("node_idx") % 5 == 1, F.struct(F.lit(None).cast("string").alias("semanticLabel"), F.array(F.lit(2.0)).alias("size")))
+    item = F.struct("node_idx", F.struct(F.col("node_name").alias("name"), F.col("node_idx").alias("mesh"), extras.alias("extras")).alias("item"))
+    found = view(spark, sf_dir, "V_NODE").groupBy("model_id").agg(F.sort_array(F.collect_list(item)).alias("x"))
+    json = F.to_json(F.struct(F.struct(F.lit("2.0").alias("version")).alias("asset"), F.col("x.item").alias("nodes"), F.transform("x", lambda x: F.struct(x["item"]["name"].alias("name"))).alias("meshes")))
+    path = shared_folder(spark, "models")
+    found.select("model_id", containers.build_glb(json, F.encode(F.col("model_id"), "UTF-8")).alias("content")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "glb_relabel",
+    f"""with {_KNOWN}, placed as (select *, cast(row_number() over (partition by model_id order by node_idx) - 1 as int) as position from V_NODE),
+        found as (select n.*, coalesce(e.label, l.label) as label from placed n left join known e on n.model_id = e.model_id and n.node_name = e.key left join known l on n.model_id = l.model_id and {_norm('n.node_name')} = l.key)
+        select model_id as file_id, 'node' as kind, position, node_name as name, coalesce(label, case when node_idx % 5 = 0 then 'old' end) as label from found where label is not null or node_idx % 5 = 0
+        union all select model_id, 'mesh', position, node_name, label from found where label is not null""",
+)
+def glb_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written into the containers of all models and read from what was written."""
+    files = containers.glb_relabel(_models(spark, sf_dir).withColumnRenamed("model_id", "file_id"), _node_labels(spark, sf_dir))
+    path = shared_folder(spark, "relabeled")
+    files.write.parquet(path)
+    return containers.glb_labels(spark.read.parquet(path))
 
 
 @query("norm_name", f"select node_idx, {_norm('node_name')} as norm_name from V_NODE")

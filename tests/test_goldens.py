@@ -188,6 +188,42 @@ def test_a_tier_may_become_empty(spark, tmp_path):
     assert {tuple(r) for r in tiers.read_tiers(spark, root).where("has_labels").select("id", "size").collect()} == {("b", 2), ("n", 9)}
 
 
+def test_pages_read_their_files_only(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id")).repartition(5)
+    path = catalog.page_index(rows, F.desc("id"))
+    for number, want in ((1, range(999, 969, -1)), (20, range(429, 399, -1)), (34, range(9, -1, -1)), (35, []), (0, []), (-2, [])):
+        page = catalog.indexed_page(spark, path, number, 30)
+        assert [r["id"] for r in page.orderBy("place").collect()] == list(want)
+        assert len(page.inputFiles()) <= 2 or not want or "PartitionFilters: [" in page._jdf.queryExecution().executedPlan().toString()
+    last = catalog.indexed_page(spark, path, 34, 30)
+    assert {(r["total"], r["total_pages"]) for r in last.collect()} == {(1000, 34)}
+    assert catalog.indexed_page(spark, catalog.page_index(rows.limit(0), F.desc("id")), 1, 30).count() == 0
+
+
+def test_labels_into_containers(spark):
+    doc = {"asset": {"version": "2.0"}, "nodes": [{"name": "leg_a", "mesh": 0}, {"name": "seat", "extras": {"k": [1, 2.5], "semanticLabel": "old"}}, {"mesh": 1}], "meshes": [{"name": "leg a", "extras": 5}], "accessors": [{"min": [1e-7, -0.25]}]}
+    files = spark.createDataFrame([("f", json.dumps(doc)), ("plain", "{}")], "file_id string, json string").select("file_id", containers.build_glb(F.col("json"), F.encode(F.lit("bytes"), "UTF-8")).alias("content"))
+    files = files.unionByName(spark.createDataFrame([("bad", b"glTF")], "file_id string, content binary"))
+    told = spark.createDataFrame([("f", "leg-a", "bein é", 2), ("f", "leg a", "leg", 1), ("f", "seat", "", 3), ("f", "seat", "sitz", 1)], "model_id string, label_key string, label string, label_order int")
+    before = {r["file_id"]: bytes(r["content"]) for r in files.collect()}
+    after = {r["file_id"]: bytes(r["content"]) for r in containers.glb_relabel(files, told).collect()}
+    assert after["bad"] == before["bad"] and after["plain"] == before["plain"]
+    size = int.from_bytes(after["f"][12:16], "little")
+    assert len(after["f"]) == int.from_bytes(after["f"][8:12], "little") and size % 4 == 0 and after["f"][20 + size :] == before["f"][-16:]
+    doc["nodes"][0]["extras"] = doc["meshes"][0]["extras"] = {"semanticLabel": "bein é"}
+    doc["nodes"][1]["extras"]["semanticLabel"] = "sitz"
+    assert json.loads(after["f"][20 : 20 + size]) == doc
+    again = spark.createDataFrame(list(after.items()), "file_id string, content binary")
+    assert {r["error"] for r in containers.glb_validate(again).where("file_id <> 'bad'").collect()} == {None}
+
+
+def test_later_labels_win(spark):
+    nodes = spark.createDataFrame([(1, "a b"), (1, "a_b"), (1, "a-b"), (1, "c"), (1, None)], "model_id int, node_name string")
+    told = spark.createDataFrame([(1, "a_b", "first", 1), (1, "a>b", "second", 2), (1, "a b", None, 3)], "model_id int, label_key string, label string, label_order int")
+    found = {(r["node_name"], r["label"], r["match_type"]) for r in labels.label_to_node(nodes, told).collect()}
+    assert found == {("a b", "second", "exact"), ("a_b", "first", "exact"), ("a-b", "second", "normalized"), ("c", None, None), (None, None, None)}
+
+
 def test_keywords(spark):
     rows = spark.createDataFrame([("An  unknown  object",), ("a.b",), ("axb",), (None,)], "s string")
     hit = lambda words, literal=False: [r[0] for r in rows.select(t.has_keyword(F.col("s"), words, literal)).collect()]
