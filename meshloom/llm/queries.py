@@ -19,6 +19,7 @@ from .packing import pack_documents
 from .resampling import importance_resample
 from .secrets import find_secrets
 from .simhash import near_groups
+from .sql import CONVERSATIONS_SQL, RESAMPLING_SQL
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -97,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The others can't be written in SQL alone; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op12_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_conversations": CONVERSATIONS_SQL, "op12_mixing": MIX_SQL, "op13_resampling": RESAMPLING_SQL}
