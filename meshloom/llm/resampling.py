@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from meshloom.operators.catalog import numbered
 
-from .common import ragged, ship, sum_runs
+from .common import checkpointed, ragged, ship, sum_runs
 
 #: Buckets of features, and words that a document must have to be drawn.
 BUCKETS, LEAST_WORDS = 10_000, 20
@@ -230,7 +230,7 @@ def importance_resample(
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     score = F.col("weight") + F.floor(-GAIN_UNIT * F.log(-F.log((noise + 0.5) / F.lit(4294967296.0))))
     rows = add_weights(docs, gain, id_col, text_col, longest).select(F.col(id_col).alias("id"), "n_features", "weight", score.alias("score"), (F.col("n_words") >= least_words).alias("fit"))
-    placed = numbered(rows, F.desc("fit"), F.desc("score"), F.asc_nulls_last("id"))
+    placed = numbered(checkpointed(rows), F.desc("fit"), F.desc("score"), F.asc_nulls_last("id"))
     drawn = placed.agg((F.floor(F.count_if("fit") * percent / 100))).scalar()
     rank = F.when(F.col("fit") & (F.col("place") <= drawn), F.col("place").cast("long"))
     return placed.select(F.col("id").alias(id_col), "n_features", "weight", "score", rank.alias("rank"))
