@@ -1,8 +1,10 @@
 """Operators 2, 4, 5, 6, 7 and 10 against brute force, exact round trips and held-out rows."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,6 +39,13 @@ def test_op2(spark, small):
         data = texts[r["doc_id"]].encode()
         payload = data + bytes(-len(data) % 64 or (0 if data else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        near = [abs(payload[i] - payload[i + 1]) for i in range(len(payload) - 1) if (i + 1) % 64]
+        mean = sum(payload) / len(payload)
+        counts = Counter(payload)
+        entropy = sum(-n / len(payload) * math.log2(n / len(payload)) for n in counts.values())
+        told = dict(x.split("=") for x in r["feature"].split(";"))
+        want = {"h": len(payload) // 64, "mean": mean, "sd": math.sqrt(sum(n * (b - mean) ** 2 for b, n in counts.items()) / len(payload)), "entropy": entropy, "step": sum(near) / len(near)}
+        assert told.keys() == want.keys() and all(abs(float(told[k]) - want[k]) < 1.5e-4 for k in want)
         stored = media.encode_png(data)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
 
