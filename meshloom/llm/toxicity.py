@@ -24,6 +24,8 @@ BITS = 20
 #: Labelled documents of each class that the model is learnt from, at most.
 SAMPLE = 4000
 EPOCHS = 6
+#: Buckets of all documents of the sample together that one task learns from, at most: 256 MB.
+SAMPLE_BUCKETS = 64 << 20
 #: Tasks that make the features of the sample.
 FEATURE_TASKS = 64
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
@@ -144,7 +146,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
 
     At most ``sample`` documents of each class are taken, those whose ids have the
     smallest hashes. Their features are made in many tasks; one task learns from
-    the features' buckets, at most 4 MB a document. Rows without a label or an id teach
+    the features' buckets, at most SAMPLE_BUCKETS of them: documents of the sample that
+    don't fit behind those before them, in the order of the hashes, teach nothing. Rows without a label or an id teach
     nothing; of several labels of an id the largest counts. Without both classes
     the model is a constant.
     """
@@ -170,12 +173,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 0,
             yield pa.RecordBatch.from_arrays(columns, ["order", "id", "mark", "buckets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, marked = [], []
+        seen, marked, room = [], [], SAMPLE_BUCKETS
         for batch in batches:
             lists = batch.column("buckets")
-            ends = lists.offsets.to_numpy()
-            seen += [lists.values.to_numpy()[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            marked += batch.column("mark").to_pylist()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for a, b, mark in zip(ends[:-1].tolist(), ends[1:].tolist(), batch.column("mark").to_pylist(), strict=True):
+                if b - a <= room:
+                    room -= b - a
+                    seen.append(values[a:b].copy())
+                    marked.append(mark)
         mark = np.array(marked, np.float64)
         if 0 < mark.sum() < len(mark):
             model = calibrated(seen, mark)

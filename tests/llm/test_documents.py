@@ -706,6 +706,19 @@ def test_ftrl_finds_the_word():
     assert table[3] > 1 and np.count_nonzero(table) < 100 and model.bias < 0
 
 
+def test_what_is_learnt_from_is_bounded(spark, monkeypatch):
+    """Documents that don't fit behind those before them are left out; the rest is learnt from."""
+    bad, good = "vile rotten words here", "kind gentle words here"
+    rows = [(i, (bad if i % 2 else good) + (" " + " ".join(f"w{i}x{k}" for k in range(3000)) if i % 10 < 2 else ""), i % 2) for i in range(1, 400)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic long")
+    monkeypatch.setattr(toxicity, "SAMPLE_BUCKETS", 8000)
+    model = toxicity.train_toxicity(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert auc([scores[r[0]] for r in rows], [r[2] for r in rows]) > 0.95
+    monkeypatch.setattr(toxicity, "SAMPLE_BUCKETS", 0)
+    assert len(toxicity.train_toxicity(docs, labels).buckets) == 0
+
+
 def test_op10_odd(spark):
     marks = spark.createDataFrame([(1, 1), (9, 0), (None, 1), (8, None), (1, 0), (77, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd_documents(spark), marks).collect()
