@@ -28,8 +28,13 @@ _SPACE = re.compile(r"\s")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, which unpickle its functions by name; once an application."""
-    sc = spark.sparkContext
+    """Sends this package to the executors, which unpickle its functions by name; once an application.
+
+    Texts may be long, so the session's tasks exchange at most BATCH_ROWS rows at once with Python from now on.
+    """
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     if sc.applicationId not in _SHIPPED:
         _SHIPPED.add(sc.applicationId)
         package = Path(__file__).parent.parent
