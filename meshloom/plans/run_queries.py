@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "V_RUN_EVENT")
 
 
+def _streamed(spark: SparkSession, events: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of a streaming job that is started for the events, and once more for a late one of no run, which closes all that is open."""
+    root, timed = shared_folder(spark, "stream"), events.withColumn("ts", F.col("ts").cast("timestamp"))
+    end = timed.agg(F.max("ts").alias("ts")).select(*(F.expr("ts + interval 1 year").alias("ts") if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in timed.dtypes))
+    for rows in (timed, end):
+        rows.write.mode("append").parquet(f"{root}/events")
+        found = job(spark.readStream.schema(timed.schema).parquet(f"{root}/events"))
+        found.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
 @query(
     "progress_eta",
     """select run_id, event_id, processed, succeeded, processed - succeeded as failed, cast(floor(100.0::double * processed / total + 0.5) as bigint) as percentage,
@@ -62,8 +75,8 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(*) as processed, count(*) filter (not ok) as failed from V_RUN_EVENT group by all""",
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch twin of the streaming job."""
-    return runs.tumbling_progress(_events(spark, sf_dir))
+    """The streaming job over the events."""
+    return _streamed(spark, _events(spark, sf_dir), jobs.stream_progress)
 
 
 @query(
@@ -73,8 +86,8 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         from (select *, epoch_us(ts) - epoch_us(lag(ts) over (partition by run_id order by ts, event_id)) as gap from V_RUN_EVENT)) group by run_id, part""",
 )
 def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch twin of the streaming job."""
-    return runs.sessions(_events(spark, sf_dir))
+    """The streaming job over the events."""
+    return _streamed(spark, _events(spark, sf_dir), jobs.stream_stalls)
 
 
 @query(
