@@ -86,6 +86,39 @@ def joined_with(rows: DataFrame, keys: DataFrame, on: list[str] | list[Column],
     return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def with_text_hashes(docs: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two hashes of their texts, 128 bits together, and the columns' names."""
+    names = [free_name(docs, n) for n in ("text_hash", "text_check")]
+    return docs.withColumns({names[0]: F.xxhash64(text_col), names[1]: F.xxhash64(F.lit("check"), text_col)}), names
+
+
+def row_of(id_col: str) -> Column:
+    """A struct that orders rows by their id, null ids last."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("row")
+
+
+def distinct_rows(hashed: DataFrame, names: list[str], id_col: str) -> DataFrame:
+    """(hash, check, row, n): the different ids and texts of ``with_text_hashes``, and how often they occur."""
+    rows = hashed.select(row_of(id_col), F.col(names[0]).alias("hash"), F.col(names[1]).alias("check"))
+    return rows.groupBy("hash", "check", "row").agg(F.count("*").alias("n"))
+
+
+def kept_rows(hashed: DataFrame, names: list[str], once: DataFrame, least: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``hashed`` that ``least`` (row, hash, check) names, one of each; ``once`` are its ``distinct_rows``.
+
+    Texts aren't shuffled as long as the rows that go are few: they are found among hashes.
+    """
+    kept = once.join(least.withColumn("keep", F.lit(True)), ["hash", "check", "row"], "left")
+    # rows that go, and those of which one of several stays
+    odd = checkpointed(kept.where("keep is null or n > 1").select(F.col("row.id").alias("_id"), F.col("hash").alias("_hash"), F.col("check").alias("_check"), F.col("keep").isNotNull().alias("_keep")))
+    same = [hashed[id_col].eqNullSafe(odd["_id"]), hashed[names[0]] == odd["_hash"], hashed[names[1]] == odd["_check"]]
+    found = joined_with(hashed, odd, same, "left_anti")
+    again = odd.where("_keep")
+    if again.isEmpty():
+        return found
+    return found.unionByName(joined_with(hashed, again, same, "left_semi").dropDuplicates([id_col, *names]))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo ``n`` (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

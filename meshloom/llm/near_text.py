@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, joined_with, ship, small
+from .common import checkpointed, distinct_rows, joined_with, kept_rows, ship, small, with_text_hashes
 from .components import connected_components
 from .simhash import words_of
 
@@ -270,20 +270,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int =
     shuffled: what goes is found among hashes.
     """
     groups = near_text_groups(docs, similarity, width, text_col=text_col)
-    names = [free_name(docs, n) for n in ("text_hash", "text_check")]
-    hashed = docs.withColumns({names[0]: F.xxhash64(text_col), names[1]: F.xxhash64(F.lit("check"), text_col)})
-    rows = hashed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")).alias("row"), F.col(names[0]).alias("hash"), F.col(names[1]).alias("check"))
-    once = checkpointed(rows.groupBy("hash", "check", "row").agg(F.count("*").alias("n")))
+    hashed, names = with_text_hashes(docs, text_col)
+    once = checkpointed(distinct_rows(hashed, names, id_col))
     own = once.groupBy("hash", "check").agg(F.min("row").alias("row"))
     own = own.join(groups.withColumnRenamed("text_hash", "hash"), "hash", "left")
     alone = F.col("group").isNull()
     least = own.groupBy(F.coalesce("group", "hash").alias("of"), F.when(alone, F.col("check")).alias("alone")).agg(F.min(F.struct("row", "hash", "check")).alias("x")).select("x.*")
-    kept = once.join(least.withColumn("keep", F.lit(True)), ["hash", "check", "row"], "left")
-    # rows that go, and those of which one of several stays
-    odd = checkpointed(kept.where("keep is null or n > 1").select(F.col("row.id").alias("_id"), F.col("hash").alias("_hash"), F.col("check").alias("_check"), F.col("keep").isNotNull().alias("_keep")))
-    same = [hashed[id_col].eqNullSafe(odd["_id"]), hashed[names[0]] == odd["_hash"], hashed[names[1]] == odd["_check"]]
-    found = joined_with(hashed, odd, same, "left_anti").select(*docs.columns)
-    again = odd.where("_keep")
-    if again.isEmpty():
-        return found
-    return found.unionByName(joined_with(hashed, again, same, "left_semi").dropDuplicates([id_col, *names]).select(*docs.columns))
+    return kept_rows(hashed, names, once, least, id_col).select(*docs.columns)

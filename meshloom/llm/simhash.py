@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocks, checkpointed, ship, small
+from .common import blocks, checkpointed, kept_rows, row_of, ship, small, with_text_hashes
 from .components import connected_components
 from .golay import keys as golay_keys
 
@@ -133,6 +133,13 @@ def midpoint_links(prints: DataFrame) -> DataFrame:
     return met.join(least, "word").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
 
 
+def print_components(prints: DataFrame) -> DataFrame:
+    """``prints``, which has each fingerprint ``fp`` once, with ``component``: the smallest one that links reach, its own included."""
+    groups = connected_components(print_links(prints), "a", "b")
+    # fingerprints without links are components of their own
+    return prints.join(groups, prints["fp"] == groups["node"], "left").select(*prints.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The near-duplicate group of every document.
 
@@ -153,10 +160,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aggregation, so a group of copies costs no more than one document.
     """
     found = checkpointed(add_fingerprints(docs.select(id_col, text_col), text_col, width, "fp").select(F.col(id_col).alias("id"), "fp"))
-    prints = found.groupBy("fp").agg(F.min("id").alias("least"))
-    groups = connected_components(print_links(prints), "a", "b")
-    # fingerprints without links are components of their own
-    of_print = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    of_print = print_components(found.groupBy("fp").agg(F.min("id").alias("least")))
     least = of_print.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = of_print.join(least, "component").select("fp", "component_id")
     return found.join(of_print, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """``docs`` with one document of each of ``near_groups``: that with the smallest id.
+
+    Texts without words, null ones too, have fingerprint zero, so they are one group.
+    Null ids come last; of rows that repeat an id and a text one stays. All columns stay.
+
+    Each fingerprint's first row is found in a partial aggregation, and only those rows
+    meet by group, so large groups of copies make no large task.
+    """
+    hashed, names = with_text_hashes(docs, text_col)
+    marked = hashed.select(row_of(id_col), F.col(text_col).alias("text"), *(F.col(n).alias(a) for n, a in zip(names, ("hash", "check"), strict=True)))
+    found = checkpointed(add_fingerprints(marked, "text", width, "fp").drop("text"))
+    first = found.groupBy("fp").agg(F.min(F.struct("row", "hash", "check")).alias("first"))
+    least = print_components(first).groupBy("component").agg(F.min("first").alias("x")).select("x.*")
+    once = found.groupBy("hash", "check", "row").agg(F.count("*").alias("n"))
+    return kept_rows(hashed, names, once, least, id_col).select(*docs.columns)

@@ -3,6 +3,7 @@
 from helpers import odd_documents
 
 import corpus_pipeline as pipeline
+from meshloom.llm.simhash import near_groups
 
 
 def stage(name):
@@ -45,3 +46,15 @@ def test_run(spark):
     toxic = [i for i, t in marks.items() if t]
     assert sum(i in kept for i in toxic) / len(toxic) < 0.3
     assert len(pipeline.STAGES) == 5
+
+
+def test_near_dedup_keeps_one_of_each_simhash_group(spark):
+    """One row of each of op4's components: the smallest id, null ids last, one of repeated rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    long = " ".join(f"word{i}" for i in range(400))
+    odd = [(None, long), (900003, long), (900003, long), (900002, long + " end"), (900007, None), (900006, " \t"), (900006, " \t"), (None, "only a null id")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = stage("near_dedup")(spark, docs, "").collect()
+    groups = near_groups(docs.where("doc_id is not null")).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({r["component_id"] for r in groups})
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["only a null id"]
