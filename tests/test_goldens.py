@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import text as t
 from meshloom.operators import catalog, chunks, geometry, labels, metrics, runs
+from meshloom.plans.views import view
 from meshloom.sources import containers, storage, tiers
 
 VERTEX = "model_id int, mesh_id int, vi int, x double, y double, z double"
@@ -286,3 +287,15 @@ def test_containers_with_lengths_beyond_any_file(spark):
     files = good.unionByName(spark.createDataFrame(rows, "file_id int, content binary"))
     assert [r["file_id"] for r in containers.glb_labels(files).collect()] == [1]
     assert {r["error"] for r in containers.glb_validate(files).collect()} == {None, "chunk exceeds file"}
+
+
+def test_metrics_view_shuffles_lines_once(spark, tmp_path):
+    """Distinct counts pass over nulls, and each line is shuffled once, not once for each count."""
+    lines = [(1, 5, 7, 1, 2.0), (1, 5, None, 2, 3.0), (1, None, 8, 2, 4.0), (1, 6, 8, 3, 1.0), (2, None, 9, None, 1.0), (None, 1, 1, 1, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1,), (2,), (3,), (None,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    found = view(spark, str(tmp_path), "V_METRICS")
+    counts = {r["model_id"]: (r["has_metrics"], r["material_count"], r["vertex_count"], r["face_count"], r["occupied"], r["surface"]) for r in found.collect()}
+    none = (False, None, None, None, None, None)
+    assert counts == {1: (True, 2, 10, 4, 2, 3), 2: (True, 0, 1, 1, 1, 0), 3: none, None: none}
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
