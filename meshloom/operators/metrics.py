@@ -119,17 +119,24 @@ def _long(assets: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     return wide.unpivot([], list(metrics), "metric", "value").where("value is not null")
 
 
+def _counted(assets: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """(metric, value, n): how often each different value occurs, written to the shared folder, so that the assets are made once however often it is read."""
+    path = shared_folder(assets.sparkSession, "values")
+    _long(assets, metrics).groupBy("metric", "value").agg(F.count("*").alias("n")).write.parquet(path)
+    return assets.sparkSession.read.parquet(path)
+
+
 def ranked_values(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_METRICS) -> DataFrame:
     """(metric, value, n, below, upto, count, min, max, mean): each different value, how often it occurs,
     the values before it and up to it, and the metric's totals.
 
-    Equal values are counted first, and all else is made from these counts, so
-    the assets are shuffled once. A metric's different values are cut at their
+    Equal values are counted first, and all else is made from these counts, which
+    are written, so the assets are made once. A metric's different values are cut at their
     approximate quantiles into RANK_BINS slices of about equally many; the counts
     of the slices are summed over a table of bounded size, and values are ranked
     within their slice, so no metric's values meet in one task.
     """
-    counted = _long(assets, metrics).groupBy("metric", "value").agg(F.count("*").alias("n"))
+    counted = _counted(assets, metrics)
     totals = counted.groupBy("metric").agg(
         F.sum("n").alias("count"),
         F.min("value").alias("min"),
@@ -180,7 +187,7 @@ def metric_histogram(assets: DataFrame, metrics: tuple[str, ...] = STATISTIC_MET
     Bins cover the range widened by a tenth at each end and rounded outwards. The
     density is the share of values; a range of no width has none.
     """
-    values = _long(assets, metrics).groupBy("metric", "value").agg(F.count("*").alias("n"))  # one shuffle, which both uses read
+    values = _counted(assets, metrics)
     spread = F.col("top") - F.col("bottom")
     bounds = values.groupBy("metric").agg(F.min("value").alias("bottom"), F.max("value").alias("top"), F.sum("n").alias("count"))
     bounds = bounds.select("metric", "count", F.floor(F.col("bottom") - spread * 0.1).alias("low"), F.ceil(F.col("top") + spread * 0.1).alias("high"))

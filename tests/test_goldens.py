@@ -299,3 +299,11 @@ def test_metrics_view_shuffles_lines_once(spark, tmp_path):
     none = (False, None, None, None, None, None)
     assert counts == {1: (True, 2, 10, 4, 2, 3), 2: (True, 0, 1, 1, 1, 0), 3: none, None: none}
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_are_counted_once(spark):
+    """Ranks and histograms read written counts, so the assets aren't made again for each use of them."""
+    rows = spark.range(40).select(F.lit(2.0).alias("vvd"), (F.col("id") % 4).cast("double").alias("vfc"))
+    for found in (metrics.nearest_rank(rows, {"median": 0.5}, ("vvd", "vfc")), metrics.metric_histogram(rows, ("vvd", "vfc"))):
+        assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["metric"]: r["median"] for r in metrics.nearest_rank(rows, {"median": 0.5}, ("vvd", "vfc")).collect()} == {"vvd": 2.0, "vfc": 2.0}
