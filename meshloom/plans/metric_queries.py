@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshloom.operators import geometry, metrics
 from meshloom.plans.registry import query
 from meshloom.plans.views import view
+from meshloom.sources.shared import shared_folder
 
 REQUIRED, RESOLUTION = ("vvd", "vfc", "vsc"), 64
 RANGES = {"material_count": (2, 5), "vvd": (3.0, 40.0), "vfc": (0.5, 1.5), "vsc": (0.8, 1.0)}
@@ -135,7 +136,9 @@ _COMPUTED = ("material_count", "vvd", "vfc", "vsc")
 @query("stream_metrics", f"select model_id, 64 as voxel_resolution, {', '.join(f'coalesce({m}, 0) as {m}' for m in _COMPUTED)}, vertex_count, face_count, occupied, surface from V_METRICS")
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch twin of the streaming job: all assets are asked for, those with metrics are known."""
-    rows = _assets(spark, sf_dir)
+    path = shared_folder(spark, "assets")
+    _assets(spark, sf_dir).write.parquet(path)  # made once, read for what is known, asked for and computed
+    rows = spark.read.parquet(path)
 
     def compute(due: DataFrame) -> DataFrame:
         fresh = rows.drop("has_metrics").join(due, "model_id").withColumn("voxel_resolution", F.lit(64))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions import text as t
 from meshloom.operators import catalog, chunks, geometry, labels, metrics, runs
+from meshloom.plans import metric_queries
 from meshloom.plans.views import view
 from meshloom.sources import containers, storage, tiers
 
@@ -307,3 +308,9 @@ def test_values_are_counted_once(spark):
     for found in (metrics.nearest_rank(rows, {"median": 0.5}, ("vvd", "vfc")), metrics.metric_histogram(rows, ("vvd", "vfc"))):
         assert "Range (" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["metric"]: r["median"] for r in metrics.nearest_rank(rows, {"median": 0.5}, ("vvd", "vfc")).collect()} == {"vvd": 2.0, "vfc": 2.0}
+
+
+def test_stream_metrics_makes_assets_once(spark, small):
+    """The rows come from written assets, not from the orders and their lines again."""
+    plan = metric_queries.stream_metrics(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
