@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming import StreamingQuery
 
 from meshloom.operators.geometry import complexity_metrics
 from meshloom.operators.metrics import refreshed_metrics
@@ -16,8 +15,6 @@ from meshloom.sources.storage import merge_records
 
 #: Parts of a table, by the hash of a row's key; a batch rewrites those that it touches, so a part should be about a file.
 BUCKETS = 64
-_STORES = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _POINTERS = "version long, bucket int, path string, writer string, batch long"
 
 
@@ -119,72 +116,26 @@ def stall_alarms(events: DataFrame, limit_ms: int = STALL_MS, delay: str = "0 se
     """A stream of alarms ``(run_id, stalled_since, due)``: a run has had no event for more than ``limit_ms``.
 
     An alarm comes once for a stall, as soon as the watermark has passed ``due`` and
-    without another event of the run: a timer of the run's state waits for it. The
-    watermark follows the events of all runs; where those may all fall silent, a
-    ``clock`` with a column ``ts`` drives it. ``delay`` is how late an event may come; a
-    run's state is its last event and those that are within the delay. Events without a
-    time or a run raise no alarm.
+    without another event of the run: it is the end of a session whose gap is the limit.
+    The watermark follows the events of all runs; where those may all fall silent, a
+    ``clock`` with a column ``ts`` drives it. ``delay`` is how late an event may come, and
+    a later one counts as long as its own stall would not be told; a run's state is its
+    open sessions. Events without a time or a run raise no alarm.
     """
-
-    class Alarm(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.last = handle.getValueState("last", "ms long, told boolean")
-            self.waiting = handle.getListState("waiting", "ms long")
-
-        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-            times = [r["ms"] for r in rows if r["run_id"] is not None]
-            if times:
-                self.waiting.appendList([(t,) for t in times])
-                self.handle.registerTimer(min(times))
-            return iter(())
-
-        def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-            now = timerValues.getCurrentWatermarkInMs()
-            times = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
-            last, told = self.last.get() if self.last.exists() else (None, True)
-            before = last, told
-            for t in [x for x in times if x <= now]:
-                if not told and t - last > limit_ms:
-                    yield Row(run_id=key[0], since=last, due=last + limit_ms)
-                last, told = t, False
-            if not told and now - last > limit_ms:
-                yield Row(run_id=key[0], since=last, due=last + limit_ms)
-                told = True
-            later = [x for x in times if x > now]
-            if len(later) < len(times):
-                if later:
-                    self.waiting.put([(t,) for t in later])
-                else:
-                    self.waiting.clear()
-            if (last, told) != before:
-                self.last.update((last, told))
-            if later:
-                self.handle.registerTimer(later[0])
-            if not told:
-                self.handle.registerTimer(last + limit_ms + 1)
-
-        def close(self) -> None:
-            pass
-
-    kind = events.schema["run_id"].dataType
-    rows = events.select("run_id", F.col("ts").cast("timestamp").alias("ts"))
+    kind, ms = events.schema["run_id"].dataType, F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts")
+    rows = events.select("run_id", ms)
     if clock is not None:
-        rows = rows.unionByName(clock.select(F.lit(None).cast(kind).alias("run_id"), F.col("ts").cast("timestamp").alias("ts")))
-    timed = rows.withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")).where("ms is not null")
-    found = timed.groupBy("run_id").transformWithState(Alarm(), f"run_id {kind.simpleString()}, since long, due long", "append", "EventTime")
-    return found.select("run_id", *(F.timestamp_millis(c).alias(n) for c, n in (("since", "stalled_since"), ("due", "due"))))
+        rows = rows.unionByName(clock.select(F.lit(None).cast(kind).alias("run_id"), ms))
+    # sessions that touch are one, but end at their gap: the millisecond makes the limit itself no stall
+    stretches = rows.withWatermark("ts", f"{delay} 1 millisecond").groupBy("run_id", F.session_window("ts", f"{limit_ms} milliseconds"))
+    # rows without a run are left out by their count: a filter by run_id would be moved before the watermark, which they drive
+    found = stretches.agg(F.max("ts").alias("stalled_since"), F.count("run_id").alias("n")).where("n > 0")
+    return found.select("run_id", "stalled_since", F.timestamp_millis(F.unix_millis("stalled_since") + limit_ms).alias("due"))
 
 
 def start_alarms(alarms: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends alarms to Parquet files, as far as the source goes; timers need the state store that is set here."""
-    spark = alarms.sparkSession
-    before = spark.conf.get(_STORES)
-    spark.conf.set(_STORES, _ROCKS)
-    try:
-        return alarms.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
-    finally:
-        spark.conf.set(_STORES, before)
+    """Appends alarms to Parquet files, as far as the source goes."""
+    return alarms.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out)
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame | None:

@@ -157,3 +157,22 @@ def test_alarms_against_gaps(spark, parts, tmp_path):
     got = spark.read.parquet(out).select("run_id", F.unix_millis("stalled_since").alias("ms"), (F.unix_millis("due") - 600_000).alias("after"))
     want = want.select("run_id", "ms", F.col("ms").alias("after"))
     assert got.count() > 500 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_alarms_keep_no_rows_in_python(spark, parts):
+    """Events are merged to sessions by Spark; a state in Python took each row on its own."""
+    _, stream, _ = parts("V_RUN_EVENT", "ts")
+    plan = jobs.stall_alarms(stream(), delay="30 minutes")._jdf.queryExecution().analyzed().toString()
+    assert "session_window" in plan and "TransformWithState" not in plan
+
+
+def test_alarms_at_the_limit(spark, tmp_path):
+    """Stalls are told by whole milliseconds; an event of the limit's last one ends none, and a clock's rows are of no run."""
+    at, kind = lambda ms: dt.datetime(2024, 1, 1, 10) + dt.timedelta(milliseconds=ms), "run_id long, ts timestamp"
+    rows = [(1, at(0.9)), (1, at(600_000.1)), (2, at(0)), (2, at(600_001)), (None, at(5)), (3, None)]
+    for name, found in (("events", rows), ("ticks", [(None, at(1_200_001))])):
+        spark.createDataFrame(found, kind).coalesce(1).write.parquet(str(tmp_path / name))
+    events, ticks = (spark.readStream.schema(kind).parquet(str(tmp_path / n)) for n in ("events", "ticks"))
+    jobs.start_alarms(jobs.stall_alarms(events, clock=ticks), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, at(600_000), at(1_200_000)), (2, at(0), at(600_000))]
