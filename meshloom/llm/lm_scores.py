@@ -49,6 +49,8 @@ CACHE_WORDS = 200_000
 #: Words that a counting task holds before it hands them on.
 COUNT_WORDS = 400_000
 SCORED = 1 << 15
+#: Rows whose logits are worked on in training while they are in the processor's cache.
+NEAR_ROWS = 1024
 _TOKEN = re.compile(r"\w+|[^\w\s]+").findall
 STEPS = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
 
@@ -57,6 +59,11 @@ def tokens_of(text: str) -> list[str]:
     return _TOKEN(text.lower())
 
 
+def tokens_in(stretch: str) -> list[str]:
+    """The tokens of a lower-case stretch between white space; no token of a text crosses one."""
+    return [stretch] if stretch.isalnum() else _TOKEN(stretch)
+
+
 def rare_id(token: str) -> int:
     """One of the numbers 1 to RARE - 1 for a word outside the vocabulary."""
     return 1 + zlib.crc32(token[-3:].encode()) % (RARE - 1)
@@ -173,6 +180,14 @@ def class_logits(net: WindowNetwork, hidden: np.ndarray, edges: np.ndarray, low:
     return low
 
 
+def to_shares(logits: np.ndarray, bound: float, n: int) -> None:
+    """Turns each row of logits into probabilities, divided by ``n``."""
+    if bound >= 80:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (1 / (n * (logits @ np.ones(logits.shape[1], np.float32))))[:, None]
+
+
 def log_likelihoods(net: WindowNetwork, flat: np.ndarray, at: np.ndarray, placed: list[np.ndarray] | None = None) -> np.ndarray:
     """The log-probability of the tokens at some places from the tokens around them."""
     placed, out = placed or net.placed(), np.empty(len(at))
@@ -211,45 +226,51 @@ class Trainer:
 
     def step(self, flat: np.ndarray, at: np.ndarray) -> None:
         """One step on the tokens at some places."""
-        net, n, row, ones = self.net, len(at), np.arange(len(at)), np.ones(max(len(at), CLASSES), np.float32)
+        net, n, ones = self.net, len(at), np.ones(max(len(at), CLASSES), np.float32)
         order, kind, word, edges = by_class(flat, at)
-        at = at[order]
-        used = np.concatenate([flat[at + step] for step in STEPS.tolist()]).astype(np.uint16)
+        at, one = at[order], np.float32(1 / n)
+        used = np.concatenate([flat[at + step] for step in STEPS.tolist()]).astype(np.int64)
         near = np.take(net.embed, used, axis=0, out=self._room("near", len(used), WIDTH), mode="clip").reshape(2 * WINDOW, n, WIDTH)
         hidden = np.einsum("pnw,pw->nw", near, net.place, out=self._room("hidden", n, WIDTH))
         hidden += net.bias
         np.tanh(hidden, out=hidden)
-        top = np.matmul(hidden, net.classes, out=self._room("top", n, CLASSES))
-        top += net.class_bias
-        low = class_logits(net, hidden, edges, self._room("low", n, CLASSES))
         # gradients of the mean loss by the logits: what is predicted, less what is there
-        for logits, pick, bound in ((top, kind, bound_of(net.classes, net.class_bias)), (low, word, bound_of(net.words, net.word_bias))):
-            logits[:] = steady(logits, bound)
-            np.exp(logits, out=logits)
-            logits *= (1 / (n * (logits @ ones[:CLASSES])))[:, None]
-            logits[row, pick] -= np.float32(1 / n)
-        back = np.matmul(top, net.classes.T, out=self._room("back", n, WIDTH))
-        kinds = np.flatnonzero(np.diff(edges))
+        bound, top, back = bound_of(net.classes, net.class_bias), self._room("top", n, CLASSES), self._room("back", n, WIDTH)
+        for a in range(0, n, NEAR_ROWS):
+            part = slice(a, a + NEAR_ROWS)
+            logits = np.matmul(hidden[part], net.classes, out=top[part])
+            logits += net.class_bias
+            to_shares(logits, bound, n)
+            logits[np.arange(len(logits)), kind[part]] -= one
+            np.matmul(logits, net.classes.T, out=back[part])
+        of_top = hidden.T @ top
+        kinds, bound = np.flatnonzero(np.diff(edges)), bound_of(net.words, net.word_bias)
         of_words, of_bias = self._room("of_words", len(kinds), WIDTH, CLASSES), self._room("of_bias", len(kinds), CLASSES)
+        low, row = self._room("low", n, CLASSES), np.arange(n)
         for i, c in enumerate(kinds.tolist()):
             a, b = edges[c], edges[c + 1]
-            np.matmul(hidden[a:b].T, low[a:b], out=of_words[i])
-            np.matmul(ones[: b - a], low[a:b], out=of_bias[i])
-            back[a:b] += low[a:b] @ net.words[c].T
-        of_top = hidden.T @ top
+            logits = np.matmul(hidden[a:b], net.words[c], out=low[a:b])
+            logits += net.word_bias[c]
+            to_shares(logits, bound, n)
+            logits[row[: b - a], word[a:b]] -= one
+            np.matmul(hidden[a:b].T, logits, out=of_words[i])
+            np.matmul(ones[: b - a], logits, out=of_bias[i])
+            back[a:b] += logits @ net.words[c].T
         hidden *= hidden
         np.subtract(1, hidden, out=hidden)
         back *= hidden
-        by = np.argsort(used, kind="stable")
-        first = np.flatnonzero(np.diff(used[by].astype(np.int32), prepend=-1))
-        spread = np.multiply(back.T[:, None, :], net.place.T[:, :, None], out=self._room("spread", WIDTH, 2 * WINDOW, n)).reshape(WIDTH, -1)
-        sorted_spread = np.take(spread, by, axis=1, out=self._room("sorted", WIDTH, len(by)), mode="clip")
-        of_embed = np.ascontiguousarray(np.add.reduceat(sorted_spread, first, axis=1).T)
+        # what each token's embedding gets from all its places, one number of the embedding after another
+        met = np.flatnonzero(np.bincount(used, minlength=SIZE))
+        sides, place, of_embed = back.T.astype(np.float64), net.place.astype(np.float64), np.empty((len(met), WIDTH), np.float32)
+        spread = self._room("spread", 2 * WINDOW, n, 2).view(np.float64)[..., 0]
+        for w in range(WIDTH):
+            np.multiply(place[:, w, None], sides[w], out=spread)
+            of_embed[:, w] = np.bincount(used, weights=spread.ravel(), minlength=SIZE)[met]
         every = slice(None)
         touched = every if len(kinds) == CLASSES else kinds
         grads = [
-            (used[by][first].astype(np.int64), of_embed),
-            (every, np.einsum("pnw,nw->pw", near, back)),
+            (met, of_embed),
+            (every, np.stack([ones[:n] @ np.multiply(p, back, out=p) for p in near])),
             (every, ones[:n] @ back),
             (every, of_top),
             (every, ones[:n] @ top),
@@ -278,20 +299,30 @@ def train_on(texts: list[np.ndarray], trainer: Trainer, seed: int) -> int:
     return len(at)
 
 
+def counted(stretches: Counter[str]) -> pa.RecordBatch:
+    """(token, n) of lower-case stretches between white space; each is cut into tokens once."""
+    counts: dict[str, int] = {}
+    for stretch, n in stretches.items():
+        for token in tokens_in(stretch):
+            counts[token] = counts.get(token, 0) + n
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(token, n) over all texts; tasks hand on what they have counted whenever it is much."""
 
     ship(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        stretches: Counter[str] = Counter()  # most come again
         for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 for piece in pieces(text or ""):
-                    counts.update(tokens_of(piece))
-            if len(counts) > COUNT_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-                counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+                    stretches.update(piece.lower().split())
+            if len(stretches) > COUNT_WORDS:
+                yield counted(stretches)
+                stretches.clear()
+        yield counted(stretches)
 
     return docs.select(text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 

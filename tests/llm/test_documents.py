@@ -456,6 +456,17 @@ def test_op6_vocabulary_counts_all(spark):
     assert counts["word"] == 30_000 and counts["cat"] == 6
 
 
+def test_op6_cuts_a_stretch_once(spark, monkeypatch):
+    """Counts are those of the texts' tokens, though a stretch between white space that comes again isn't cut again."""
+    texts = ["Don't  stop,\u3000ΣΑΣ! e\u0301t_1\x1c(x)\x85y", "  ", "don't stop, stop, STOP,"]
+    counts = {r["token"]: r["n"] for r in lm_scores.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert counts == Counter(w for t in texts for w in lm_scores.tokens_of(t))
+    cut, seen = lm_scores.tokens_in, []
+    monkeypatch.setattr(lm_scores, "tokens_in", lambda s: (seen.append(s), cut(s))[1])
+    assert lm_scores.counted(Counter("one, two one, two one,".split())).to_pydict() == {"token": ["one", ",", "two"], "n": [3, 3, 2]}
+    assert seen == ["one,", "two"]
+
+
 def test_op6_shares_of_rare_words(spark, monkeypatch):
     """A rare word's shares are those of its counts, and shares of a kind sum to one."""
     monkeypatch.setattr(lm_scores, "SIZE", lm_scores.SIZE)
