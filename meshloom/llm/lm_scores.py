@@ -7,8 +7,9 @@ outside the vocabulary is predicted as one of a few kinds of rare words, and its
 probability is that of the kind times the word's share in it. The sum of the
 log-probabilities of all tokens is the document's score.
 
-Words are counted over the whole corpus, and texts are then encoded once. The
-network is trained on every token: documents are dealt by hash to shards of
+Texts are read once: stretches between white space are numbered within blocks of
+texts, and their tokens are counted over the whole corpus. With the vocabulary, a
+block's stretches are cut and encoded once each, and its texts follow. The network is trained on every token: documents are dealt by hash to shards of
 about ``SHARD_TOKENS`` and to ``ROUNDS`` rounds. In each round every shard goes
 on from the mean of the last one, and Spark sums the shards' numbers, weighted by
 their tokens, in the order of the shards. So the result doesn't depend on how the
@@ -20,9 +21,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces, shared_dir, ship, small
+from .common import checkpointed, pieces, ragged, shared_dir, ship, small, sum_runs
 
 #: Classes, and tokens in a class. Token 0 stands outside a text, tokens below RARE for kinds of words outside the vocabulary.
 CLASSES = 64
@@ -40,6 +42,8 @@ RARE = 256
 CELLS = 1 << 14
 WIDTH, WINDOW = 24, 3
 BATCH, RATE, SEED = 8192, 0.25, 11
+#: Tokens beside each other that are trained on in one step: their neighbours are looked up once.
+RUN = 16
 #: Tokens that one network is trained on, about, and the rounds of averaging that they are dealt to.
 SHARD_TOKENS, ROUNDS = 2 << 20, 3
 #: Parts that a network's numbers are summed in, and networks that are summed at once.
@@ -48,9 +52,14 @@ SLICES, FAN = 16, 64
 CACHE_WORDS = 200_000
 #: Words that a counting task holds before it hands them on.
 COUNT_WORDS = 400_000
-SCORED = 1 << 15
-#: Rows whose logits are worked on in training while they are in the processor's cache.
-NEAR_ROWS = 1024
+#: Different stretches of a block of texts; the text that exceeds them is its last.
+BLOCK_WORDS = 60_000
+#: Counts in a row, and the bytes of a block table's row groups, which are read at once.
+COUNT_ROW, GROUP_BYTES = 10_000, 16 << 20
+#: Tokens that are scored at once.
+SCORED = 1 << 13
+#: Rows whose logits are worked on while they are in the processor's cache.
+NEAR_ROWS = 2048
 _TOKEN = re.compile(r"\w+|[^\w\s]+").findall
 STEPS = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
 
@@ -106,6 +115,17 @@ class Vocabulary:
         rare = ids < RARE
         return ids.astype(np.uint16), float(self.shares[ids[rare] * CELLS + cell[rare]].sum(dtype=np.float64))
 
+    def encoded_block(self, words: list[str], numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encoded`` for texts of ``sizes`` stretches each, given by their numbers in ``words``: all ids, how many a text has, and the sums."""
+        cut = [tokens_in(w) for w in words]
+        size = np.fromiter(map(len, cut), np.int64, len(cut))
+        code = self.codes(list(chain.from_iterable(cut)))
+        ids, cell = code % SIZE, code // SIZE
+        share = np.where(ids < RARE, self.shares[np.where(ids < RARE, ids * CELLS + cell, 0)], 0).astype(np.float64)
+        share, start = sum_runs(share, size), np.cumsum(size) - size
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=share[numbers], minlength=len(sizes))
+        return ragged(ids.astype(np.uint16), start[numbers], size[numbers]), sum_runs(size[numbers], sizes), sums
+
 
 @dataclass
 class WindowNetwork:
@@ -139,19 +159,14 @@ class WindowNetwork:
     def flat(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()])
 
-    def placed(self) -> list[np.ndarray]:
-        """For each step from a token, what every token there adds to the hidden vector."""
-        return [self.embed * p for p in self.place]
-
-
-def steady(logits: np.ndarray, bound: float) -> np.ndarray:
-    """Logits whose exponentials are finite; only if ``bound`` allows larger ones is a row's maximum taken off."""
-    return logits if bound < 80 else logits - logits.max(1, keepdims=True)
+    def stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with their biases as a last row: WIDTH + 1 x CLASSES, and as much for each class."""
+        return np.concatenate([self.classes, self.class_bias[None]]), np.concatenate([self.words, self.word_bias[:, None]], axis=1)
 
 
-def bound_of(weights: np.ndarray, bias: np.ndarray) -> float:
-    """The largest logit that a hidden vector, whose numbers lie between -1 and 1, can lead to."""
-    return float((np.abs(weights).sum(-2) + np.abs(bias)).max())
+def bound_of(weights: np.ndarray) -> float:
+    """The largest logit that stacked weights and a hidden vector, whose numbers lie between -1 and 1, can lead to."""
+    return float(np.abs(weights).sum(-2).max())
 
 
 def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,42 +186,98 @@ def by_class(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, kind[order].astype(np.int64), flat[at][order] % CLASSES, np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES))]
 
 
-def class_logits(net: WindowNetwork, hidden: np.ndarray, edges: np.ndarray, low: np.ndarray) -> np.ndarray:
+class Room:
+    """Large arrays that are made once, by name; a shape is a part of what is there."""
+
+    def __init__(self) -> None:
+        self._space: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self._space or len(self._space[name]) < size:
+            self._space[name] = np.empty(size, np.float32)
+        return self._space[name][:size].reshape(shape)
+
+
+def stretches_around(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places within WINDOW of some different places, as stretches one after another, and where each of ``at`` lies in them."""
+    order = np.argsort(at)
+    own = at[order]
+    first = np.flatnonzero(np.diff(own, prepend=own[0] - 3 * WINDOW) > 2 * WINDOW)
+    start, end = own[first] - WINDOW, own[np.r_[first[1:], len(own)] - 1] + WINDOW + 1
+    before = np.cumsum(end - start) - (end - start)  # what lies in front of each stretch
+    around = np.arange((end - start).sum()) + np.repeat(start - before, end - start)
+    inside = np.empty(len(at), np.int64)
+    inside[order] = own + np.repeat(before - start, np.diff(np.r_[first, len(own)]))
+    return around, inside
+
+
+def hidden_vectors(net: WindowNetwork, tokens: np.ndarray, inside: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden vectors, with a one behind each, at places of a row of tokens; and all tokens' embeddings, one number after another.
+
+    What neighbours add is summed along the whole row, so a token is looked up once for all places near it.
+    """
+    m, n = len(tokens), len(inside)
+    near = room("near", WIDTH, m)
+    near[:] = np.take(net.embed, tokens, axis=0, out=room("rows", m, WIDTH), mode="clip").T
+    total, part = room("total", WIDTH, m), room("part", WIDTH, m - 2 * WINDOW)
+    mid = total[:, WINDOW : m - WINDOW]
+    mid[:] = net.bias[:, None]
+    for step, place in zip(STEPS.tolist(), net.place, strict=True):
+        mid += np.multiply(near[:, WINDOW + step : m - WINDOW + step], place[:, None], out=part)
+    rows = room("rows", m, WIDTH)
+    rows[:] = total.T
+    hidden = room("hidden", n, WIDTH + 1)
+    hidden[:, WIDTH] = 1
+    found = np.take(rows, inside, axis=0, out=room("found", n, WIDTH), mode="clip")
+    np.tanh(found, out=hidden[:, :WIDTH])
+    return hidden, near
+
+
+def class_logits(words: np.ndarray, hidden: np.ndarray, edges: list[int], low: np.ndarray) -> np.ndarray:
     """Each row's logits of the words of its class, written to ``low``; rows are sorted by class."""
-    for c, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+    for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if a < b:
-            np.matmul(hidden[a:b], net.words[c], out=low[a:b])
-            low[a:b] += net.word_bias[c]
+            np.matmul(hidden[a:b], words[c], out=low[a:b])
     return low
 
 
+def parts_of(n: int) -> list[slice]:
+    """Runs of NEAR_ROWS rows."""
+    return [slice(a, min(n, a + NEAR_ROWS)) for a in range(0, n, NEAR_ROWS)]
+
+
 def to_shares(logits: np.ndarray, bound: float, n: int) -> None:
     """Turns each row of logits into probabilities, divided by ``n``."""
-    if bound >= 80:
+    if bound >= 80:  # only then may an exponential be infinite
         logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
     logits *= (1 / (n * (logits @ np.ones(logits.shape[1], np.float32))))[:, None]
 
 
-def log_likelihoods(net: WindowNetwork, flat: np.ndarray, at: np.ndarray, placed: list[np.ndarray] | None = None) -> np.ndarray:
-    """The log-probability of the tokens at some places from the tokens around them."""
-    placed, out = placed or net.placed(), np.empty(len(at))
-    bounds, ones = (bound_of(net.classes, net.class_bias), bound_of(net.words, net.word_bias)), np.ones(CLASSES, np.float32)
+def log_share(logits: np.ndarray, bound: float, pick: np.ndarray) -> np.ndarray:
+    """The logarithm of the probability of one cell in each row of logits, which are overwritten."""
+    if bound >= 80:
+        logits -= logits.max(1, keepdims=True)
+    found = logits[np.arange(len(logits)), pick]
+    return found - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+
+
+def log_likelihoods(net: WindowNetwork, flat: np.ndarray, at: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """The log-probability of the tokens at some different places from the tokens around them."""
+    room, out, (classes, words) = room or Room(), np.empty(len(at)), net.stacked()
+    bounds = bound_of(classes), bound_of(words)
     for a in range(0, len(at), SCORED):
         own = at[a : a + SCORED]
         order, kind, word, edges = by_class(flat, own)
-        own, row = own[order], np.arange(len(own))
-        hidden = np.repeat(net.bias[None], len(own), axis=0)
-        for step, table in zip(STEPS.tolist(), placed, strict=True):
-            hidden += np.take(table, flat[own + step], axis=0)
-        np.tanh(hidden, out=hidden)
-        found = np.zeros(len(own))
-        top = hidden @ net.classes
-        top += net.class_bias
-        for logits, pick, bound in ((top, kind, bounds[0]), (class_logits(net, hidden, edges, np.empty_like(top)), word, bounds[1])):
-            logits = steady(logits, bound)
-            found += logits[row, pick]
-            found -= np.log(np.exp(logits, out=logits) @ ones)
+        around, inside = stretches_around(own)
+        hidden, _ = hidden_vectors(net, flat[around], inside[order], room)
+        found = np.empty(len(own), np.float64)
+        top, low = room("top", min(NEAR_ROWS, len(own)), CLASSES), class_logits(words, hidden, edges.tolist(), room("low", len(own), CLASSES))
+        for p in parts_of(len(own)):
+            logits = np.matmul(hidden[p], classes, out=top[: p.stop - p.start])
+            found[p] = log_share(logits, bounds[0], kind[p])
+            found[p] += log_share(low[p], bounds[1], word[p])
         out[a + order] = found
     return out
 
@@ -216,71 +287,66 @@ class Trainer:
 
     def __init__(self, net: WindowNetwork, seen: list[np.ndarray] | None = None):
         self.net, self.seen = net, seen or [np.full(a.shape, 1e-3, np.float32) for a in net.arrays()]
-        self._space: dict[str, np.ndarray] = {}
-
-    def _room(self, name: str, *shape: int) -> np.ndarray:
-        size = int(np.prod(shape))
-        if name not in self._space or len(self._space[name]) < size:
-            self._space[name] = np.empty(size, np.float32)
-        return self._space[name][:size].reshape(shape)
+        self._room = Room()
 
     def step(self, flat: np.ndarray, at: np.ndarray) -> None:
-        """One step on the tokens at some places."""
-        net, n, ones = self.net, len(at), np.ones(max(len(at), CLASSES), np.float32)
+        """One step on the tokens at some different places; those that lie beside each other share their neighbours."""
+        net, room, n, one = self.net, self._room, len(at), np.float32(1 / len(at))
         order, kind, word, edges = by_class(flat, at)
-        at, one = at[order], np.float32(1 / n)
-        used = np.concatenate([flat[at + step] for step in STEPS.tolist()]).astype(np.int64)
-        near = np.take(net.embed, used, axis=0, out=self._room("near", len(used), WIDTH), mode="clip").reshape(2 * WINDOW, n, WIDTH)
-        hidden = np.einsum("pnw,pw->nw", near, net.place, out=self._room("hidden", n, WIDTH))
-        hidden += net.bias
-        np.tanh(hidden, out=hidden)
+        edges = edges.tolist()
+        around, inside = stretches_around(at)
+        used, inside, m = flat[around], inside[order], len(around)
+        hidden, near = hidden_vectors(net, used, inside, room)
+        classes, words = net.stacked()
         # gradients of the mean loss by the logits: what is predicted, less what is there
-        bound, top, back = bound_of(net.classes, net.class_bias), self._room("top", n, CLASSES), self._room("back", n, WIDTH)
-        for a in range(0, n, NEAR_ROWS):
-            part = slice(a, a + NEAR_ROWS)
-            logits = np.matmul(hidden[part], net.classes, out=top[part])
-            logits += net.class_bias
+        bound, top, back = bound_of(classes), room("top", n, CLASSES), room("back", n, WIDTH)
+        up, of_top = classes[:WIDTH].T, np.zeros_like(classes)
+        for p in parts_of(n):
+            logits = np.matmul(hidden[p], classes, out=top[p])
             to_shares(logits, bound, n)
-            logits[np.arange(len(logits)), kind[part]] -= one
-            np.matmul(logits, net.classes.T, out=back[part])
-        of_top = hidden.T @ top
-        kinds, bound = np.flatnonzero(np.diff(edges)), bound_of(net.words, net.word_bias)
-        of_words, of_bias = self._room("of_words", len(kinds), WIDTH, CLASSES), self._room("of_bias", len(kinds), CLASSES)
-        low, row = self._room("low", n, CLASSES), np.arange(n)
+            logits[np.arange(len(logits)), kind[p]] -= one
+            np.matmul(logits, up, out=back[p])
+            of_top += hidden[p].T @ logits
+        bound, low = bound_of(words), class_logits(words, hidden, edges, room("low", n, CLASSES))
+        for p in parts_of(n):
+            to_shares(low[p], bound, n)
+        low[np.arange(n), word] -= one
+        kinds = np.flatnonzero(np.diff(edges))
+        of_words = room("of_words", len(kinds), WIDTH + 1, CLASSES)
         for i, c in enumerate(kinds.tolist()):
-            a, b = edges[c], edges[c + 1]
-            logits = np.matmul(hidden[a:b], net.words[c], out=low[a:b])
-            logits += net.word_bias[c]
-            to_shares(logits, bound, n)
-            logits[row[: b - a], word[a:b]] -= one
-            np.matmul(hidden[a:b].T, logits, out=of_words[i])
-            np.matmul(ones[: b - a], logits, out=of_bias[i])
-            back[a:b] += logits @ net.words[c].T
-        hidden *= hidden
-        np.subtract(1, hidden, out=hidden)
-        back *= hidden
-        # what each token's embedding gets from all its places, one number of the embedding after another
+            own = slice(edges[c], edges[c + 1])
+            np.matmul(hidden[own].T, low[own], out=of_words[i])
+            back[own] += low[own] @ net.words[c].T
+        slope = hidden[:, :WIDTH]
+        back *= np.subtract(1, np.multiply(slope, slope, out=slope), out=slope)
+        # what places along the row get from the targets near them, and then what each token gets from all its places
+        rows, sides, total, part = room("rows", m, WIDTH), room("sides", WIDTH, m), room("total", WIDTH, m), room("part", WIDTH, m - 2 * WINDOW)
+        rows[:] = 0
+        rows[inside] = back
+        sides[:] = rows.T
+        total[:] = 0
+        mid, of_place = sides[:, WINDOW : m - WINDOW], np.empty_like(net.place)
+        for k, step in enumerate(STEPS.tolist()):
+            beside = slice(WINDOW + step, m - WINDOW + step)
+            of_place[k] = np.einsum("wm,wm->w", near[:, beside], mid)
+            total[:, beside] += np.multiply(mid, net.place[k][:, None], out=part)
         met = np.flatnonzero(np.bincount(used, minlength=SIZE))
-        sides, place, of_embed = back.T.astype(np.float64), net.place.astype(np.float64), np.empty((len(met), WIDTH), np.float32)
-        spread = self._room("spread", 2 * WINDOW, n, 2).view(np.float64)[..., 0]
-        for w in range(WIDTH):
-            np.multiply(place[:, w, None], sides[w], out=spread)
-            of_embed[:, w] = np.bincount(used, weights=spread.ravel(), minlength=SIZE)[met]
+        of_embed = np.stack([np.bincount(used, weights=t, minlength=SIZE)[met] for t in total], axis=1).astype(np.float32)
         every = slice(None)
         touched = every if len(kinds) == CLASSES else kinds
         grads = [
             (met, of_embed),
-            (every, np.stack([ones[:n] @ np.multiply(p, back, out=p) for p in near])),
-            (every, ones[:n] @ back),
-            (every, of_top),
-            (every, ones[:n] @ top),
-            (touched, of_words),
-            (touched, of_bias),
+            (every, of_place),
+            (every, np.ones(n, np.float32) @ back),
+            (every, of_top[:WIDTH]),
+            (every, of_top[WIDTH]),
+            (touched, of_words[:, :WIDTH]),
+            (touched, of_words[:, WIDTH]),
         ]
         # only what the batch touches has a gradient
         for k, (a, s, (rows, g)) in enumerate(zip(net.arrays(), self.seen, grads, strict=True)):
             g *= np.float32(np.sqrt(n))
-            total = np.multiply(g, g, out=self._room(f"total{k}", *g.shape))
+            total = np.multiply(g, g, out=room(f"total{k}", *g.shape))
             total += s[rows]
             s[rows] = total
             np.sqrt(total, out=total)
@@ -290,9 +356,11 @@ class Trainer:
 
 
 def train_on(texts: list[np.ndarray], trainer: Trainer, seed: int) -> int:
-    """Trains once on every token of the texts, in an order by ``seed``; the number of tokens."""
+    """Trains once on every token of the texts, in runs of RUN whose order is by ``seed``; the number of tokens."""
     flat, at = laid_out(texts)
-    at = np.random.default_rng((SEED, seed)).permutation(at)
+    runs = np.random.default_rng((SEED, seed)).permutation(-(-len(at) // RUN))
+    own = (runs[:, None] * RUN + np.arange(RUN)).ravel()
+    at = at[own[own < len(at)]]
     batch = min(BATCH, max(512, len(at) // 64))  # a small corpus is seen in small steps
     for a in range(0, len(at), batch):
         trainer.step(flat, at[a : a + batch])
@@ -308,30 +376,89 @@ def counted(stretches: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, n) over all texts; tasks hand on what they have counted whenever it is much."""
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Blocks of texts (id, mix, size, at, words), and rows of (token, n) between them, the counts of a task's tokens.
 
+    ``words`` are the block's different stretches with blanks between them, ``at`` the numbers of all
+    texts' stretches in it (of 16 bits, or of 32 if there are so many), ``size`` how many each text has.
+    Tasks hand on what they have counted whenever it is much.
+    """
     ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType
+    schema = f"id array<{kind.simpleString()}>, mix array<long>, size array<int>, at binary, words string, token array<string>, n array<long>"
+    names = ["id", "mix", "size", "at", "words", "token", "n"]
+
+    def one(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches: Counter[str] = Counter()  # most come again
+        total: Counter[str] = Counter()  # most stretches come again
+        kinds: list[pa.DataType] = []
+
+        def counts() -> Iterator[pa.RecordBatch]:
+            found = counted(total)
+            for at in range(0, found.num_rows, COUNT_ROW):
+                part = found.slice(at, COUNT_ROW)
+                none = [pa.nulls(1, pa.list_(t)) for t in (*kinds, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*none, pa.nulls(1, pa.binary()), pa.nulls(1, pa.string()), one(part.column(0)), one(part.column(1))], names)
+            total.clear()
+
         for batch in small(batches):
-            for text in batch.column(0).to_pylist():
-                for piece in pieces(text or ""):
-                    stretches.update(piece.lower().split())
-            if len(stretches) > COUNT_WORDS:
-                yield counted(stretches)
-                stretches.clear()
-        yield counted(stretches)
+            kinds[:] = [batch.schema.types[0], batch.schema.types[2]]
+            texts, a = batch.column(1).to_pylist(), 0
+            while a < len(texts):
+                number, found, sizes = defaultdict(count().__next__), [], []
+                while a + len(sizes) < len(texts) and len(number) < BLOCK_WORDS:
+                    sizes.append(0)
+                    for piece in pieces(texts[a + len(sizes) - 1] or ""):
+                        stretches = piece.lower().split()
+                        found.append(np.fromiter(map(number.__getitem__, stretches), np.uint32, len(stretches)))
+                        sizes[-1] += len(stretches)
+                at = np.concatenate([np.zeros(0, np.uint32), *found])
+                for word, n in zip(number, np.bincount(at, minlength=len(number)).tolist(), strict=True):
+                    total[word] += n
+                k, width = len(sizes), "<u2" if len(number) <= 1 << 16 else "<u4"
+                rows = [one(batch.column(0).slice(a, k)), one(batch.column(2).slice(a, k)), one(pa.array(sizes, pa.int32()))]
+                rows += [pa.array([at.astype(width).tobytes()], pa.binary()), pa.array([" ".join(number)])]
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64()))], names)
+                a += k
+                if len(total) > COUNT_WORDS:
+                    yield from counts()
+        if total:
+            yield from counts()
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mix"))
+    return rows.mapInArrow(run, schema)
+
+
+def written(df: DataFrame, **options: int) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    folder = f"{shared_dir(df.sparkSession)}/lm-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def token_sums(blocks: DataFrame) -> DataFrame:
+    """(token, n) over all texts of ``numbered``."""
+    counts = blocks.where("n is not null").select(F.explode(F.arrays_zip("token", "n")).alias("c"))
+    return counts.groupBy("c.token").agg(F.sum("c.n").alias("n"))
+
 
-    return docs.select(text_col).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, n) over all texts."""
+    return token_sums(numbered(docs.select(F.lit(None).cast("int").alias("none"), text_col), "none", text_col))
 
 
 def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, int]:
-    """The vocabulary of all texts and the number of tokens; the driver gets SIZE words and at most RARE x CELLS counts."""
-    counts = checkpointed(word_counts(docs, text_col))
+    """The vocabulary of all texts and the number of tokens."""
+    return vocabulary_of(word_counts(docs, text_col))
+
+
+def vocabulary_of(sums: DataFrame) -> tuple[Vocabulary, int]:
+    """The vocabulary and the number of tokens by their counts; the driver gets SIZE words and at most RARE x CELLS counts."""
+    counts = checkpointed(sums)
     words = [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(SIZE - RARE).collect()]
-    held = docs.sparkSession.sparkContext.broadcast(Vocabulary(words))
+    held = sums.sparkSession.sparkContext.broadcast(Vocabulary(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,35 +476,38 @@ def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabular
     return Vocabulary(words, shares), int(n.sum())
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, rare, mix, round, shard) of every text, written to the shared folder: 16 bits a token."""
-    ship(docs.sparkSession)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(vocabulary)  # of fixed size
-    kind = docs.schema[id_col].dataType.simpleString()
+def encode(blocks: DataFrame, vocabulary: Vocabulary, tokens: int) -> DataFrame:
+    """(id, ids, rare, mix, round, shard) of every text of ``numbered``, written to the shared folder: 16 bits a token."""
+    held = blocks.sparkSession.sparkContext.broadcast(vocabulary)  # of fixed size
+    kind = blocks.schema["id"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            found = [held.value.encoded(t) for t in batch.column(1).to_pylist()]
-            ids, rare = pa.array([i.astype("<u2").tobytes() for i, _ in found], pa.binary()), pa.array([r for _, r in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, rare, batch.column(2)], ["id", "ids", "rare", "mix"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mix"))
-    rows = rows.mapInArrow(run, f"id {kind}, ids binary, rare double, mix long")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = [column[i] for column in batch.columns]
+                words, sizes = block[4].as_py().split(), block[2].values.to_numpy()
+                numbers = np.frombuffer(block[3].as_buffer(), "<u2" if len(words) <= 1 << 16 else "<u4")
+                ids, n, rare = held.value.encoded_block(words, numbers, sizes)
+                data, ends = ids.astype("<u2").tobytes(), np.r_[0, np.cumsum(2 * n)].tolist()
+                cut = pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([block[0].values, cut, pa.array(rare, pa.float64()), block[1].values], ["id", "ids", "rare", "mix"])
+
+    rows = blocks.where("n is null").select("id", "mix", "size", "at", "words").mapInArrow(run, f"id {kind}, ids binary, rare double, mix long")
     shards = max(1, -(-tokens // SHARD_TOKENS))
-    rows = rows.withColumn("round", F.pmod("mix", F.lit(ROUNDS)).cast("int")).withColumn("shard", F.pmod(F.shiftright("mix", 8), F.lit(shards)))
-    folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return spark.read.schema(rows.schema).parquet(folder)
+    return written(rows.withColumn("round", F.pmod("mix", F.lit(ROUNDS)).cast("int")).withColumn("shard", F.pmod(F.shiftright("mix", 8), F.lit(shards))))
 
 
-def summed(parts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """The sums of (slice, shard, weight, net, seen) over all shards: FAN at a time, in the order of the shards. None without any."""
+def averaged(parts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The means of (slice, shard, weight, net, seen) over all shards by weight: FAN at a time, in the order of the shards. None without any.
+
+    Numbers are moved in single precision, as they are trained, and added in double.
+    """
 
     def add(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["shard"])
-        total = {c: np.sum([np.frombuffer(r[c]) for r in rows], axis=0).tobytes() for c in ("net", "seen")}
-        return pa.Table.from_pylist([{"slice": rows[0]["slice"], "shard": rows[0]["shard"] // FAN, "weight": sum(r["weight"] for r in rows), **total}], group.schema)
+        weight = sum(r["weight"] for r in rows)
+        mean = {c: (sum(r["weight"] * np.frombuffer(r[c], "<f4").astype(np.float64) for r in rows) / weight).astype("<f4").tobytes() for c in ("net", "seen")}
+        return pa.Table.from_pylist([{"slice": rows[0]["slice"], "shard": rows[0]["shard"] // FAN, "weight": weight, **mean}], group.schema)
 
     while True:
         parts = parts.groupBy("slice", F.floor(F.col("shard") / FAN).alias("of")).applyInArrow(add, parts.schema)
@@ -387,7 +517,8 @@ def summed(parts: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, float
     rows = sorted(parts.collect(), key=lambda r: r["slice"])
     if not rows:
         return None
-    return np.concatenate([np.frombuffer(r["net"]) for r in rows]), np.concatenate([np.frombuffer(r["seen"]) for r in rows]), rows[0]["weight"]
+    net, seen = (np.concatenate([np.frombuffer(r[c], "<f4") for r in rows]) for c in ("net", "seen"))
+    return net, seen
 
 
 def train_rounds(encoded: DataFrame, tokens: int) -> WindowNetwork:
@@ -404,7 +535,7 @@ def train_rounds(encoded: DataFrame, tokens: int) -> WindowNetwork:
             rows = sorted(zip(shard.column("mix").to_pylist(), shard.column("ids").to_pylist(), strict=True))
             number = shard.column("shard")[0].as_py()
             weight = train_on([np.frombuffer(ids, "<u2") for _, ids in rows], trainer, ROUNDS * number + turn)
-            cut = lambda arrays: np.array_split(np.concatenate([a.ravel() for a in arrays]).astype(np.float64) * weight, SLICES)
+            cut = lambda arrays: np.array_split(np.concatenate([a.ravel() for a in arrays]).astype("<f4"), SLICES)
             both = zip(cut(trainer.net.arrays()), cut(trainer.seen), strict=True)
             return pa.Table.from_pylist([{"slice": i, "shard": number, "weight": float(weight), "net": a.tobytes(), "seen": b.tobytes()} for i, (a, b) in enumerate(both)], schema)
 
@@ -414,16 +545,22 @@ def train_rounds(encoded: DataFrame, tokens: int) -> WindowNetwork:
         held = spark.sparkContext.broadcast((net, seen))  # of fixed size
         mine = encoded.where((F.col("round") == turn) & (F.length("ids") > 0)).select("shard", "mix", "ids").repartition(shards, "shard")
         parts = mine.groupBy("shard").applyInArrow(training(held, turn), kind)
-        if found := summed(parts, shards):
-            flat, squares, weight = found
-            net, seen = WindowNetwork.of(flat / weight), WindowNetwork.of(squares / weight).arrays()
+        if found := averaged(parts, shards):
+            net, seen = WindowNetwork.of(found[0]), WindowNetwork.of(found[1]).arrays()
     return net
 
 
+def vocabulary_and_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[Vocabulary, DataFrame, int]:
+    """The vocabulary of the whole corpus, its encoded texts and the number of their tokens."""
+    blocks = written(numbered(docs, id_col, text_col), **{"parquet.block.size": GROUP_BYTES})
+    vocabulary, tokens = vocabulary_of(token_sums(blocks))
+    return vocabulary, encode(blocks, vocabulary, tokens), tokens
+
+
 def train_network(docs: DataFrame, text_col: str = "text") -> tuple[Vocabulary, WindowNetwork]:
     """The vocabulary of the whole corpus and the network trained on all its tokens."""
-    vocabulary, tokens = learn_vocabulary(docs, text_col)
-    return vocabulary, train_rounds(encode(docs.select(F.lit(None).cast("int").alias("none"), text_col), vocabulary, tokens, "none", text_col), tokens)
+    vocabulary, encoded, tokens = vocabulary_and_texts(docs.select(F.lit(None).cast("int").alias("none"), text_col), "none", text_col)
+    return vocabulary, train_rounds(encoded, tokens)
 
 
 def lm_scores(docs: DataFrame, model: tuple[Vocabulary, WindowNetwork] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,21 +577,20 @@ def lm_scores(docs: DataFrame, model: tuple[Vocabulary, WindowNetwork] | None =
     """
     spark = docs.sparkSession
     if model is None:
-        vocabulary, tokens = learn_vocabulary(docs, text_col)
-        encoded = encode(docs, vocabulary, tokens, id_col, text_col)
+        _, encoded, tokens = vocabulary_and_texts(docs, id_col, text_col)
         net = train_rounds(encoded, tokens)
     else:
         vocabulary, net = model
-        encoded = encode(docs, vocabulary, 0, id_col, text_col)
+        encoded = encode(numbered(docs, id_col, text_col), vocabulary, 0)
     held = spark.sparkContext.broadcast(net)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placed = held.value.placed()
+        room = Room()
         for batch in small(batches):
             texts = [np.frombuffer(i, "<u2") for i in batch.column(1).to_pylist()]
             flat, at = laid_out(texts)
             n = np.fromiter(map(len, texts), np.int64, len(texts))
-            value = log_likelihoods(held.value, flat, at, placed)
+            value = log_likelihoods(held.value, flat, at, room)
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=value, minlength=len(n)) + batch.column(2).to_numpy()
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["id", "n_tokens", "log_likelihood", "score"])
