@@ -467,6 +467,20 @@ def test_op6_cuts_a_stretch_once(spark, monkeypatch):
     assert seen == ["one,", "two"]
 
 
+@pytest.mark.parametrize("words", [3, 60_000])
+def test_op6_blocks_give_back_the_texts(spark, monkeypatch, words):
+    """Texts by numbers of their stretches are encoded as they are by themselves, with numbers of 16 and of 32 bits."""
+    monkeypatch.setattr(lm_scores, "BLOCK_WORDS", words)
+    texts = ["Don't stop, stop!", None, " ", " ".join(f"w{i}," for i in range(70_000)), "stop"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    vocabulary, tokens = lm_scores.learn_vocabulary(docs)
+    rows = lm_scores.encode(lm_scores.numbered(docs), vocabulary, tokens).collect()
+    assert sorted(r["id"] for r in rows) == [0, 1, 2, 3, 4]
+    for r in rows:
+        ids, rare = vocabulary.encoded(texts[r["id"]])
+        assert bytes(r["ids"]) == ids.astype("<u2").tobytes() and r["rare"] == pytest.approx(rare, rel=1e-6)
+
+
 def test_op6_shares_of_rare_words(spark, monkeypatch):
     """A rare word's shares are those of its counts, and shares of a kind sum to one."""
     monkeypatch.setattr(lm_scores, "SIZE", lm_scores.SIZE)
