@@ -14,6 +14,8 @@ from meshloom.sources.shared import shared_folder
 from meshloom.streaming import jobs
 
 NOW = "2024-06-01 00:00:00"
+#: About as many assets of scan_tier lie in a folder, which one task lists.
+FILES = 50_000
 _RANK = "case tier when 'raw' then 1 when 'labeled' then 2 else 3 end"
 _BEST = f"best as (select * from (select *, row_number() over (partition by id order by {_RANK} desc) as place from V_TIER) where place = 1)"
 
@@ -38,15 +40,16 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         from (select *, size as n_chars from V_ASSET) a join documents d on a.doc_id = d.doc_id""",
 )
 def scan_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document becomes a file, some of them empty; a third has sidecars, half of which are no JSON; then the folder is scanned."""
-    rows = run_sql(spark, sf_dir, "select a.*, d.text from V_ASSET a join documents d on a.doc_id = d.doc_id")
+    """Every document becomes a file, some of them empty; a third has sidecars, half of which are no JSON; then the folders are scanned."""
+    rows = view(spark, sf_dir, "V_FILE")
     label = F.array(F.struct(F.col("lang").alias("text")))
     said = F.to_json(F.struct(label.alias("labels"), F.lit(True).alias("hasLabels"), F.col("source").alias("sourceType"), F.struct(F.col("size").alias("vertexCount")).alias("filterMetrics")))
     sidecar = F.when(F.col("doc_id") % 6 == 0, said).when(F.col("doc_id") % 3 == 0, "{broken")
     content = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text")).cast("binary")
     root = shared_folder(spark, "assets")
-    storage.write_assets(rows.select("id", content.alias("content"), sidecar.alias("sidecar")), root, "raw")
-    found = storage.scan_tier(spark, root, "raw")
+    roots = [f"{root}/{i}" for i in range(rows.count() // FILES + 1)]
+    storage.write_assets(rows.select("id", content.alias("content"), sidecar.alias("sidecar")), roots, "raw")
+    found = storage.scan_tier(spark, roots, "raw")
     return found.select("id", "size", "has_sidecar", "status", F.get("labels", F.lit(0))["text"].alias("label_text"), F.col("sourceType").alias("source_type"), F.col("filterMetrics.vertexCount").alias("vertex_count"))
 
 

@@ -83,7 +83,9 @@ VIEWS = {
 
 #: Views whose text differs in Spark: arrays count from 0 there, and rows are exploded in another way. Several distinct counts
 #: would copy each line for each of them before a shuffle; as the last of dense ranks they need one shuffle of the lines.
+#: V_FILE is V_ASSET with the text beside it, which a join of the documents with themselves would shuffle.
 SPARK = {
+    "V_FILE": VIEWS["V_ASSET"].replace("d.source\n", "d.source, d.text\n") + " where d.doc_id is not null",
     "V_METRICS": """
         select o.o_orderkey as model_id, l.model is not null as has_metrics, case when o.o_orderkey % 7 = 0 then 32 else 64 end as voxel_resolution,
             l.material_count, l.vertex_count, l.face_count, l.occupied, l.surface,

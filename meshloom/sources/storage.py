@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -24,25 +25,31 @@ PROMPTS = (
     "version string, lastUpdated string, description string, selectionRule string, ignoreKeywords array<string>, "
     "prompts array<struct<id:string,content:string,weight:int,description:string,createdAt:string,updatedAt:string>>"
 )
+#: Sidecars that a task holds at once.
+SIDECARS = 1000
 # Fixed value: the keyword that is ignored where a library names none.
 DEFAULT_KEYWORDS = ("Unknown Object",)
 
 
-def write_assets(assets: DataFrame, root: str, tier: str) -> int:
+def write_assets(assets: DataFrame, roots: list[str], tier: str) -> int:
     """Writes ``(id, content, sidecar)`` as a tier's files, a sidecar that isn't null as ``<id>.json``; returns the number of assets.
 
-    Tasks write their own rows; a task that runs again writes the same files once more.
+    A library may be spread over several roots, so that no folder holds all files: an asset
+    goes with its sidecar to the root that its id's hash names. Tasks write their own rows; a
+    task that runs again writes the same files once more.
     """
-    folder = f"{root.rstrip('/')}/{tier}"
+    folders = [f"{r.rstrip('/')}/{tier}" for r in roots]
     spark = assets.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, at = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        opened = [_opened(f) for f in folders]
         n = 0
         for batch in batches:
-            for i, content, sidecar in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, i, content, sidecar in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                where, at = opened[k]
                 for name, data in ((i, content or b""), (f"{i}.json", None if sidecar is None else sidecar.encode())):
                     if data is not None:
                         with where.open_output_stream(f"{at}/{name}") as f:
@@ -50,7 +57,13 @@ def write_assets(assets: DataFrame, root: str, tier: str) -> int:
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return assets.select("id", "content", "sidecar").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    root = F.pmod(F.xxhash64("id"), F.lit(len(roots))).cast("int")
+    return assets.select(root.alias("root"), "id", "content", "sidecar").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
+    """A folder's file system, and its path there."""
+    return pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
 
 
 def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -70,7 +83,7 @@ def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
 
         def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
             folder = partition.value
-            where, at = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+            where, at = _opened(folder)
             found = [x for x in where.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if x.is_file]
             for i in range(0, len(found), 10_000):
                 part = found[i : i + 10_000]
@@ -92,23 +105,48 @@ def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     return spark.read.format("asset_files").option("folders", json.dumps(folders)).load()
 
 
-def scan_tier(spark: SparkSession, root: str, tier: str) -> DataFrame:
+def read_sidecars(files: DataFrame) -> DataFrame:
+    """``files`` with ``text``: the content of ``<folder>/<id>.json`` where ``has_sidecar``, read by the tasks; null if the file has gone since."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = {}
+        for batch in batches:
+            for part in (batch.slice(i, SIDECARS) for i in range(0, batch.num_rows, SIDECARS)):
+                texts = []
+                for folder, name, there in zip(*(part.column(c).to_pylist() for c in ("folder", "id", "has_sidecar")), strict=True):
+                    text = None
+                    if there:
+                        if folder not in opened:
+                            opened[folder] = _opened(folder)
+                        where, at = opened[folder]
+                        with contextlib.suppress(FileNotFoundError), where.open_input_stream(f"{at}/{name}.json") as f:
+                            text = f.read().decode("utf-8-sig", "replace")
+                    texts.append(text)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
+
+    kinds = ", ".join(f"`{n}` {k}" for n, k in files.dtypes)
+    return files.mapInArrow(run, f"{kinds}, text string")
+
+
+def scan_tier(spark: SparkSession, root: str | list[str], tier: str) -> DataFrame:
     """The assets of a tier's folder: one row per file that isn't a sidecar, with what its sidecar says.
 
-    Only names, lengths and times of files are read, of empty files as well. A sidecar is
-    the JSON object in ``<file>.json``; a broken, empty or missing one leaves the defaults.
-    Sub-folders are skipped. The time of creation is the sidecar's upload time, or else the
-    file's, as file systems don't keep a time of birth.
+    A library in several roots has a folder of the tier in each. Only names, lengths and times
+    of files are read, of empty files as well. A sidecar is the JSON object in ``<file>.json``;
+    a broken, empty or missing one leaves the defaults. Sub-folders are skipped. The time of
+    creation is the sidecar's upload time, or else the file's, as file systems don't keep a time
+    of birth.
+
+    Files meet their sidecars by name in a shuffle, then tasks open the sidecars: neither names
+    nor splits of files pass through the driver, which Spark's own readers would list there.
     """
-    plain = lambda uri: F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))  # noqa: E731  a blank is %20 in a URI
-    folder = f"{root.rstrip('/')}/{tier}"
-    listed = list_files(spark, [folder])
-    files = listed.where("name not like '%.json'").select(F.col("name").alias("id"), "size", "modified")
-    there = listed.where("name like '%.json'").select(F.expr("left(name, length(name) - 5)").alias("_file"))
-    said = spark.read.schema(SIDECAR).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    said = said.select(F.regexp_replace(plain("_metadata.file_name"), r"\.json$", "").alias("_id"), "updatedAt", "uploadTime", "labels", "hasLabels", "filterMetrics", "filteredAt", "sourceType")
-    said = said.dropDuplicates(["_id"])
-    joined = files.join(there, files["id"] == there["_file"], "left").join(said, files["id"] == said["_id"], "left")
+    listed = list_files(spark, [f"{r.rstrip('/')}/{tier}" for r in ([root] if isinstance(root, str) else root)])
+    sidecar = F.col("name").endswith(".json")
+    base = F.when(sidecar, F.expr("left(name, length(name) - 5)")).otherwise(F.col("name"))
+    own = lambda c: F.max(F.when(~sidecar, F.col(c))).alias(c)  # noqa: E731  a name is one file at most
+    files = listed.groupBy("folder", base.alias("id")).agg(own("size"), own("modified"), F.bool_or(sidecar).alias("has_sidecar")).where("size is not null")
+    fields = [f"said.{n}" for n in ("updatedAt", "uploadTime", "labels", "hasLabels", "filterMetrics", "filteredAt", "sourceType")]
+    joined = read_sidecars(files).withColumn("said", F.from_json("text", SIDECAR)).select("id", "size", "modified", "has_sidecar", *fields)
     labeled = F.coalesce("hasLabels", F.lit(False))
     return joined.select(
         "id",
@@ -125,7 +163,7 @@ def scan_tier(spark: SparkSession, root: str, tier: str) -> DataFrame:
         "sourceType",
         F.lit(True).alias("isFromServer"),
         F.col("id").alias("serverFileId"),
-        F.col("_file").isNotNull().alias("has_sidecar"),
+        "has_sidecar",
     )
 
 

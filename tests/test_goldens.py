@@ -139,6 +139,18 @@ def test_chunks_round_trip(spark):
     assert (broken["content"], broken["error"]) == (None, "missing chunk 1")
 
 
+def test_scan_tier_lists_nothing_in_the_driver(spark, tmp_path):
+    """Files over several roots, each with its sidecar; no plan holds the names of files, as those of Spark's readers do."""
+    roots = [str(tmp_path / str(i)) for i in range(3)]
+    assets = [(f"ü {i}%20+.glb", b"x" * i, json.dumps({"hasLabels": True, "sourceType": f"s{i}"}) if i % 2 else "[{}]" if i % 4 else None) for i in range(40)]
+    assert storage.write_assets(spark.createDataFrame(assets, "id string, content binary, sidecar string"), roots, "raw") == 40
+    counts = [len(list((tmp_path / str(i) / "raw").iterdir())) for i in range(3)]
+    assert min(counts) > 0 and sum(counts) == 40 + 20 + 10
+    found = storage.scan_tier(spark, roots, "raw")
+    assert sorted((r["id"], r["size"], r["has_sidecar"], r["sourceType"]) for r in found.collect()) == sorted((n, len(c), s is not None, f"s{i}" if i % 2 else None) for i, (n, c, s) in enumerate(assets))
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scan_tier_and_prompts(spark, tmp_path):
     tier = tmp_path / "labeled"
     (tier / "sub.glb").mkdir(parents=True)
