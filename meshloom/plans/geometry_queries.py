@@ -133,7 +133,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     zero, one = F.lit(0.0), F.lit(1.0)
     matrix = F.when(F.col("c").isNotNull(), F.array("c", "s", zero, zero, -F.col("s"), "c", zero, zero, zero, zero, F.lit(0.25), zero, "tx", "ty", "tz", one))
     mesh = view(spark, sf_dir, "V_PLACE").select("model_id", "mesh_id", F.array("material_id").alias("material_ids"), matrix.alias("matrix"))
-    return _vertex(spark, sf_dir), mesh, view(spark, sf_dir, "V_FACE")
+    return _vertex(spark, sf_dir).withColumn("part", F.input_file_name()), mesh, view(spark, sf_dir, "V_FACE")
 
 
 def _moved(x: str, y: str, z: str) -> tuple[str, str, str]:
